@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "aggregates", "sources", "joins")
 
 
 def load() -> tuple[dict, dict]:
