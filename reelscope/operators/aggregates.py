@@ -260,3 +260,17 @@ def folder_validity(segments: DataFrame) -> DataFrame:
         F.coalesce(missing, F.array().cast("array<int>")).alias("missing"),
         (~short & (F.col("ok") > 0)).alias("usable"),
     )
+
+
+def scene_stats(scenes: DataFrame) -> DataFrame:
+    """Per video: scene count, mean scene length, critical scenes, spatial complexity spread."""
+    return scenes.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("scenes"), F.avg(F.col("end_s") - F.col("start_s")).alias("avg_scene_s"),
+        F.count_if("is_critical").alias("critical"), F.avg("spatial").alias("avg_spatial"), F.max("spatial").alias("max_spatial"),
+        F.var_pop("spatial").alias("var_spatial"),
+    )
+
+
+def critical_regions(scenes: DataFrame) -> DataFrame:
+    """The critical scenes as rows (kept as rows: a long video may have very many)."""
+    return scenes.where("is_critical").select("video_id", "start_s", "end_s")

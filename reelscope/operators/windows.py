@@ -87,7 +87,7 @@ def islands(df: DataFrame, group: list[str], value: str, tie: str, gap: float, w
     ).drop("_pv", "_new")
 
 
-def regions(points: DataFrame, threshold: float = 0.7, gap: float = 10.0, min_s: float = 0.5, max_s: float = 3.0, block_s: float = 600.0) -> DataFrame:
+def regions(points: DataFrame, threshold: float = 0.3, gap: float = 10.0, min_s: float = 0.5, max_s: float = 3.0, block_s: float = 600.0) -> DataFrame:
     """Regions of high complexity: start, end, mean complexity, and the sample cut from each."""
     high = points.where(F.col("complexity") >= threshold).select("video_id", "ts_s", "point_id", "complexity")
     marked = islands(high, ["video_id"], "ts_s", "point_id", gap, block_s)
@@ -161,7 +161,7 @@ def recent_count(df: DataFrame, group: list[str], ts: str, seconds: int, test: C
 
     Each block also receives the tail of the block before it, so windows stay inside blocks.
     """
-    sec = F.col(ts).cast("double")
+    sec = F.col(ts).cast("timestamp").cast("double")
     base = df.withColumn("_t", sec).withColumn(B.BLOCK, F.floor(sec / block_s))
     late = F.col("_t") >= (F.col(B.BLOCK) + 1) * block_s - seconds
     copies = F.when(late & test, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -217,3 +217,112 @@ def total_improvement(attempts: DataFrame, group: list[str]) -> DataFrame:
     first, last = F.min_by("quality", "step"), F.max_by("quality", "step")
     ok = (F.coalesce(first, F.lit(0.0)) != 0) & (F.coalesce(last, F.lit(0.0)) != 0)
     return attempts.groupBy(*group).agg(F.when(ok, last - first).otherwise(0.0).alias("total_gain"))
+
+
+# ---------------------------------------------------------------- greedy passes
+
+
+def _run_step(limit: float):
+    def step(state, row):
+        idx, x = int(row[0]), float(row[1])
+        split = state is not None and state["n"] >= 2 and abs(x - state["total"] / state["n"]) > limit
+        if state is None or split:
+            return idx, {"run": idx, "n": 1, "total": x}
+        return state["run"], {"run": state["run"], "n": state["n"] + 1, "total": state["total"] + x}
+
+    return step
+
+
+def motion_segments(
+    motion: DataFrame, fps: Column, duration: DataFrame, limit: float = 0.1, step_s: float = 0.2, min_s: float = 0.5,
+    high: float = 0.15, medium: float = 0.05, block: int = 4096,
+) -> DataFrame:
+    """Split each video where motion leaves the running mean, then merge short segments backwards.
+
+    ``duration``: (video_id, duration_s).  A merged segment's motion is averaged with the one
+    before it, pair by pair, so the k-th last merged value weighs 2^-k.
+    """
+    from reelscope.operators.folds import block_fold
+
+    base = motion.where("motion IS NOT NULL").select("video_id", "frame_idx", "motion")
+    runs = block_fold(
+        base, ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), ["frame_idx", "motion"], _run_step(limit),
+        "struct<run:bigint,n:bigint,total:double>", "run bigint",
+    )
+    seg = runs.groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"), F.avg("motion").alias("avg_motion"))
+    seg = B.carried(seg, ["video_id"], ["run"], B.index_block("run", block), sums={"_upto": F.col("n")}, following={"_next": "run"})
+    seg = seg.join(duration, "video_id")
+    start = (F.col("_upto") - F.col("n")) * step_s
+    end = F.when(F.col("_next").isNull(), F.col("duration_s")).otherwise(F.col("_upto") * step_s)
+    seg = seg.withColumns({"start_s": start, "end_s": end})
+    opens = F.when((F.col("end_s") - F.col("start_s") >= min_s) | (F.col("start_s") == 0), 1).otherwise(0)
+    part = B.carried(seg, ["video_id"], ["run"], B.index_block("run", block), number="_rn", sums={"_part": opens})
+    last = part.groupBy("video_id", "_part").agg(F.max("_rn").alias("_hi"), F.min("_rn").alias("_lo"))
+    placed = part.join(last, ["video_id", "_part"])
+    k = F.col("_hi") - F.col("_rn")
+    weight = F.pow(F.lit(0.5), F.when(F.col("_rn") == F.col("_lo"), k).otherwise(k + 1).cast("double"))
+    out = placed.groupBy("video_id", "_part").agg(
+        F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum(F.col("avg_motion") * weight).alias("avg_motion")
+    )
+    level = F.when(F.col("avg_motion") > high, "high").when(F.col("avg_motion") > medium, "medium").otherwise("low")
+    rate = S.lookup(F.col("motion_level"), {"high": 1.0, "medium": 0.85, "low": 0.6})
+    return (
+        out.withColumn("motion_level", level).withColumn("recommended_fps", S.clamp(fps * rate, 6.0, 20.0)).drop("_part")
+    )
+
+
+def _dedup_step(threshold: float):
+    import numpy as np
+
+    def step(state, row):
+        hist = np.asarray(row[1], dtype=float)
+        if state is not None:
+            kept = np.asarray(state["hist"], dtype=float)
+            if hist.sum() > 0 and kept.sum() > 0 and np.minimum(hist / hist.sum(), kept / kept.sum()).sum() >= threshold:
+                return state["kept"], state
+        return int(row[0]), {"kept": int(row[0]), "hist": hist.tolist()}
+
+    return step
+
+
+def dedup_frames(frames: DataFrame, threshold: float = 0.95, block: int = 1024) -> DataFrame:
+    """Frames kept after dropping those close to the last kept one, with the summed display time.
+
+    Needs video_id, frame_idx, hist (counts) and show_ms.
+    """
+    from reelscope.operators.folds import block_fold
+
+    base = frames.select("video_id", "frame_idx", F.col("hist").cast("array<double>").alias("hist"), "show_ms")
+    owned = block_fold(
+        base, ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), ["frame_idx", "hist"], _dedup_step(threshold),
+        "struct<kept:bigint,hist:array<double>>", "kept_idx bigint",
+    )
+    return owned.groupBy("video_id", F.col("kept_idx").alias("frame_idx")).agg(
+        F.sum("show_ms").alias("show_ms"), F.count(F.lit(1)).alias("frames")
+    )
+
+
+SAMPLE_RANK = {"complexity": 3, "scene": 2, "temporal": 1}
+
+
+def _overlap_step(state, row):
+    sid, start, end, rank = int(row[0]), float(row[1]), float(row[2]), int(row[3])
+    if state is None or start >= state["end"]:
+        return sid, {"slot": sid, "end": end, "rank": rank}
+    if rank > state["rank"]:
+        return state["slot"], {"slot": state["slot"], "end": end, "rank": rank}
+    return None, state
+
+
+def sample_overlap(samples: DataFrame, block_s: float = 600.0) -> DataFrame:
+    """Non-overlapping samples in time order; an overlapping one replaces the last kept if its type ranks higher."""
+    from reelscope.operators.folds import block_fold
+
+    base = samples.withColumn("_rank", S.lookup(F.col("sample_type"), SAMPLE_RANK, 0))
+    slots = block_fold(
+        base, ["video_id"], ["start_s", "sample_id"], B.by_value("start_s", block_s), ["sample_id", "start_s", "end_s", "_rank"], _overlap_step,
+        "struct<slot:bigint,end:double,rank:bigint>", "slot bigint",
+    )
+    row = F.struct(*samples.columns)
+    kept = slots.where("slot IS NOT NULL").groupBy("video_id", "slot").agg(F.max_by(row, F.struct("start_s", "sample_id")).alias("_r"))
+    return kept.select("_r.*")
