@@ -161,6 +161,7 @@ def recent_count(df: DataFrame, group: list[str], ts: str, seconds: int, test: C
 
     Each block also receives the tail of the block before it, so windows stay inside blocks.
     """
+    block_s = max(block_s, seconds)  # a window then reaches at most one block back
     sec = F.col(ts).cast("timestamp").cast("double")
     base = df.withColumn("_t", sec).withColumn(B.BLOCK, F.floor(sec / block_s))
     late = F.col("_t") >= (F.col(B.BLOCK) + 1) * block_s - seconds

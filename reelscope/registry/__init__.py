@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "aggregates", "sources", "joins", "windows", "frames", "ranks")
+MODULES = ("scalars", "aggregates", "sources", "joins", "windows", "frames", "ranks", "plans")
 
 
 def load() -> tuple[dict, dict]:
