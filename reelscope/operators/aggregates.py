@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reelscope.functions import constants as K, scalars as S
 from reelscope.operators import blocks as B
 
-COUNT = F.count(F.lit(1))
-
 
 def share(test: Column, scale: float = 100.0) -> Column:
     """Percentage of rows passing ``test`` (0 for no rows)."""

@@ -32,41 +32,66 @@ def quality_level(score: Column) -> Column:
     return out.otherwise("unacceptable")
 
 
-def predicted_quality(kbps: Column, w: Column, h: Column, preset: str, content_type: Column, load: Column) -> Column:
-    """bits per pixel against 0.03, times preset and content factors, minus a complexity penalty."""
-    bpp = kbps * 1000.0 / (S.pixels(w, h) * 30)
-    score = F.least(bpp / 0.03, F.lit(1.0)) * PRESET_QUALITY.get(preset, 0.95) * S.lookup(content_type, TYPE_QUALITY, 1.0)
-    return S.clamp(score - load / 20.0 * 0.2, 0.0, 1.0)
-
-
-def option(no: int, size: tuple, tier: tuple) -> Column:
-    """One option as a struct. Needs width, height, duration_s, target_mb, content_type, motion, spatial."""
-    res_name, mw, mh = size
-    tier_name, preset, factor = tier
-    w = F.col("width") if mw is None else F.least("width", F.lit(mw))
-    h = F.col("height") if mh is None else F.least("height", F.lit(mh))
-    load = F.col("motion") + F.col("spatial")
-    base = S.pixels(w, h) * 30 * S.lookup(F.col("content_type"), BASE_BPP, 0.020) * factor / 1000
-    total = base * (load / 20.0 + 1.0)
-    audio = F.least(F.lit(128), F.greatest(F.lit(32), S.whole(total * 0.1))).cast("bigint")
-    video = S.whole(total - audio)
-    size_mb = (video + audio) * F.col("duration_s") / (8 * 1024)
-    quality = predicted_quality(video, w, h, preset, F.col("content_type"), load)
-    return F.struct(
-        F.lit(no).alias("option_no"), F.lit(tier_name).alias("tier"), F.lit(res_name).alias("res_name"),
-        w.cast("bigint").alias("opt_w"), h.cast("bigint").alias("opt_h"), F.lit(preset).alias("preset"),
-        video.alias("video_kbps"), audio.alias("audio_kbps_out"), size_mb.alias("est_mb"), quality.alias("quality"),
-        (quality / F.greatest(size_mb, F.lit(0.1))).alias("efficiency"),
+def grid() -> Column:
+    """The 20 size x tier combinations as one constant array."""
+    rows = []
+    for i, (res_name, mw, mh) in enumerate(SIZES):
+        for j, (tier, preset, factor) in enumerate(TIERS):
+            rows.append(F.struct(
+                F.lit(i * len(TIERS) + j + 1).alias("option_no"), F.lit(tier).alias("tier"), F.lit(res_name).alias("res_name"),
+                F.lit(preset).alias("preset"), F.lit(mw).cast("bigint").alias("mw"), F.lit(mh).cast("bigint").alias("mh"),
+                F.lit(factor).alias("factor"), F.lit(PRESET_QUALITY[preset]).alias("preset_quality"),
+            ))
+    return F.array(*rows)
+
+
+OPTION_FIELDS = ("option_no", "tier", "res_name", "opt_w", "opt_h", "preset", "video_kbps", "audio_kbps_out", "est_mb", "quality", "efficiency")
+
+
+def sized(o: Column) -> Column:
+    """Picture size and total rate of one option (``o`` is a grid row)."""
+    w = F.coalesce(F.least(F.col("width").cast("bigint"), o["mw"]), F.col("width").cast("bigint"))
+    h = F.coalesce(F.least(F.col("height").cast("bigint"), o["mh"]), F.col("height").cast("bigint"))
+    total = w * h * 30 * F.col("_bpp") * o["factor"] / 1000 * (F.col("_load") / 20.0 + 1.0)
+    return F.struct(o.alias("o"), w.alias("w"), h.alias("h"), total.alias("total"))
+
+
+def rated(s: Column) -> Column:
+    audio = F.least(F.lit(128).cast("bigint"), F.greatest(F.lit(32).cast("bigint"), S.whole(s["total"] * 0.1)))
+    return F.struct(s["o"].alias("o"), s["w"].alias("w"), s["h"].alias("h"), audio.alias("audio"), S.whole(s["total"] - audio).alias("video"))
+
+
+def scored(s: Column) -> Column:
+    """Size in MB (1024-bit kilobits) and quality: bits per pixel against 0.03, times factors, minus a penalty."""
+    size_mb = (s["video"] + s["audio"]) * F.col("duration_s") / (8 * 1024)
+    bpp = s["video"] * 1000.0 / (s["w"] * s["h"] * 30)
+    quality = F.least(bpp / 0.03, F.lit(1.0)) * s["o"]["preset_quality"] * F.col("_tq") - F.col("_load") / 20.0 * 0.2
+    return F.struct(s.alias("s"), size_mb.alias("est_mb"), S.clamp(quality, 0.0, 1.0).alias("quality"))
+
+
+def option(x: Column) -> Column:
+    o = x["s"]["o"]
+    values = (
+        o["option_no"], o["tier"], o["res_name"], x["s"]["w"], x["s"]["h"], o["preset"], x["s"]["video"], x["s"]["audio"], x["est_mb"],
+        x["quality"], x["quality"] / F.greatest(x["est_mb"], F.lit(0.1)),
     )
+    return F.struct(*[v.alias(n) for v, n in zip(values, OPTION_FIELDS)])
 
 
 def with_options(assets: DataFrame) -> DataFrame:
-    """Add ``options``: the 20 size x tier combinations as an array, over-large ones removed (``smallest`` always stays)."""
-    grid = [(s, t) for s in SIZES for t in TIERS]
-    every = F.array(*[option(i + 1, s, t) for i, (s, t) in enumerate(grid)])
-    limit = F.col("target_mb") * 1.5
-    staged = assets.withColumn("_all", every).withColumn("_limit", limit)
-    return staged.withColumn("options", F.filter("_all", lambda o: (o["est_mb"] <= F.col("_limit")) | (o["tier"] == "smallest"))).drop("_all", "_limit")
+    """Add ``options``: the size x tier combinations as an array, over-large ones removed (``smallest`` always stays).
+
+    Needs width, height, duration_s, target_mb, content_type, motion, spatial.  The grid is walked
+    in short steps inside the row, which keeps the generated code small.
+    """
+    kind = F.col("content_type")
+    staged = assets.withColumns({
+        "_bpp": S.lookup(kind, BASE_BPP, 0.020), "_tq": S.lookup(kind, TYPE_QUALITY, 1.0), "_load": F.col("motion") + F.col("spatial"),
+        "_limit": F.col("target_mb") * 1.5,
+    })
+    steps = F.transform(F.transform(F.transform(grid(), sized), rated), scored)
+    kept = F.filter(steps, lambda x: (x["est_mb"] <= F.col("_limit")) | (x["s"]["o"]["tier"] == "smallest"))
+    return staged.withColumn("options", F.transform(kept, option)).drop("_bpp", "_tq", "_load", "_limit")
 
 
 def ladder(assets: DataFrame, key: str = "asset_id") -> DataFrame:

@@ -42,50 +42,47 @@ def floor_adjust(
     w, h, fps, rate = c("width"), c("height"), c("fps"), c("bitrate_kbps").cast("bigint")
     floor = S.lookup(c("encoder"), minima, K.DEFAULT_ENCODER_MIN_KBPS).cast("bigint")
     allowed = [(a, b) for a, b in resolutions if a >= min_size[0] and b >= min_size[1]]
-    kind = "struct<kind:string,w:bigint,h:bigint,fps:double,kbps:bigint,impact:string>"
-
     def cand(name, cw, ch, f, k, imp):
         return F.struct(F.lit(name).alias("kind"), cw.cast("bigint").alias("w"), ch.cast("bigint").alias("h"), f.cast("double").alias("fps"),
                         k.cast("bigint").alias("kbps"), imp.alias("impact"))
 
     budget = safe_kbps(c("target_mb"), c("duration_s"), c("audio_kbps"), margin)
-    smaller = lambda a, b: ~((F.lit(a) >= w) & (F.lit(b) >= h))
-    px = S.pixels(w, h)
-    by_size = [
-        F.when(smaller(a, b), cand("resolution", F.lit(a), F.lit(b), fps, budget, impact(F.lit(float(a * b)) / px, 0.8, 0.6))) for a, b in allowed
-    ]
+    sizes = F.array(*[F.struct(F.lit(a).cast("bigint").alias("w"), F.lit(b).cast("bigint").alias("h")) for a, b in allowed])
+    if not allowed:
+        sizes = F.array().cast("array<struct<w:bigint,h:bigint>>")
     slower = lambda s: F.greatest(F.lit(float(min_fps)), fps * s)
-    by_fps = [
-        F.when(slower(s) < fps, cand("fps", w, h, slower(s), S.whole(S.whole(rate * (fps / slower(s))) / margin), impact(slower(s) / fps, 0.8, 0.6)))
-        for s in steps
-    ]
-    both = []
-    for a, b in allowed:
-        ratio = F.lit(float(a * b)) / px
-        for s in steps:
-            f = slower(s)
-            k = S.whole(S.whole(rate * (fps / f * (1.0 / F.sqrt(ratio)))) / margin)
-            both.append(F.when(smaller(a, b) & (f < fps), cand("combined", F.lit(a), F.lit(b), f, k, impact(ratio * (f / fps), 0.7, 0.5))))
+    lowest = slower(F.lit(float(min(steps))))
     worst = F.lit("significant")
-    lowest = slower(min(steps)) if steps else fps
-    tries = [
-        cand("resolution", F.lit(allowed[-1][0]), F.lit(allowed[-1][1]), fps, budget, worst) if allowed else cand("resolution", w, h, fps, rate, worst),
-        cand("fps", w, h, lowest, S.whole(S.whole(rate * (fps / lowest)) / margin), worst),
-    ]
-    listed = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast(f"array<{kind}>")
-    staged = df.withColumns({"min_kbps": floor, "_c": listed([*by_size, *by_fps, *both]), "_t": F.concat(F.array(*tries), listed(both))})
-    good = first(F.filter("_c", lambda x: x["kbps"] >= F.col("min_kbps")))
-    best = F.array_max(F.transform("_t", lambda x, i: F.struct(x["kbps"].alias("k"), (-i).alias("i"), x.alias("x"))))["x"]
+    staged = df.withColumns({
+        "min_kbps": floor, "_budget": budget,
+        "_sizes": F.filter(sizes, lambda x: ~((x["w"] >= w) & (x["h"] >= h))),
+        "_rates": F.filter(F.transform(F.array(*[F.lit(float(s)) for s in steps]), slower), lambda f: f < fps),
+    })
+    share = lambda x: (x["w"] * x["h"]).cast("double") / S.pixels(w, h)
+    slow_kbps = lambda gain: S.whole(S.whole(rate * gain) / margin)
+    by_size = F.transform("_sizes", lambda x: cand("resolution", x["w"], x["h"], fps, c("_budget"), impact(share(x), 0.8, 0.6)))
+    by_fps = F.transform("_rates", lambda f: cand("fps", w, h, f, slow_kbps(fps / f), impact(f / fps, 0.8, 0.6)))
+    both = F.flatten(F.transform("_sizes", lambda x: F.transform("_rates", lambda f: cand(
+        "combined", x["w"], x["h"], f, slow_kbps(fps / f * (1.0 / F.sqrt(share(x)))), impact(share(x) * (f / fps), 0.7, 0.5)))))
+    smallest = allowed[-1] if allowed else None
+    tries = F.array(
+        cand("resolution", F.lit(smallest[0]), F.lit(smallest[1]), fps, c("_budget"), worst) if smallest else cand("resolution", w, h, fps, rate, worst),
+        cand("fps", w, h, lowest, slow_kbps(fps / lowest), worst),
+    )
+    staged = staged.withColumn("_both", F.when(rate < c("min_kbps"), both))  # only short rates need candidates
+    staged = staged.withColumn("_good", F.when(
+        rate < c("min_kbps"), F.filter(F.concat(by_size, by_fps, "_both"), lambda x: x["kbps"] >= F.col("min_kbps"))))
+    tried = F.transform(F.concat(tries, "_both"), lambda x, i: F.struct(x["kbps"].alias("k"), (-i).alias("i"), x.alias("x")))
+    staged = staged.withColumn("_best", F.when(F.size("_good") == 0, F.array_max(tried)["x"]))
     same = cand("none", w, h, fps, rate, F.lit("minimal"))
-    chosen = F.when(rate >= F.col("min_kbps"), same).when(F.size(F.filter("_c", lambda x: x["kbps"] >= F.col("min_kbps"))) > 0, good)
-    out = staged.withColumn("_g", chosen).withColumn("_b", best)
-    use = lambda f: F.when(F.col("_g").isNotNull(), F.col(f"_g.{f}")).otherwise(F.col(f"_b.{f}"))
+    out = staged.withColumn("_g", F.when(rate >= c("min_kbps"), same).otherwise(first(c("_good"))))
+    found = c("_g").isNotNull()
+    use = lambda f: F.when(found, c(f"_g.{f}")).otherwise(c(f"_best.{f}"))
     return out.withColumns({
-        "adjust_ok": F.col("_g").isNotNull(),
-        "adjustment": F.when(F.col("_g").isNotNull(), F.col("_g.kind")).otherwise("failed"),
+        "adjust_ok": found, "adjustment": F.when(found, c("_g.kind")).otherwise("failed"),
         "new_width": use("w"), "new_height": use("h"), "new_fps": use("fps"), "new_kbps": use("kbps"),
-        "impact": F.when(F.col("_g").isNotNull(), F.col("_g.impact")).otherwise("significant"),
-    }).drop("_c", "_t", "_g", "_b")
+        "impact": F.when(found, c("_g.impact")).otherwise("significant"),
+    }).drop("_budget", "_sizes", "_rates", "_both", "_good", "_best", "_g")
 
 
 def suggest(df: DataFrame, resolutions=FALLBACK_RESOLUTIONS, min_fps: float = K.MIN_FPS, steps=K.FPS_STEPS, minima: dict = K.ENCODER_MIN_KBPS) -> DataFrame:

@@ -43,15 +43,24 @@ TOP = """SELECT *, best_q - quality AS quality_loss, est_mb - small AS size_over
    max(quality) OVER (PARTITION BY asset_id) AS best_q, min(est_mb) OVER (PARTITION BY asset_id) AS small FROM opts) WHERE rank <= 8"""
 
 
-@query("ladder", f"SELECT {COLS} FROM opts", "v_assets", "est_mb quality efficiency", **LADDER)
+def micro(df, *cols):
+    """Cut to six decimals: sizes are dyadic, so rounding them would hit exact halves."""
+    return df.withColumns({c: F.floor(F.col(c) * 1e6) / 1e6 for c in cols})
+
+
+def _cut(c):
+    return f"floor({c} * 1000000.0e0) / 1000000.0e0 AS {c}"
+
+
+@query("ladder", f"SELECT * REPLACE ({_cut('est_mb')}) FROM (SELECT {COLS} FROM opts)", "v_assets", "quality efficiency", 9, **LADDER)
 def _(spark, sf):
-    return L.ladder(content_assets(spark, sf))
+    return micro(L.ladder(content_assets(spark, sf)), "est_mb")
 
 
-@query("ladder_top8", f"SELECT {COLS}, rank, quality_loss, size_over_smallest FROM top", "v_assets",
-       "est_mb quality efficiency quality_loss size_over_smallest", **LADDER, top=TOP)
+@query("ladder_top8", f"SELECT * REPLACE ({_cut('est_mb')}, {_cut('size_over_smallest')}) FROM (SELECT {COLS}, rank, quality_loss, size_over_smallest FROM top)", "v_assets",
+       "quality efficiency quality_loss", 9, **LADDER, top=TOP)
 def _(spark, sf):
-    return L.ladder_top(content_assets(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
+    return micro(L.ladder_top(content_assets(spark, sf)), "est_mb", "size_over_smallest").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -178,7 +187,7 @@ def _(spark, sf):
 DECISION = f"""SELECT *, confidence >= 0.7e0 AND pred_vmaf >= 75 AND pred_ssim >= 0.9e0 AND complexity < 0.3e0 AND motion < 0.4e0 AND duration_s < 120 AS skip,
    least(300.0e0, least(3.0e0, duration_s / 60) * 30 * (width * height / 2073600.0e0) * (complexity * 0.5e0 + 1)) AS eval_cost_s,
    {_codes(_when('complexity > 0.7e0', 'high_complexity_content'), _when('motion > 0.8e0', 'high_motion_content'), _when('width * height > 8294400', 'very_high_resolution'), _when('duration_s > 600', 'very_long_duration'), _when('bitrate <> 0 AND bitrate < 500000', 'very_low_bitrate'), _when('scene_changes > duration_s / 3', 'frequent_scene_changes'), _when("codec = 'unknown'", 'unknown_codec'))} AS risk_factors
-  FROM (SELECT *, (CASE WHEN width * height >= 2073600 THEN 0.9e0 WHEN width * height >= 921600 THEN 0.7e0 ELSE 0.5e0 END + CASE WHEN coalesce(bitrate, 0) <> 0 THEN 0.8e0 ELSE 0.4e0 END + 1 - complexity * 0.5e0 + 1 - motion * 0.3e0
+  FROM (SELECT *, (CASE WHEN width * height >= 2073600 THEN 0.9e0 WHEN width * height >= 921600 THEN 0.7e0 ELSE 0.5e0 END + CASE WHEN coalesce(bitrate, 0) <> 0 THEN 0.8e0 ELSE 0.4e0 END + (1 - complexity * 0.5e0) + (1 - motion * 0.3e0)
      + CASE WHEN duration_s < 60 THEN 0.9e0 WHEN duration_s < 300 THEN 0.7e0 ELSE 0.5e0 END + CASE WHEN similar_results >= 3 THEN 0.9e0 WHEN similar_results >= 1 THEN 0.6e0 ELSE 0.3e0 END) / 6 AS confidence
     FROM (SELECT p.*, coalesce(n.c, 0) AS similar_results FROM pred p LEFT JOIN (SELECT asset_id, count(*) AS c FROM near WHERE similarity > 0.7e0 GROUP BY asset_id) n USING (asset_id)))"""
 NEAR = NEIGHBOURS.replace("duration_s, complexity / 10 AS complexity, motion / 10 AS motion, fps FROM v_assets) a", "duration_s, complexity, motion, fps FROM chars) a")
@@ -247,7 +256,7 @@ def _(spark, sf):
 
 
 FAIL_IN = f"""SELECT job_id, step, vmaf AS v, ssim - 0.03e0 AS s, tax * 2 AS blk, CASE WHEN crf % 3 <> 0 THEN tax * 1.7e0 END AS bnd, CASE WHEN crf % 2 = 0 THEN tax * 3 END AS blur, tax * 2.6e0 AS noise, bitrate_kbps // 3 AS rate, encoder,
-  CASE preset WHEN 'fast' THEN 'ultrafast' WHEN 'medium' THEN 'p1' ELSE preset END AS preset, bitrate_kbps * 4 AS orig, {_pick('crf', *_q('low', 'medium', 'high'))} AS ml, {_pick('step', *_q('low', 'high'))} AS cl, size_mb / 7 - 0.1e0 AS room, crf % 4 <> 0 AS eval_ok FROM v_encodes"""
+  CASE preset WHEN 'fast' THEN 'ultrafast' WHEN 'medium' THEN 'p1' ELSE preset END AS preset, bitrate_kbps * 4 AS orig, {_pick('crf', *_q('low', 'medium', 'high'))} AS ml, {_pick('step', *_q('low', 'high'))} AS cl, size_mb / 7 - 0.1e0 AS room, crf % 4 <> 0 AS eval_ok, tax FROM v_encodes"""
 
 
 def _sayl(test, *codes):
@@ -475,15 +484,14 @@ def _(spark, sf):
     "bpp_select",
     """SELECT asset_id, CASE WHEN kbps < 10 THEN 64 ELSE w END AS sel_w, CASE WHEN kbps < 10 THEN 48 ELSE h END AS sel_h, CASE WHEN kbps < 10 THEN 20.0e0 ELSE f END AS sel_fps, kbps >= 10 AND fit AS meets_bpp FROM (
     SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY fit DESC, hi, fi) AS r FROM (SELECT *, kbps * 1000.0e0 / (w * h * f) >= 0.023e0 AS fit FROM (
-      SELECT asset_id, kbps, hi, fi, CAST(hh AS BIGINT) AS h, greatest(64, CAST(floor(hh * (width / height)) AS BIGINT) - CAST(floor(hh * (width / height)) AS BIGINT) % 2) AS w, f
-      FROM (SELECT *, CAST(bitrate // 9000 AS BIGINT) - 10 AS kbps, """ + LEVEL + """ AS ml FROM v_assets) a CROSS JOIN hs JOIN fs ON fs.g = CASE WHEN ml = 'low' THEN 'low' WHEN fps >= 30 THEN 'fast' ELSE 'slow' END WHERE hh <= height AND f >= 20))) WHERE r = 1""",
+      SELECT asset_id, kbps, hi, fi, CAST(hh AS BIGINT) AS h, CASE WHEN hi = -1 THEN width ELSE greatest(64, CAST(floor(hh * (width / height)) AS BIGINT) - CAST(floor(hh * (width / height)) AS BIGINT) % 2) END AS w, f
+      FROM (SELECT *, CAST(bitrate // 9000 AS BIGINT) - 10 AS kbps, """ + LEVEL + """ AS ml FROM v_assets) a JOIN (SELECT * FROM hs UNION ALL SELECT -1, 2160) hs ON hi >= 0 OR height = 2160 JOIN fs ON fs.g = CASE WHEN ml = 'low' THEN 'low' WHEN fps >= 30 THEN 'fast' ELSE 'slow' END WHERE hh <= height AND f >= 20))) WHERE r = 1""",
     "v_assets", hs="SELECT * FROM (VALUES (0, 1080), (1, 720), (2, 540), (3, 480), (4, 360), (5, 270), (6, 240), (7, 180), (8, 144), (9, 120)) t(hi, hh)",
     fs="SELECT * FROM (VALUES ('low', 0, 24.0e0), ('low', 1, 20.0e0), ('low', 2, 30.0e0), ('fast', 0, 30.0e0), ('fast', 1, 24.0e0), ('fast', 2, 20.0e0)) t(g, fi, f)",
 )
 def _(spark, sf):
     a = V.v_assets(spark, sf).withColumn("kbps", F.floor(F.col("bitrate") / 9000) - 10).withColumn("motion_level", S.motion_level(F.col("fps")))
-    a = a.withColumn("height", F.when(F.col("height") == 2160, 1080).otherwise(F.col("height"))) if False else a
-    return P.select_res_fps(a.where("height <= 1080"), 0.023).select("asset_id", "sel_w", "sel_h", "sel_fps", "meets_bpp")
+    return P.select_res_fps(a, 0.023).select("asset_id", "sel_w", "sel_h", "sel_fps", "meets_bpp")
 
 
 @query(
