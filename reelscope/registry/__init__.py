@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "aggregates", "sources", "joins", "windows", "frames", "ranks", "plans")
+MODULES = ("scalars", "aggregates", "sources", "joins", "windows", "frames", "ranks", "plans", "streams")
 
 
 def load() -> tuple[dict, dict]:
