@@ -79,7 +79,7 @@ def with_scores(df: DataFrame, raw: str = "_raw") -> DataFrame:
 
     Quartiles are picked by index (n//4, 3n//4), not interpolated.
     """
-    staged = df.withColumn("_sorted", F.array_sort(in_unit(F.col(raw))))
+    staged = df.withColumn("_sorted", F.sort_array(in_unit(F.col(raw))))
     n = F.size("_sorted")
     q1 = F.get("_sorted", F.floor(n / 4).cast("int"))
     q3 = F.get("_sorted", F.floor(n * 3 / 4).cast("int"))

@@ -4,6 +4,7 @@ A plain ``Window.partitionBy(group)`` puts a whole group into one task.  These h
 group into *blocks* along its order column (an hour of a log, 1024 frames of a video), run the
 window inside (group, block), and pass what must cross a block border through a small table
 with one row per block.  Rows are shuffled once, on (group, block), so a hot group spreads.
+Groups that are not large keep a plain window.
 """
 
 from __future__ import annotations
@@ -31,13 +32,27 @@ def _group_window(group: list[str]):
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 
 
-def _null_safe_join(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+HOT_ROWS = 100_000
+HOT_GROUPS = 1000
+
+
+def hot_groups(df: DataFrame, group: list[str], more_than: int = HOT_ROWS, most: int = HOT_GROUPS) -> DataFrame:
+    """One row: an array with the at most ``most`` largest groups above ``more_than`` rows.
+
+    A group that is left out has at most 1/``most`` of all rows, which one task can take.
+    """
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than)
+    top = counts.orderBy(F.col("_n").desc(), *group).limit(most)
+    return top.agg(F.collect_list(F.struct(*group)).alias("hot"))
+
+
+def _join_blocks(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     right = table.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in table.columns])
     cond = None
     for k in keys:
         test = F.col(k) == F.col(f"_k_{k}")
         cond = test if cond is None else cond & test
-    return df.join(right, cond).drop(*[f"_k_{k}" for k in keys])
+    return rows.join(right, cond, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def carried(
@@ -50,15 +65,25 @@ def carried(
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     maxima: dict[str, Column] | None = None,
+    hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add exact whole-group ordered columns.
 
     ``number``: 1-based row number.  ``sums``: inclusive running sums.  ``maxima``: inclusive
     running maxima.  ``previous`` / ``following``: value of a column in the neighbouring row.
-    ``order`` must be a total order within the group.
+    ``order`` must be a total order within the group and ``block`` must not fall along it.
+
+    Only groups above ``hot_rows`` rows are cut into blocks (without a group: always); the others
+    stay one partition of the window.  Either way rows are shuffled once.  ``sizes``: rows to
+    count groups on, where that is cheaper than ``df`` (an earlier stage with the same groups).
     """
     sums, previous, following, maxima = sums or {}, previous or {}, following or {}, maxima or {}
-    rows = df.withColumn(BLOCK, block)
+    if group:
+        hot = hot_groups(df if sizes is None else sizes, group, hot_rows).scalar()
+        rows = df.withColumn(BLOCK, F.when(F.array_contains(hot, F.struct(*group)), block))
+    else:
+        rows = df.withColumn(BLOCK, block)
     keys = [*group, BLOCK]
     order_key = F.struct(*order)
     aggs = []
@@ -70,25 +95,24 @@ def carried(
         aggs.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in previous.items()]), order_key).alias("_last"))
     if following:
         aggs.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in following.items()]), order_key).alias("_first"))
-    blocks = rows.groupBy(*keys).agg(*aggs)
+    blocks = rows.where(F.col(BLOCK).isNotNull()).groupBy(*keys).agg(*aggs)
     bw = _group_window(group).orderBy(BLOCK)
     earlier = bw.rowsBetween(Window.unboundedPreceding, -1)
     carry = []
     if number:
-        carry.append(F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_c_n"))
+        carry.append(F.sum("_n").over(earlier).alias("_c_n"))
     carry += [F.sum(f"_s_{n}").over(earlier).alias(f"_c_s_{n}") for n in sums]
     carry += [F.max(f"_m_{n}").over(earlier).alias(f"_c_m_{n}") for n in maxima]
     if previous:
         carry.append(F.lag("_last").over(bw).alias("_c_last"))
     if following:
         carry.append(F.lead("_first").over(bw).alias("_c_first"))
-    table = blocks.select(*keys, *carry)
-    out = _null_safe_join(rows, table, keys)
+    out = _join_blocks(rows, blocks.select(*keys, *carry), keys)
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {}
     if number:
-        added[number] = F.row_number().over(w) + F.col("_c_n")
+        added[number] = F.row_number().over(w) + F.coalesce("_c_n", F.lit(0))
     for n, expr in sums.items():
         here, before = F.sum(expr).over(upto), F.col(f"_c_s_{n}")
         added[n] = F.when(here.isNull(), before).when(before.isNull(), here).otherwise(here + before)
@@ -99,8 +123,7 @@ def carried(
     for n, c in following.items():
         is_last = F.lead(F.lit(1)).over(w).isNull()
         added[n] = F.when(is_last, F.col("_c_first")[n]).otherwise(F.lead(c).over(w))
-    keep = df.columns
-    return out.select(*keep, *[col.alias(n) for n, col in added.items()])
+    return out.select(*df.columns, *[col.alias(n) for n, col in added.items()])
 
 
 def trend(df: DataFrame, group: list[str], order: list[str], block: Column, measures: dict[str, Column]) -> DataFrame:

@@ -64,7 +64,7 @@ def asset_phash(frames: DataFrame, count: int = 10) -> DataFrame:
     picked = frames.join(n, "video_id").where((F.col("frame_idx") % step == 0) & (F.col("frame_idx") < step * count))
     hashed = average_hash(picked)
     return hashed.groupBy("video_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "hash"))), lambda x: x["hash"]).alias("hashes")
+        F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "hash"))), lambda x: x["hash"]).alias("hashes")
     )
 
 

@@ -94,13 +94,16 @@ def hash_groups(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("asset_id").alias("first_asset"))
 
 
-def similar_hashes(groups: DataFrame, threshold: float = 0.8, agree: int = 2, bits: int = 64, salts: int = 8) -> DataFrame:
+def similar_hashes(groups: DataFrame, threshold: float = 0.8, agree: int = 1, bits: int = 64, salts: int = 4) -> DataFrame:
     """All pairs of distinct hashes with 1 - hamming/bits >= threshold, each once, exact.
 
     With at most d differing bits and d + ``agree`` pieces, ``agree`` pieces are equal, so two
     near hashes meet on some combination of pieces.  A pair is kept only for the first
     combination it agrees on, so no de-duplicating shuffle is needed.  One side is spread over
     ``salts`` and the other copied to each, so a popular combination is shared by many tasks.
+
+    A low threshold is costly on any exact method: at 0.8 the thirteen pieces have five bits.  For
+    a large catalogue raise ``agree`` (fewer candidates, more keys per hash) or the threshold.
     """
     d = floor(bits * (1 - threshold) + 1e-9)
     n = d + agree
@@ -134,7 +137,7 @@ def similar_hashes(groups: DataFrame, threshold: float = 0.8, agree: int = 2, bi
     )
 
 
-def similar_assets(hashes: DataFrame, threshold: float = 0.8, agree: int = 2) -> DataFrame:
+def similar_assets(hashes: DataFrame, threshold: float = 0.8, agree: int = 1) -> DataFrame:
     """Similar groups of assets: pairs of distinct hashes, plus one row per hash shared by copies.
 
     Equal copies are reported as one row (similarity 1) with their number, never as all pairs;
@@ -249,7 +252,7 @@ def apply_caps(assets: DataFrame, platforms: DataFrame) -> DataFrame:
 
     The platform table has a fixed handful of rows, which travel as one array value.
     """
-    boxes = platforms.agg(F.array_sort(F.collect_list(F.struct("platform", "max_width", "max_height", "cap_fps"))).alias("p")).scalar()
+    boxes = platforms.agg(F.sort_array(F.collect_list(F.struct("platform", "max_width", "max_height", "cap_fps"))).alias("p")).scalar()
     each = assets.withColumn("_p", F.explode(boxes)).select("*", "_p.*").drop("_p")
     scale = F.least(F.col("max_width") / F.col("width"), F.col("max_height") / F.col("height"), F.lit(1.0))
     return each.withColumns(

@@ -83,7 +83,7 @@ def islands(df: DataFrame, group: list[str], value: str, tie: str, gap: float, w
     prev = B.carried(df, group, [value, tie], B.by_value(value, width), previous={"_pv": value})
     new = F.when(F.col("_pv").isNull() | (F.col(value) - F.col("_pv") > gap), 1).otherwise(0)
     return B.carried(
-        prev.withColumn("_new", new), group, [value, tie], B.by_value(value, width), sums={"island": F.col("_new")}
+        prev.withColumn("_new", new), group, [value, tie], B.by_value(value, width), sums={"island": F.col("_new")}, sizes=df
     ).drop("_pv", "_new")
 
 
@@ -140,7 +140,7 @@ def convergence(
     """Status after each attempt, from the last three scores. Needs step (1, 2, ...) and quality."""
     blk = B.index_block("step", block)
     one = B.carried(attempts, group, ["step"], blk, number="_i", previous={"_q1": "quality"})
-    two = B.carried(one, group, ["step"], blk, previous={"_q2": "_q1"})
+    two = B.carried(one, group, ["step"], blk, previous={"_q2": "_q1"}, sizes=attempts)
     q0, q1, q2 = F.col("quality"), F.col("_q1"), F.col("_q2")
     known = q0.isNotNull() & q1.isNotNull() & q2.isNotNull()
     best = F.greatest(F.lit(0.0), q0 - q1, q1 - q2)
@@ -177,7 +177,7 @@ def failure_runs(attempts: DataFrame, block_hours: int = 1, window_s: int = 60)
     group, order, blk = ["session_id"], ["ts", "attempt_id"], B.hour_block("ts", block_hours)
     counted = B.carried(attempts, group, order, blk, number="attempt_no", sums={"total_time": F.col("duration")})
     reset = F.when(~fail, F.col("attempt_no"))
-    runs = B.carried(counted, group, order, blk, maxima={"_last_ok": reset})
+    runs = B.carried(counted, group, order, blk, maxima={"_last_ok": reset}, sizes=attempts)
     out = runs.withColumn("consecutive_failures", F.col("attempt_no") - F.coalesce("_last_ok", F.lit(0))).drop("_last_ok")
     return recent_count(out, group, "ts", window_s, fail, "recent_failures")
 
@@ -190,7 +190,7 @@ def degradation(sessions: DataFrame, group: list[str], last: int = 5, least: int
     good = F.col("success") & (F.coalesce("duration", F.lit(0.0)) != 0)
     gathered = tail.groupBy(*group).agg(
         size.alias("_n"),
-        F.array_sort(F.collect_list(F.when(good, F.struct((-F.col("_r")).alias("o"), "duration")))).alias("_d"),
+        F.sort_array(F.collect_list(F.when(good, F.struct((-F.col("_r")).alias("o"), "duration")))).alias("_d"),
     )
     d = F.transform("_d", lambda x: x["duration"])
     n = F.size("_d")

@@ -25,7 +25,7 @@ BITRATE_GAIN = {"libx264": 1.0, "libx265": 1.2, "h264_nvenc": 0.8, "h264_amf": 0
 
 def say(test: Column, *codes: str) -> Column:
     """The codes when the test holds, else nothing (null tests count as false)."""
-    return F.when(F.coalesce(test, F.lit(False)), F.array(*[F.lit(c) for c in codes])).otherwise(F.array().cast("array<string>"))
+    return F.when(yes(test), F.array(*[F.lit(c) for c in codes])).otherwise(F.array().cast("array<string>"))
 
 
 def segment_floor(attempt: Column) -> Column:
@@ -56,9 +56,43 @@ def quality_gate(results: DataFrame, mode: str = "conservative", vmaf_min: float
     )
 
 
-def ordered(codes: Column, order: tuple[str, ...]) -> Column:
-    """Distinct codes in the fixed order."""
-    return F.filter(F.array(*[F.lit(c) for c in order]), lambda x: F.array_contains(codes, x))
+def listed(flags: dict[str, Column]) -> Column:
+    """Names of the flags that hold, in their given order."""
+    return F.array_except(F.array(*[F.when(test, F.lit(name)) for name, test in flags.items()]), F.array(F.lit(None).cast("string")))
+
+
+def yes(test: Column) -> Column:
+    """A test with null counting as false."""
+    return F.coalesce(test, F.lit(False))
+
+
+def bit(test: Column) -> Column:
+    return F.when(test, 1).otherwise(0)
+
+
+def average(items: list[Column]) -> Column:
+    """Mean of the non-null items."""
+    total = [F.coalesce(x, F.lit(0.0)) for x in items]
+    count = [bit(x.isNotNull()) for x in items]
+    return F.try_divide(sum(total[1:], total[0]), sum(count[1:], count[0]).cast("double"))
+
+
+def failure_flags() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Flag per failure type and per root cause, as plain boolean columns."""
+    c = F.col
+    v, s = c("vmaf"), c("ssim")
+    low_v, low_s = yes(v < 80), yes(s < 0.94)
+    blocky, banded, blurred, noisy = yes(c("blockiness") > 0.12), yes(c("banding") > 0.10), yes(c("blur") > 0.15), yes(c("noise") > 0.20)
+    timed = blocky & blurred
+    raised = bit(low_v) + bit(low_s) + bit(blocky) * 2 + bit(banded) * 2 + bit(blurred) + bit(noisy) + bit(timed)
+    flags = (low_v, low_s, blocky, banded, blurred, noisy, timed, blocky | banded, (raised >= 3) | (raised == 0))
+    rate, known = c("bitrate_kbps"), c("bitrate_kbps").isNotNull()
+    starved = yes(known & ((rate < 500) | ((rate < 1000) & (v < 70))))
+    weak = yes(((c("encoder") == "libx264") & c("preset").isin("ultrafast", "superfast")) | (c("encoder").contains("nvenc") & c("preset").isin("p1", "p2")))
+    squeezed = yes((c("original_kbps") > 0) & (rate < c("original_kbps") * 0.1))
+    hard = yes((c("motion_level") == "high") & (v < 75)) | yes((c("complexity_level") == "high") & (s < 0.92))
+    causes = (starved | blocky, weak | blurred, squeezed | blocky | banded, hard, banded, blurred, timed)
+    return dict(zip(FAILURES, flags)), dict(zip(CAUSES, causes))
 
 
 def failure_analysis(df: DataFrame) -> DataFrame:
@@ -69,75 +103,60 @@ def failure_analysis(df: DataFrame) -> DataFrame:
     """
     c = F.col
     v, s, blk, bnd = c("vmaf"), c("ssim"), c("blockiness"), c("banding")
-    blocky, banded, blurred, noisy = blk > 0.12, bnd > 0.10, c("blur") > 0.15, c("noise") > 0.20
-    first = F.concat(
-        say(v < 80, "low_vmaf"), say(s < 0.94, "low_ssim"), say(blocky, "high_blockiness", "compression_artifacts"),
-        say(banded, "high_banding", "compression_artifacts"), say(blurred, "blur_artifacts"), say(noisy, "noise_artifacts"),
-        say(blocky & blurred, "temporal_artifacts"),
-    )
-    out = df.withColumn("_f", first)
-    out = out.withColumn("_f", F.concat("_f", say((F.size("_f") >= 3) | (F.size("_f") == 0), "combined_quality")))
-    out = out.withColumn("failure_types", ordered(c("_f"), FAILURES)).drop("_f")
-    has = lambda code: F.array_contains("failure_types", code)
-    params = c("bitrate_kbps").isNotNull()
-    causes = F.concat(
-        say(params & ((c("bitrate_kbps") < 500) | ((c("bitrate_kbps") < 1000) & (v < 70))), "insufficient_bitrate"),
-        say(((c("encoder") == "libx264") & c("preset").isin("ultrafast", "superfast")) | (c("encoder").contains("nvenc") & c("preset").isin("p1", "p2")), "poor_encoder_settings"),
-        say(params & (c("original_kbps") > 0) & (c("bitrate_kbps") < c("original_kbps") * 0.1), "aggressive_compression"),
-        say(has("high_blockiness"), "insufficient_bitrate", "aggressive_compression"), say(has("high_banding"), "codec_limitations", "aggressive_compression"),
-        say(has("blur_artifacts"), "preprocessing_issues", "poor_encoder_settings"), say(has("temporal_artifacts"), "temporal_compression"),
-        say((c("motion_level") == "high") & (v < 75), "content_complexity"), say((c("complexity_level") == "high") & (s < 0.92), "content_complexity"),
-    )
-    out = out.withColumn("_c", causes).withColumn("root_causes", ordered(c("_c"), CAUSES)).drop("_c")
+    types, causes = failure_flags()
+    marked = df.withColumns({**{f"_f_{n}": t for n, t in types.items()}, **{f"_c_{n}": t for n, t in causes.items()}})
+    has, caused = (lambda n: c(f"_f_{n}")), (lambda n: c(f"_c_{n}"))
+    count = [bit(has(n)) for n in FAILURES]
     weight = {
         "low_vmaf": F.greatest(F.lit(0.0), (80 - v) / 80), "low_ssim": F.greatest(F.lit(0.0), (0.94 - s) / 0.94),
         "high_blockiness": F.least(F.lit(1.0), (blk - 0.12) / 0.88), "high_banding": F.least(F.lit(1.0), (bnd - 0.10) / 0.90),
     }
-    ranked = F.array(*[
+    ranked = [
         F.when(has(f), F.struct(F.coalesce(weight.get(f, F.lit(0.5)), F.lit(0.5)).alias("w"), F.lit(-i).alias("r"), F.lit(f).alias("f")))
         for i, f in enumerate(FAILURES)
-    ])
-    out = out.withColumn("primary_issue", F.array_max(ranked)["f"])
-    caused = lambda code: F.array_contains("root_causes", code)
+    ]
+    band = lambda x, cuts: F.when(x < cuts[0], 1.0).when(x < cuts[1], 0.8).when(x < cuts[2], 0.6).when(x.isNotNull(), 0.3)
+    marks = [
+        band(v, (40, 60, 80)), band(s, (0.85, 0.90, 0.94)), F.when(has("high_blockiness"), weight["high_blockiness"]),
+        F.when(has("high_banding"), weight["high_banding"]), F.when(sum(count[1:], count[0]) >= 3, 0.8),
+    ]
+    out = marked.withColumns({
+        "failure_types": listed({n: has(n) for n in FAILURES}), "root_causes": listed({n: caused(n) for n in CAUSES}),
+        "primary_issue": F.greatest(*ranked)["f"], "_m": F.sort_array(F.array(*marks), asc=False),
+    })
     wanted = {
         "high_blockiness": ("insufficient_bitrate", "aggressive_compression"), "high_banding": ("codec_limitations", "aggressive_compression"),
         "low_vmaf": ("insufficient_bitrate", "poor_encoder_settings"), "low_ssim": ("insufficient_bitrate", "poor_encoder_settings"),
     }
     cause = F.when(F.lit(False), "")
-    for issue, (a, b) in wanted.items():
-        cause = cause.when((c("primary_issue") == issue) & caused(a), a).when((c("primary_issue") == issue) & caused(b), b)
-    default = F.lit("insufficient_bitrate")
-    fallback = F.when(caused("insufficient_bitrate") | (F.size("root_causes") == 0), default).otherwise(F.get("root_causes", F.lit(0)))
-    out = out.withColumn("primary_cause", cause.otherwise(fallback))
-    band = lambda x, cuts: F.when(x < cuts[0], 1.0).when(x < cuts[1], 0.8).when(x < cuts[2], 0.6).when(x.isNotNull(), 0.3)
-    marks = F.reverse(F.array_sort(F.array_compact(F.array(
-        band(v, (40, 60, 80)), band(s, (0.85, 0.90, 0.94)), F.when(blocky, F.least(F.lit(1.0), (blk - 0.12) / 0.88)),
-        F.when(banded, F.least(F.lit(1.0), (bnd - 0.10) / 0.90)), F.when(F.size("failure_types") >= 3, 0.8),
-    ))))
-    out = out.withColumn("_m", marks)
-    m = lambda i: F.get("_m", F.lit(i))
-    rest = F.slice("_m", 3, 8)
-    tail = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) * 0.2 / F.size(rest)
+    for issue, pair in wanted.items():
+        for name in pair:
+            cause = cause.when((c("primary_issue") == issue) & caused(name), name)
+    for name in CAUSES:  # otherwise the first cause, which is the default when there is none
+        cause = cause.when(caused(name), name)
+    m = [F.get("_m", F.lit(i)) for i in range(5)]
+    rest = F.coalesce(average(m[2:]), F.lit(0.0))
     severity = (
-        F.when(F.size("_m") == 0, 0.5).when(F.size("_m") == 1, m(0)).when(F.size("_m") == 2, m(0) * 0.7 + m(1) * 0.3)
-        .otherwise(m(0) * 0.5 + m(1) * 0.3 + tail)
+        F.when(m[0].isNull(), 0.5).when(m[1].isNull(), m[0]).when(m[2].isNull(), m[0] * 0.7 + m[1] * 0.3)
+        .otherwise(m[0] * 0.5 + m[1] * 0.3 + rest * 0.2)
     )
-    mean = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + x) / F.size(items)
-    given = lambda test, value: F.when(F.coalesce(test, F.lit(False)), F.lit(value))
-    sure = F.array_compact(F.array(
-        given(v.isNotNull(), 0.9), given(s.isNotNull(), 0.8), given(blk.isNotNull(), 0.7), given(bnd.isNotNull(), 0.7), given(params, 0.6),
-        F.when(F.coalesce("eval_ok", F.lit(False)), 0.8).otherwise(0.3),
-    ))
     room = c("headroom_mb")
-    chance = F.array_compact(F.array(
+    given = lambda test, value: F.when(test, F.lit(value))
+    sure = [
+        given(v.isNotNull(), 0.9), given(s.isNotNull(), 0.8), given(blk.isNotNull(), 0.7), given(bnd.isNotNull(), 0.7),
+        given(c("bitrate_kbps").isNotNull(), 0.6), F.when(yes(c("eval_ok")), 0.8).otherwise(0.3),
+    ]
+    chance = [
         F.when(room > 2, 0.9).when(room > 0.5, 0.7).when(room > 0.1, 0.4).otherwise(0.1),
         given(caused("insufficient_bitrate") | caused("poor_encoder_settings") | caused("aggressive_compression"), 0.8),
         given(has("low_vmaf") | has("low_ssim") | has("high_blockiness") | has("high_banding"), 0.7),
         F.when(c("encoder").isin("libx264", "libx265"), 0.8).when(c("encoder").contains("nvenc") | c("encoder").contains("amf"), 0.6),
-    ))
-    return out.withColumns({
-        "severity": severity, "analysis_confidence": mean(sure), "potential": mean(chance), "can_improve": room > 0.1,
-    }).drop("_m")
+    ]
+    final = out.withColumns({
+        "primary_cause": cause.otherwise("insufficient_bitrate"), "severity": severity, "analysis_confidence": average(sure),
+        "potential": average(chance), "can_improve": room > 0.1,
+    })
+    return final.drop("_m", *[f"_f_{n}" for n in FAILURES], *[f"_c_{n}" for n in CAUSES])
 
 
 def strategies(failures: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def ladder_top(assets: DataFrame, k: int = 8, key: str = "asset_id") -> DataFram
         {"best_quality": F.array_max(F.transform("options", lambda o: o["quality"])),
          "smallest_mb": F.array_min(F.transform("options", lambda o: o["est_mb"]))}
     )
-    ranked = F.slice(F.array_sort(F.transform("options", lambda o: F.struct((-o["efficiency"]).alias("e"), o["option_no"].alias("n"), o.alias("o")))), 1, k)
+    ranked = F.slice(F.sort_array(F.transform("options", lambda o: F.struct((-o["efficiency"]).alias("e"), o["option_no"].alias("n"), o.alias("o")))), 1, k)
     out = opts.select(key, "best_quality", "smallest_mb", F.posexplode(ranked).alias("pos", "r"))
     return out.select(
         key, (F.col("pos") + 1).alias("rank"), "r.o.*",

@@ -152,7 +152,7 @@ def build_report(sessions: DataFrame, ops: DataFrame, lookups: DataFrame, now: C
     trend = A.trend_significance(recent)
     found = bottlenecks(A.op_stats(logged), A.lookup_stats(lookups))
     one = lambda df: df.select(F.struct(*df.columns)).scalar()
-    many = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns)))).scalar()
+    many = lambda df: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns)))).scalar()
     head = recent.sparkSession.range(1).select(now.alias("report_ts"), F.lit(days).alias("period_days"))
     return head.withColumns({
         "summary": one(A.session_summary(recent)), "duration_trend": one(trend),

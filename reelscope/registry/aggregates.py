@@ -272,7 +272,7 @@ def nested_sessions(spark, sf):
         F.col("size_mb").alias("duration"), (F.col("tax") > 0.03).alias("success"),
     )
     ops = enc.groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("step", "op_name", "duration", "success"))).alias("operations")
+        F.sort_array(F.collect_list(F.struct("step", "op_name", "duration", "success"))).alias("operations")
     )
     return V.v_sessions(spark, sf).join(ops, "session_id", "left").withColumn(
         "operations", F.coalesce("operations", F.array().cast("array<struct<step:bigint,op_name:string,duration:double,success:boolean>>"))

@@ -143,12 +143,12 @@ def hashes(spark, sf):
 @query(
     "similar_assets",
     """SELECT a.bits AS bits_a, b.bits AS bits_b, a.n AS copies_a, b.n AS copies_b, 1 - hamming(a.bits, b.bits) / 64.0e0 AS similarity
-      FROM g a JOIN g b ON a.bits < b.bits AND hamming(a.bits, b.bits) <= 19
+      FROM g a JOIN g b ON a.bits < b.bits AND hamming(a.bits, b.bits) <= 16
     UNION ALL SELECT bits, bits, n, n, 1.0e0 FROM g WHERE n > 1""",
     "v_frames", "similarity", hashes=HASHES, g="SELECT bits, count(*) AS n FROM hashes GROUP BY bits",
 )
 def _(spark, sf):
-    out = J.similar_assets(hashes(spark, sf), 0.7, agree=1)
+    out = J.similar_assets(hashes(spark, sf), 0.75)
     a, b = bit_text(F.col("hash_a")), bit_text(F.col("hash_b"))
     first = a <= b
     return out.select(

@@ -7,9 +7,8 @@ synthesised, so every query's work grows with the tables it is pointed at.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
-D = F.lit
+from reelscope.operators import blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +40,20 @@ def v_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("size_bytes", F.floor(F.col("bitrate") * F.col("duration_s") / 8))
 
 
+STEP_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+
+
+def with_step(lines: DataFrame) -> DataFrame:
+    """Number the lines of an order, cutting a very large order along (line number, part)."""
+    block = F.col("l_linenumber").cast("bigint") * (1 << 40) + F.floor(F.col("l_partkey") / 4096)
+    return blocks.carried(lines, ["l_orderkey"], STEP_ORDER, block, number="step")
+
+
 def v_encodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    )
-    return table(spark, sf_dir, "lineitem").select(
+    return with_step(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("job_id"),
-        F.row_number().over(w).cast("bigint").alias("step"),
+        F.col("step").cast("bigint").alias("step"),
         F.col("l_partkey").alias("asset_id"),
         F.floor(F.col("l_extendedprice") / 20).alias("bitrate_kbps"),
         (line + 18).alias("crf"),
@@ -107,13 +112,14 @@ def v_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
     pixel = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127.5))).cast("int")
+    numbered = blocks.carried(
+        table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 4096), number="n"
+    )
     return (
-        table(spark, sf_dir, "embeddings")
-        .select(
+        numbered.select(
             F.col("label").cast("bigint").alias("video_id"),
-            (F.row_number().over(w) - 1).cast("bigint").alias("frame_idx"),
+            (F.col("n") - 1).cast("bigint").alias("frame_idx"),
             F.transform("embedding", pixel).alias("pixels"),
             F.lit(8).alias("w"),
             F.lit(8).alias("h"),
@@ -134,12 +140,8 @@ def v_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    )
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        F.row_number().over(w).alias("step"),
+    line = with_step(table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey", "step",
         "l_extendedprice", "l_shipdate", "l_returnflag", "l_linenumber",
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -187,7 +189,7 @@ def v_eval_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         enc.groupBy("job_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct("step", line.alias("line")))).alias("ls"),
+            F.sort_array(F.collect_list(F.struct("step", line.alias("line")))).alias("ls"),
             F.max("vmaf").alias("top"),
         )
         .select(
