@@ -126,6 +126,25 @@ def carried(
     return out.select(*df.columns, *[col.alias(n) for n, col in added.items()])
 
 
+def with_lags(
+    df: DataFrame, group: list[str], index: str, lags: dict[str, tuple[str, int]], size: int = 4096, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Values of the rows 1, 2, ... before, where ``index`` counts a group's rows without gaps.
+
+    A large group is cut every ``size`` rows, and the last rows of a block are copied into the
+    next one as context; no join is needed.  ``lags``: name -> (column, distance).
+    """
+    reach = max(d for _, d in lags.values())
+    hot = hot_groups(df.select(*group), group, hot_rows).scalar()
+    at = F.when(F.array_contains(hot, F.struct(*group)), F.floor(F.col(index) / size))
+    tail = at.isNotNull() & (F.col(index) % size >= size - reach)
+    copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = df.withColumn(BLOCK, at).withColumn("_ctx", F.explode(copies)).withColumn(BLOCK, F.col(BLOCK) + F.col("_ctx"))
+    w = Window.partitionBy(*group, BLOCK).orderBy(index)
+    out = rows.withColumns({name: F.lag(c, d).over(w) for name, (c, d) in lags.items()})
+    return out.where("_ctx = 0").drop("_ctx", BLOCK)
+
+
 def trend(df: DataFrame, group: list[str], order: list[str], block: Column, measures: dict[str, Column]) -> DataFrame:
     """Least-squares slope of each measure over row order, per group.
 

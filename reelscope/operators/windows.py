@@ -135,12 +135,10 @@ def sample_budget(samples: DataFrame, seconds: float, min_tail: float = 0.5, blo
 
 
 def convergence(
-    attempts: DataFrame, group: list[str], max_iterations: int = 5, threshold: float = 1.0, drop: float = 2.0, block: int = 256
+    attempts: DataFrame, group: list[str], max_iterations: int = 5, threshold: float = 1.0, drop: float = 2.0, block: int = 4096
 ) -> DataFrame:
-    """Status after each attempt, from the last three scores. Needs step (1, 2, ...) and quality."""
-    blk = B.index_block("step", block)
-    one = B.carried(attempts, group, ["step"], blk, number="_i", previous={"_q1": "quality"})
-    two = B.carried(one, group, ["step"], blk, previous={"_q2": "_q1"}, sizes=attempts)
+    """Status after each attempt, from the last three scores. Needs step (1, 2, ... without gaps) and quality."""
+    two = B.with_lags(attempts.withColumn("_i", F.col("step")), group, "step", {"_q1": ("quality", 1), "_q2": ("quality", 2)}, block)
     q0, q1, q2 = F.col("quality"), F.col("_q1"), F.col("_q2")
     known = q0.isNotNull() & q1.isNotNull() & q2.isNotNull()
     best = F.greatest(F.lit(0.0), q0 - q1, q1 - q2)
@@ -203,9 +201,9 @@ def degradation(sessions: DataFrame, group: list[str], last: int = 5, least: int
     return out.select(*group, n.cast("bigint").alias("n"), slope.alias("slope"), (slope > limit).alias("degrading"))
 
 
-def improvement(attempts: DataFrame, group: list[str], block: int = 256) -> DataFrame:
-    """Step gain (quality plus ten times quality per MB) and total gain per group, 0 where unknown."""
-    prev = B.carried(attempts, group, ["step"], B.index_block("step", block), previous={"_pq": "quality", "_pm": "size_mb"})
+def improvement(attempts: DataFrame, group: list[str], block: int = 4096) -> DataFrame:
+    """Step gain (quality plus ten times quality per MB), 0 where unknown. Steps count 1, 2, ... without gaps."""
+    prev = B.with_lags(attempts, group, "step", {"_pq": ("quality", 1), "_pm": ("size_mb", 1)}, block)
     known = (F.coalesce("quality", F.lit(0.0)) != 0) & (F.coalesce("_pq", F.lit(0.0)) != 0)
     sized = (F.coalesce("size_mb", F.lit(0.0)) != 0) & (F.coalesce("_pm", F.lit(0.0)) != 0)
     gain = F.col("quality") - F.col("_pq")
