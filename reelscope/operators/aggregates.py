@@ -241,25 +241,41 @@ def history_trend(metrics: DataFrame, order: list[str]) -> DataFrame:
     return metrics.agg(*aggs, F.when(improved, "improving").otherwise("declining").alias("trend"))
 
 
+def _segment_index() -> Column:
+    return F.regexp_extract("name", r"_segment_(\d+)\.gif$", 1).try_cast("bigint")
+
+
 def folder_validity(segments: DataFrame) -> DataFrame:
-    """Per segment folder (columns folder, name, valid): completeness and usability."""
-    index = F.regexp_extract("name", r"_segment_(\d+)\.gif$", 1).try_cast("int")
-    base = segments.where(F.lower("name").endswith(".gif")).withColumn("idx", index)
-    agg = base.groupBy("folder").agg(
-        F.count(F.lit(1)).alias("gifs"), F.count_if("valid").alias("ok"), F.max("idx").alias("expected"),
-        F.collect_set("idx").alias("present"),
+    """Per segment folder (columns folder, name, valid): completeness and usability.
+
+    Indices are made distinct in a first, mergeable step, so a folder is never gathered whole.
+    """
+    gifs = segments.where(F.lower("name").endswith(".gif")).withColumn("idx", _segment_index())
+    per_index = gifs.groupBy("folder", "idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok"))
+    agg = per_index.groupBy("folder").agg(
+        F.sum("n").alias("gifs"), F.sum("ok").alias("ok"), F.max("idx").alias("expected"), F.count_if(F.col("idx") >= 1).alias("present")
     )
     short = F.coalesce(F.col("gifs") < F.col("expected"), F.lit(False))
-    missing = F.when(short, F.array_except(F.sequence(F.lit(1), F.greatest(F.lit(1), "expected")), "present"))
     return agg.select(
         "folder", "gifs",
         F.when(short, 0).otherwise(F.col("ok")).alias("valid_gifs"),
         F.when(short, F.col("gifs")).otherwise(F.col("gifs") - F.col("ok")).alias("invalid_gifs"),
-        F.coalesce(missing, F.array().cast("array<int>")).alias("missing"),
+        F.when(short, F.col("expected") - F.col("present")).otherwise(0).alias("missing"),
         (~short & (F.col("ok") > 0)).alias("usable"),
     )
 
 
+def missing_segments(segments: DataFrame, block: int = 4096) -> DataFrame:
+    """The missing indices of incomplete folders as rows (folder, segment_no)."""
+    gifs = segments.where(F.lower("name").endswith(".gif")).withColumn("idx", _segment_index())
+    short = folder_validity(segments).where("missing > 0").select("folder")
+    present = gifs.where("idx >= 1").select("folder", "idx").distinct().join(short, "folder", "left_semi")
+    gaps = B.carried(present, ["folder"], ["idx"], B.index_block("idx", block), previous={"_p": "idx"})
+    before = F.coalesce("_p", F.lit(0))
+    hole = gaps.where(F.col("idx") - before > 1)
+    return hole.select("folder", F.explode(F.sequence(before + 1, F.col("idx") - 1)).alias("segment_no"))
+
+
 def scene_stats(scenes: DataFrame) -> DataFrame:
     """Per video: scene count, mean scene length, critical scenes, spatial complexity spread."""
     return scenes.groupBy("video_id").agg(

@@ -309,19 +309,32 @@ def _(spark, sf):
     return A.history_trend(snaps, ["h"])
 
 
-@query(
-    "folder_validity",
-    """SELECT folder, n AS gifs, CASE WHEN n < mx THEN 0 ELSE ok END AS valid_gifs, CASE WHEN n < mx THEN n ELSE n - ok END AS invalid_gifs,
-      CASE WHEN n < mx THEN list_filter(range(1, mx + 1), lambda x: NOT list_contains(present, x))::INTEGER[] ELSE []::INTEGER[] END AS missing, n >= mx AND ok > 0 AS usable
-    FROM (SELECT job_id AS folder, count(*) AS n, count(*) FILTER (ssim < 0.98e0) AS ok, max(idx) AS mx, list(DISTINCT idx) AS present
-      FROM (SELECT *, CASE WHEN crf % 5 = 0 THEN step + 1 ELSE step END AS idx FROM v_encodes) GROUP BY job_id)""",
-    "v_encodes",
-)
-def _(spark, sf):
+SEG_IDX = "SELECT job_id AS folder, CASE WHEN crf % 5 = 0 THEN step + 1 ELSE step END AS idx, ssim < 0.98e0 AS valid FROM v_encodes"
+FOLDERS = "SELECT folder, count(*) AS n, count(*) FILTER (valid) AS ok, max(idx) AS mx, count(DISTINCT idx) AS present FROM segs GROUP BY folder"
+
+
+def segment_files(spark, sf):
     e = V.v_encodes(spark, sf)
     idx = F.when(F.col("crf") % 5 == 0, F.col("step") + 1).otherwise(F.col("step"))
-    segs = e.select(
+    return e.select(
         F.col("job_id").alias("folder"), F.concat(F.lit("clip_segment_"), F.lpad(idx.cast("string"), 2, "0"), F.lit(".gif")).alias("name"),
         (F.col("ssim") < 0.98).alias("valid"),
     )
-    return A.folder_validity(segs)
+
+
+@query(
+    "folder_validity",
+    """SELECT folder, n AS gifs, CASE WHEN n < mx THEN 0 ELSE ok END AS valid_gifs, CASE WHEN n < mx THEN n ELSE n - ok END AS invalid_gifs, CASE WHEN n < mx THEN mx - present ELSE 0 END AS missing, n >= mx AND ok > 0 AS usable FROM folders""",
+    "v_encodes", segs=SEG_IDX, folders=FOLDERS,
+)
+def _(spark, sf):
+    return A.folder_validity(segment_files(spark, sf))
+
+
+@query(
+    "missing_segments",
+    """SELECT folder, i AS segment_no FROM (SELECT folder, unnest(range(1, mx + 1)) AS i FROM folders WHERE n < mx) f WHERE NOT EXISTS (SELECT 1 FROM segs s WHERE s.folder = f.folder AND s.idx = f.i)""",
+    "v_encodes", segs=SEG_IDX, folders=FOLDERS,
+)
+def _(spark, sf):
+    return A.missing_segments(segment_files(spark, sf))
