@@ -184,31 +184,74 @@ def neighbours(assets: DataFrame, history: DataFrame, newest: int = 100, above:
     return held.withColumn("neighbours", F.filter(scored, lambda r: r["similarity"] > above)).drop("_h")
 
 
+LEAF_BITS = 16
+TOP_LEVEL = LEAF_BITS + 1
+
+
+def _leaf(size: Column, shift: float = 0.0) -> Column:
+    """Position of a size on a logarithmic scale, in steps of 2^-16 of a doubling."""
+    return F.floor((F.log2(F.greatest(size.cast("double"), F.lit(1e-9))) + shift) * float(1 << LEAF_BITS))
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """The few power-of-two cells (level, cell) that tile the leaves low..high exactly."""
+    cell = lambda level, c: F.struct(level.cast("int").alias("level"), c.alias("cell"))
+    nothing = F.array().cast("array<struct<level:int,cell:bigint>>")
+    start = F.struct(low.alias("lo"), high.alias("hi"), nothing.alias("cells"))
+
+    def step(a, k):
+        lo, hi = a["lo"], a["hi"]
+        open_, odd, even = lo <= hi, F.pmod(lo, F.lit(2)) == 1, F.pmod(hi, F.lit(2)) == 0
+        both = odd & even & (lo == hi)
+        took = F.concat(
+            a["cells"], F.when(open_ & odd, F.array(cell(k, lo))).otherwise(nothing),
+            F.when(open_ & even & ~both, F.array(cell(k, hi))).otherwise(nothing),
+        )
+        up = lambda x: F.floor(x / 2)
+        return F.struct(
+            F.when(open_, up(F.when(odd, lo + 1).otherwise(lo))).otherwise(lo).alias("lo"),
+            F.when(open_, up(F.when(even, hi - 1).otherwise(hi))).otherwise(hi).alias("hi"), took.alias("cells"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), start, step, lambda a: a["cells"])
+
+
+def _similar_stats(wants: DataFrame, points: DataFrame) -> DataFrame:
+    """Count, sum, minimum and maximum over the points with size and target ratios above 1/2, per wanted pair.
+
+    Points are summed once per cell of a power-of-two hierarchy over log size; a request reads the
+    some thirty cells that tile its range, and only the cells at its two ends are compared row by row.
+    """
+    bucket = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1e-9))))
+    near = lambda a, b: F.least(F.col(a), F.col(b)) / F.greatest(F.col(a), F.col(b)) > 0.5
+    have = points.select(F.col("size_mb").alias("_s"), F.col("target_mb").alias("_t"), "n", "s", "lo", "hi").withColumn("_leaf", _leaf(F.col("_s")))
+    targets = have.select("_t").distinct().withColumn("_bt", bucket("_t"))
+    probe = wants.withColumn("_bt", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket("target_mb") + i)))
+    pairs = probe.join(targets, "_bt").where(near("target_mb", "_t")).select("size_mb", "target_mb", "_t")
+    ends = pairs.withColumns({"_a": _leaf(F.col("size_mb"), -1.0), "_b": _leaf(F.col("size_mb"), 1.0)})
+    stats = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    levels = F.transform(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), lambda k: F.struct(
+        k.alias("level"), F.floor(F.col("_leaf") / F.pow(F.lit(2.0), k.cast("double"))).alias("cell")))
+    cells = have.select("_t", "n", "s", "lo", "hi", F.explode(levels).alias("_c")).groupBy("_t", "_c.level", "_c.cell").agg(*stats)
+    inside = ends.select("size_mb", "target_mb", "_t", F.explode(_cover(F.col("_a") + 2, F.col("_b") - 2)).alias("_c"))
+    whole = inside.select("size_mb", "target_mb", "_t", "_c.level", "_c.cell").join(cells, ["_t", "level", "cell"])
+    rim = ends.select("size_mb", "target_mb", "_t", F.explode(F.concat(
+        F.sequence(F.col("_a") - 1, F.col("_a") + 1), F.sequence(F.col("_b") - 1, F.col("_b") + 1))).alias("_leaf"))
+    edge = rim.join(have, ["_t", "_leaf"]).where(near("size_mb", "_s"))
+    cols = ["size_mb", "target_mb", "n", "s", "lo", "hi"]
+    return whole.select(*cols).unionByName(edge.select(*cols)).groupBy("size_mb", "target_mb").agg(*stats)
+
+
 def estimate_time(requests: DataFrame, sessions: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Processing-time estimate per request from sessions of similar size and target.
+    """Processing-time estimate per request from successful sessions of similar size and target.
 
-    Sessions: size_mb, target_mb, duration (successful only).  Equal (size, target) points merge
-    first.  A ratio above 1/2 means the power-of-two buckets differ by at most one, so requests
-    look in three size buckets and three target buckets; the exact test follows.
+    Sessions: size_mb, target_mb, duration, success.  Equal (size, target) points merge first.
     """
     good = sessions.where(F.col("success") & (F.coalesce("duration", F.lit(0.0)) != 0))
     points = good.groupBy("size_mb", "target_mb").agg(
         F.count(F.lit(1)).alias("n"), F.sum("duration").alias("s"), F.min("duration").alias("lo"), F.max("duration").alias("hi")
     )
-    bucket = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1e-9))))
-    around = lambda c: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(c) + i)
-    wants = requests.select("size_mb", "target_mb").distinct()
-    probe = wants.withColumn("_bs", F.explode(around("size_mb"))).withColumn("_bt", F.explode(around("target_mb")))
-    have = points.select(
-        F.col("size_mb").alias("_s"), F.col("target_mb").alias("_t"), "n", "s", "lo", "hi",
-        bucket("size_mb").alias("_bs"), bucket("target_mb").alias("_bt"),
-    )
-    near = lambda a, b: F.least(F.col(a), F.col(b)) / F.greatest(F.col(a), F.col(b)) > 0.5
-    found = (
-        probe.join(have, ["_bs", "_bt"]).where(near("size_mb", "_s") & near("target_mb", "_t"))
-        .groupBy("size_mb", "target_mb")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    )
+    found = _similar_stats(requests.select("size_mb", "target_mb").distinct(), points)
     total = points.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("size_mb")).alias("mb"))
     all_row = total.select(F.struct("*")).scalar()
     j = requests.join(found, ["size_mb", "target_mb"], "left").withColumn("_all", all_row)

@@ -245,3 +245,22 @@ def test_strategy_registry(spark):
     G.register_strategy("tiny", lambda df: df.withColumn("out_width", F.lit(1)))
     assert spark.range(1).transform(G.get_strategy("TINY")).first().out_width == 1
     assert G.get_strategy("unknown") is G.balanced
+
+
+def test_estimate_time_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    sess = [(rnd.choice([1.0, 2.0, 4.0, rnd.uniform(0.3, 900), 2 ** rnd.uniform(-3, 9)]), rnd.choice([8.0, 10.0, 16.0, 50.0]), rnd.uniform(1, 90), rnd.random() < 0.9)
+            for _ in range(400)]
+    reqs = [(s, t) for s in (0.5, 1.0, 2.0, 3.7, 8.0, 100.0, 1e6) for t in (8.0, 20.0, 25.0, 400.0)]
+    df = spark.createDataFrame(sess, "size_mb double, target_mb double, duration double, success boolean")
+    got = {(r.size_mb, r.target_mb): r for r in J.estimate_time(spark.createDataFrame(reqs, "size_mb double, target_mb double"), df).collect()}
+    near = lambda a, b: min(a, b) / max(a, b) > 0.5
+    for s, t in reqs:
+        d = [x[2] for x in sess if x[3] and near(x[0], s) and near(x[1], t)]
+        r = got[s, t]
+        assert r.similar_sessions == len(d)
+        if d:
+            assert (r.estimated_s, r.min_s, r.max_s) == pytest.approx((sum(d) / len(d), min(d), max(d)))
+            assert r.confidence == ("high" if len(d) >= 5 else "medium")
