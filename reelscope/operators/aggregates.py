@@ -65,10 +65,10 @@ def platform_stats(sessions: DataFrame) -> DataFrame:
     )
 
 
-def op_trends(ops: DataFrame, block_hours: int = 1) -> DataFrame:
+def op_trends(ops: DataFrame, block_s: int = 60) -> DataFrame:
     """Per operation with at least three rows: slopes of duration and success over log order."""
     measures = {"duration": F.col("duration"), "success": F.col("success").cast("double")}
-    out = B.trend(ops, ["op_name"], ["ts", "op_id"], B.hour_block("ts", block_hours), measures)
+    out = B.trend(ops, ["op_name"], ["ts", "op_id"], B.time_block("ts", block_s), measures)
     return out.where("n >= 3").select(
         "op_name", "n", "avg_duration",
         F.col("slope_duration").alias("duration_slope"), B.direction(F.col("slope_duration")).alias("duration_trend"),
@@ -77,10 +77,10 @@ def op_trends(ops: DataFrame, block_hours: int = 1) -> DataFrame:
     )
 
 
-def trend_significance(sessions: DataFrame, group: list[str] | None = None, block_hours: int = 24) -> DataFrame:
+def trend_significance(sessions: DataFrame, group: list[str] | None = None, block_s: int = 3600) -> DataFrame:
     group = group or []
     good = sessions.where(F.col("success") & (F.coalesce("duration", F.lit(0.0)) != 0))
-    t = B.trend(good, group, ["start_ts", "session_id"], B.hour_block("start_ts", block_hours), {"duration": F.col("duration")})
+    t = B.trend(good, group, ["start_ts", "session_id"], B.time_block("start_ts", block_s), {"duration": F.col("duration")})
     return t.select(
         *group, "n", F.col("slope_duration").alias("slope"), B.direction(F.col("slope_duration")).alias("direction"),
         B.significance(F.col("slope_duration"), F.col("min_duration"), F.col("max_duration"), F.col("n")).alias("significance"),

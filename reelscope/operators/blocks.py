@@ -15,8 +15,14 @@ from pyspark.sql.window import Window
 BLOCK = "_block"
 
 
-def hour_block(ts: str, hours: int = 1) -> Column:
-    return F.floor(F.unix_timestamp(ts) / (3600 * hours))
+def time_block(ts: str, seconds: int = 60) -> Column:
+    return F.floor(F.unix_timestamp(ts) / seconds)
+
+
+def text_block(column: str) -> Column:
+    """Blocks along a text column by its first three characters (monotone for ASCII keys)."""
+    at = lambda i: F.least(F.ascii(F.substring(column, i, 1)), F.lit(255)).cast("bigint")
+    return at(1) * 65536 + at(2) * 256 + at(3)
 
 
 def index_block(index: str, size: int = 1024) -> Column:
@@ -202,23 +208,32 @@ def significance(slope: Column, low: Column, high: Column, n: Column) -> Column:
     )
 
 
-def exact_median(df: DataFrame, column: str, half_width: float = 1e-3, accuracy: int = 100000) -> DataFrame:
+def exact_median(df: DataFrame, column: str, half_width: float = 1e-3, accuracy: int = 100000, bins: int = 1 << 16) -> DataFrame:
     """One row (n, median), exact, without holding all values in one task.
 
-    A mergeable sketch brackets the median; only values inside the bracket are ranked, after
-    equal values have been merged, with the rows below the bracket counted exactly.
+    A mergeable sketch brackets the median, the bracket is counted in ``bins`` equal bins, and only
+    the values of the one or two bins that hold the middle ranks are ranked, equal values merged.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     edges = values.agg(
-        F.percentile_approx("v", [0.5 - half_width, 0.5 + half_width], accuracy).alias("e"),
-        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", [0.5 - half_width, 0.5 + half_width], accuracy).alias("e"), F.count(F.lit(1)).alias("n")
     )
     bracket = edges.select(F.struct(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), "n").alias("q")).scalar()
     placed = values.withColumn("q", bracket).where(F.col("v") <= F.col("q.hi"))
-    inside = F.when(F.col("v") >= F.col("q.lo"), F.col("v"))  # null stands for all rows below the bracket
-    merged = placed.groupBy(inside.alias("v"), F.col("q.n").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("v").asc_nulls_first())
-    ranked = merged.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("q.lo"), F.col("q.hi") - F.col("q.lo")), F.lit(0.0))
+    binned = placed.withColumn("bin", F.when(F.col("v") < F.col("q.lo"), F.lit(-1)).otherwise(F.floor(share * bins)).cast("bigint"))
+    counts = binned.groupBy("bin", F.col("q.n").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    all_bins = Window.partitionBy(F.lit(0)).orderBy("bin")  # at most ``bins`` + 2 rows
+    ranked = counts.withColumn("hi", F.sum("c").over(all_bins)).withColumn("lo", F.col("hi") - F.col("c"))
     left, right = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    hit = lambda k: F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col("v")))
-    return ranked.agg(F.max("n").alias("n"), ((hit(left) + hit(right)) / 2).alias("median"))
+    holds = lambda k: (F.col("lo") <= k) & (k < F.col("hi"))
+    chosen = ranked.where(holds(left) | holds(right)).agg(
+        F.min("bin").alias("a"), F.max("bin").alias("b"), F.min("lo").alias("before"), F.max("n").alias("n")
+    )
+    target = chosen.select(F.struct("a", "b", "before", "n").alias("t")).scalar()
+    middle = binned.withColumn("t", target).where((F.col("bin") == F.col("t.a")) | (F.col("bin") == F.col("t.b")))
+    merged = middle.groupBy("v", F.col("t.n").alias("n"), F.col("t.before").alias("before")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(F.lit(0)).orderBy("v")
+    final = merged.withColumn("hi", F.sum("c").over(w) + F.col("before")).withColumn("lo", F.col("hi") - F.col("c"))
+    hit = lambda k: F.max(F.when(holds(k), F.col("v")))
+    return final.agg(F.max("n").alias("n"), ((hit(left) + hit(right)) / 2).alias("median"))

@@ -106,18 +106,27 @@ def scene_intervals(transitions: DataFrame, assets: DataFrame, min_s: float = 0.
     return out.where(F.col("end_s") - F.col("start_s") >= min_s)
 
 
-def lru_evict(cache: DataFrame, limit: float, keep: float = 0.8, block_hours: int = 24) -> DataFrame:
+def lru_evict(cache: DataFrame, limit: float, keep: float = 0.8, block_s: int = 3600) -> DataFrame:
     """Least recently used rows to remove when the cache is over ``limit``.
 
-    Rows go until what is removed reaches total - keep*limit.  The running size is exact and
-    global, but computed per time block with block totals carried forward.
+    Rows go, oldest first and by key within one time, until what is removed reaches
+    total - keep*limit.  Sizes are summed per access time; the running sum over those times finds
+    the one time at which the target is reached.  Everything older goes by a plain filter, and only
+    the rows of that time are ordered, in blocks along their key.
     """
     total = cache.agg(F.coalesce(F.sum("data_size"), F.lit(0.0)).alias("t")).scalar()
-    run = B.carried(cache, [], ["last_accessed", "cache_key"], B.hour_block("last_accessed", block_hours), sums={"_run": F.col("data_size")})
-    before = F.col("_run") - F.col("data_size")
-    need = F.col("_total") - float(int(limit * keep))
-    out = run.withColumn("_total", total).where((F.col("_total") > limit) & (before < need))
-    return out.drop("_run", "_total")
+    per_time = cache.groupBy("last_accessed").agg(F.sum("data_size").alias("_s"))
+    run = B.carried(per_time, [], ["last_accessed"], B.time_block("last_accessed", block_s), sums={"_run": F.col("_s")})
+    need = F.when(F.col("_total") > limit, F.col("_total") - float(int(limit * keep))).otherwise(0.0)
+    reached = run.withColumn("_total", total).withColumn("_before", F.col("_run") - F.col("_s")).where(F.col("_before") < need)
+    last = F.max_by(F.struct("last_accessed", "_before", need.alias("_need")), "last_accessed")
+    cut = reached.agg(last.alias("_c")).scalar()
+    marked = cache.withColumn("_c", cut)
+    older = marked.where(F.col("last_accessed") < F.col("_c.last_accessed")).drop("_c")
+    at_cut = marked.where(F.col("last_accessed") == F.col("_c.last_accessed"))
+    ordered = B.carried(at_cut, [], ["cache_key"], B.text_block("cache_key"), sums={"_run": F.col("data_size")})
+    rest = ordered.where(F.col("_c._before") + F.col("_run") - F.col("data_size") < F.col("_c._need"))
+    return older.unionByName(rest.select(*cache.columns))
 
 
 def sample_budget(samples: DataFrame, seconds: float, min_tail: float = 0.5, block_s: float = 600.0) -> DataFrame:
@@ -169,10 +178,10 @@ def recent_count(df: DataFrame, group: list[str], ts: str, seconds: int, test: C
     return spread.withColumn(name, F.count_if(test).over(w)).where("_ctx = 0").drop("_ctx", "_t", B.BLOCK)
 
 
-def failure_runs(attempts: DataFrame, block_hours: int = 1, window_s: int = 60) -> DataFrame:
+def failure_runs(attempts: DataFrame, block_s: int = 60, window_s: int = 60) -> DataFrame:
     """After each attempt: consecutive failures, time used so far, failures in the last minute."""
     fail = F.col("result") == "FAILURE"
-    group, order, blk = ["session_id"], ["ts", "attempt_id"], B.hour_block("ts", block_hours)
+    group, order, blk = ["session_id"], ["ts", "attempt_id"], B.time_block("ts", block_s)
     counted = B.carried(attempts, group, order, blk, number="attempt_no", sums={"total_time": F.col("duration")})
     reset = F.when(~fail, F.col("attempt_no"))
     runs = B.carried(counted, group, order, blk, maxima={"_last_ok": reset}, sizes=attempts)

@@ -682,7 +682,7 @@ ROUTE_NEAR = dict(**DEC, runs=RUNS.format(us=60 * 1000000))
 def _(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session_id"), (F.col("o_orderkey") % 2000).alias("asset_id"))
     requests = o.join(V.v_assets(spark, sf).select("asset_id", "duration_s", "height"), "asset_id")
-    state = RT.limiter_state(W.failure_runs(V.v_attempts(spark, sf), block_hours=24))
+    state = RT.limiter_state(W.failure_runs(V.v_attempts(spark, sf)))
     pred = PR.predict_decision(chars(spark, sf), history(spark, sf), threshold=0.7).select(
         "asset_id", "pred_vmaf", "pred_ssim", "confidence", "skip", "eval_cost_s", "risk_factors")
     return RT.route_evals(requests, state, pred)

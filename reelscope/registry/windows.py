@@ -157,7 +157,7 @@ RUNS = """SELECT attempt_id, session_id, ts, eval_type, result, duration, confid
 @query("failure_runs", "SELECT attempt_id, attempt_no, total_time, consecutive_failures, recent_failures FROM runs", "v_attempts", "total_time",
        runs=RUNS.format(us=36000 * 1000000))
 def _(spark, sf):
-    out = W.failure_runs(V.v_attempts(spark, sf), block_hours=24, window_s=36000)
+    out = W.failure_runs(V.v_attempts(spark, sf), window_s=36000)
     return out.select("attempt_id", F.col("attempt_no").cast("bigint").alias("attempt_no"), "total_time",
                       F.col("consecutive_failures").cast("bigint").alias("consecutive_failures"), "recent_failures")
 

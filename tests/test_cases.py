@@ -264,3 +264,22 @@ def test_estimate_time_brute_force(spark):
         if d:
             assert (r.estimated_s, r.min_s, r.max_s) == pytest.approx((sum(d) / len(d), min(d), max(d)))
             assert r.confidence == ("high" if len(d) >= 5 else "medium")
+
+
+@pytest.mark.parametrize("limit", [0.0, 300.0, 500.0, 10**6])
+def test_lru_evict_brute_force(spark, limit):
+    import random
+
+    rnd = random.Random(6)
+    t = dt.datetime(2024, 1, 1)
+    data = [(f"{rnd.getrandbits(64):016x}", t + dt.timedelta(hours=rnd.choice([0, 1, 1, 1, 5, 30])), float(rnd.randrange(1, 9))) for _ in range(200)]
+    df = spark.createDataFrame(data, "cache_key string, last_accessed timestamp, data_size double")
+    total = sum(d[2] for d in data)
+    want, removed = set(), 0.0
+    if total > limit:
+        for key, _, size in sorted(data, key=lambda d: (d[1], d[0])):
+            if removed >= total - int(limit * 0.8):
+                break
+            want.add(key)
+            removed += size
+    assert {r.cache_key for r in W.lru_evict(df, limit).collect()} == want
