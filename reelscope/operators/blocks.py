@@ -42,12 +42,13 @@ HOT_ROWS = 100_000
 HOT_GROUPS = 1000
 
 
-def hot_groups(df: DataFrame, group: list[str], more_than: int = HOT_ROWS, most: int = HOT_GROUPS) -> DataFrame:
+def hot_groups(df: DataFrame, group: list[str], more_than: int | None = None, most: int = HOT_GROUPS) -> DataFrame:
     """One row: an array with the at most ``most`` largest groups above ``more_than`` rows.
 
     A group that is left out has at most 1/``most`` of all rows, which one task can take.
     """
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than)
+    floor = HOT_ROWS if more_than is None else more_than
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor)
     top = counts.orderBy(F.col("_n").desc(), *group).limit(most)
     return top.agg(F.collect_list(F.struct(*group)).alias("hot"))
 
@@ -71,7 +72,7 @@ def carried(
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     maxima: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add exact whole-group ordered columns.
@@ -80,7 +81,7 @@ def carried(
     running maxima.  ``previous`` / ``following``: value of a column in the neighbouring row.
     ``order`` must be a total order within the group and ``block`` must not fall along it.
 
-    Only groups above ``hot_rows`` rows are cut into blocks (without a group: always); the others
+    Only groups above ``hot_rows`` (by default HOT_ROWS) rows are cut into blocks (without a group: always); the others
     stay one partition of the window.  Either way rows are shuffled once.  ``sizes``: rows to
     count groups on, where that is cheaper than ``df`` (an earlier stage with the same groups).
     """
@@ -133,7 +134,7 @@ def carried(
 
 
 def with_lags(
-    df: DataFrame, group: list[str], index: str, lags: dict[str, tuple[str, int]], size: int = 4096, hot_rows: int = HOT_ROWS
+    df: DataFrame, group: list[str], index: str, lags: dict[str, tuple[str, int]], size: int = 4096, hot_rows: int | None = None
 ) -> DataFrame:
     """Values of the rows 1, 2, ... before, where ``index`` counts a group's rows without gaps.
 

@@ -120,8 +120,7 @@ def predict_decision(assets: DataFrame, history: DataFrame, threshold: float = S
     """
     c = F.col
     px = S.pixels(c("width"), c("height"))
-    near = J.neighbours(predict_chars(assets).withColumn("pixels", px), history, newest)
-    out = near.withColumn("similar_results", F.size("neighbours").cast("bigint")).drop("neighbours", "pixels")
+    out = J.with_neighbour_count(predict_chars(assets).withColumn("pixels", px), history, newest=newest).drop("pixels")
     n = c("similar_results")
     parts = [
         F.when(px >= 1920 * 1080, 0.9).when(px >= 1280 * 720, 0.7).otherwise(0.5),

@@ -181,8 +181,7 @@ NEIGHBOURS = """SELECT asset_id, history_id, (1 - abs(a.pixels - h.pixels) / gre
 
 @query("history_neighbours", f"SELECT * FROM ({NEIGHBOURS}) WHERE similarity > 0.7e0", "v_assets v_encodes", "similarity", 9, history=HISTORY)
 def _(spark, sf):
-    near = J.neighbours(traits(spark, sf), history(spark, sf))
-    return near.select("asset_id", F.explode("neighbours").alias("n")).select("asset_id", "n.history_id", "n.similarity")
+    return J.neighbours(traits(spark, sf), history(spark, sf))
 
 
 @query(

@@ -346,10 +346,10 @@ FLAGS = [f for votes in C.VOTES.values() for f, _ in votes]
 def flag_table(spark, sf):
     e = V._events(spark, sf)
     cols = [((F.col("k") + F.col("user_id") * (i + 3)) % (6 + i) < 2 + F.col("user_id") % 3).alias(f) for i, f in enumerate(FLAGS)]
-    return e.where("event_type = 'view'").withColumn("g", F.floor(F.col("event_id") / 400)).select(F.col("g").alias("video_id"), *cols)
+    return e.withColumn("g", F.floor(F.col("event_id") / 40)).select(F.col("g").alias("video_id"), *cols)
 
 
-FLAG_SQL = "SELECT event_id // 400 AS video_id, " + ", ".join(f"(k + user_id * {i + 3}) % {6 + i} < 2 + user_id % 3 AS {f}" for i, f in enumerate(FLAGS)) + " FROM v_events WHERE event_type = 'view'"
+FLAG_SQL = "SELECT event_id // 40 AS video_id, " + ", ".join(f"(k + user_id * {i + 3}) % {6 + i} < 2 + user_id % 3 AS {f}" for i, f in enumerate(FLAGS)) + " FROM v_events"
 SCORE_SQL = "SELECT video_id, " + ", ".join(
     " + ".join(f"sum(CASE WHEN {f} THEN {p}e0 ELSE 0 END)" for f, p in votes) + f" AS {kind}_score" for kind, votes in C.VOTES.items()) + " FROM flags GROUP BY video_id"
 KINDS = list(C.VOTES)
