@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,40 @@ def distinct_words(text: str | None) -> set[str]:
     return out
 
 
+#: Word beginnings of these lengths, with at least these numbers of different words, are signs of their own ("abcd*2").
+ROOT_SIZES, ROOT_COUNTS = (4, 5, 6, 7), (2, 3, 5)
+
+
+def all_signs(words: set[str]) -> set[str]:
+    """The words, and the beginnings that several of them share."""
+    out = set(words)
+    for size in ROOT_SIZES:
+        shared = Counter([w[:size] for w in words if len(w) > size])
+        out.update(f"{root}*{least}" for root, n in shared.items() if n > 1 for least in ROOT_COUNTS if n >= least)
+    return out
+
+
+class Known:
+    """Picks a fixed set of signs out of texts."""
+
+    def __init__(self, signs) -> None:
+        self.words = frozenset(s for s in signs if "*" not in s)
+        self.roots: dict[str, list[int]] = {}
+        for s in signs:
+            root, star, least = s.partition("*")
+            if star:
+                self.roots.setdefault(root, []).append(int(least))
+        self.heads = frozenset(r[: ROOT_SIZES[0]] for r in self.roots)
+
+    def of(self, words: set[str]) -> set[str]:
+        out = words & self.words
+        near = [w for w in words if w[: ROOT_SIZES[0]] in self.heads]
+        if len(near) > 1:
+            shared = Counter([w[:size] for w in near for size in ROOT_SIZES if len(w) > size and w[:size] in self.roots])
+            out.update(f"{root}*{least}" for root, n in shared.items() for least in self.roots[root] if n >= least)
+        return out
+
+
 def static_votes(text: str | None, words: set[str]) -> int:
     """Bits of the seed lexicons and of the pattern voters."""
     mask = 0
@@ -70,10 +105,10 @@ def static_votes(text: str | None, words: set[str]) -> int:
     return mask
 
 
-def mined_votes(words: set[str], mined: dict[str, int]) -> int:
+def mined_votes(signs: set[str], mined: dict[str, int]) -> int:
     mask = 0
-    for w in mined.keys() & words:
-        mask |= 1 << (len(STATIC) + mined[w])
+    for s in mined.keys() & signs:
+        mask |= 1 << (len(STATIC) + mined[s])
     return mask
 
 
@@ -145,31 +180,45 @@ class LabelModel:
         return self._from([self._code(masks, g) for g in self.groups])
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, features: int, l1: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels with an L1 penalty, by accelerated proximal gradient; features are present or absent."""
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, features: int, sure: float = 3.0, least: float = 1e-3, l2: float = 5e-5, steps: int = 800) -> tuple[np.ndarray, float]:
+    """Sparse logistic regression on soft labels; features are present or absent.
+
+    A feature is kept if its gradient at the constant model exceeds ``sure`` standard errors (and ``least``); weights of
+    the kept ones are fitted by accelerated proximal gradient, with the same thresholds as L1 penalty, and those that stay
+    are fitted again under a small L2 penalty alone.
+    """
     n = len(rows)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    w = z = np.zeros(features)
+    w = np.zeros(features)
     share = float(np.clip(target.mean() if n else 0.05, 1e-3, 0.999))
-    b = bz = np.log(share / (1 - share))
+    bias = float(np.log(share / (1 - share)))
     if not n:
-        return w, b
+        return w, bias
+    sizes = np.fromiter(map(len, rows), np.int64, n)
+    flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), sizes)
     df = np.bincount(flat, minlength=features)
-    scale = 1 / np.sqrt(np.maximum(df / n, 1 / n))  # rare words step as far as common ones
-    rate, t = 4.0 / max(1.0, float(np.bincount(owner, scale[flat] ** 2, minlength=n).mean())), 1.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, (z * scale)[flat], minlength=n) + bz, -30, 30)))
-        error = (p - target) / n
-        g = np.bincount(flat, error[owner], minlength=features) * scale
-        new = z - rate * g
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
-        nb = bz - rate * error.sum()
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, bz = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = new, nb, nt
-    return w * scale, float(b)
+    l1 = np.maximum(least, sure * np.sqrt(df * share * (1 - share)) / n)
+    kept = np.abs(np.bincount(flat, (share - target)[owner], minlength=features) / n) > l1
+    for penalty, ridge in ((l1, 0.0), (np.zeros(features), l2)):
+        number = np.cumsum(kept) - 1
+        used = kept[flat]
+        f, o = number[flat[used]], owner[used]
+        k = int(kept.sum())
+        x = z = w[kept]
+        b = bz = bias
+        rate, t = 1 / (0.25 * (1 + np.bincount(o, minlength=n).max(initial=0)) + ridge), 1.0
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(o, z[f], minlength=n) + bz, -30, 30)))
+            error = (p - target) / n
+            new = z - rate * (np.bincount(f, error[o], minlength=k) + ridge * z)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty[kept], 0)
+            nb = bz - rate * error.sum()
+            nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            z, bz = new + (t - 1) / nt * (new - x), nb + (t - 1) / nt * (nb - b)
+            x, b, t = new, nb, nt
+        w[:] = 0
+        w[kept] = x
+        bias, kept = float(b), w != 0
+    return w, bias
 
 
 def held_out(id_column: str, folds: int, fold: int) -> Column:
@@ -185,7 +234,7 @@ def labelled(labels: DataFrame, id_column: str, label: str, learn: Column, rows:
 
 
 class Toxicity:
-    """A fitted scorer: word weights and a constant."""
+    """A fitted scorer: weights of signs (words and shared word beginnings) and a constant."""
 
     def __init__(self, weights: dict[str, float], bias: float, model: LabelModel, mined: dict[str, int]) -> None:
         self.weights, self.bias, self.model, self.mined = weights, bias, model, mined
@@ -196,10 +245,10 @@ class Toxicity:
 
         def make():
             weights, bias = shared.value
-            names = weights.keys()
+            known = Known(weights)
 
             def work(texts: list) -> dict[str, pa.Array]:
-                total = np.array([bias + sum(weights[w] for w in names & distinct_words(t)) for t in texts])
+                total = np.array([bias + sum(weights[s] for s in sorted(known.of(distinct_words(t)))) for t in texts])
                 return {"score": pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())}
 
             return work
@@ -207,33 +256,35 @@ class Toxicity:
         return map_texts(docs, text, make, "score double", keep)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 20_000, vocabulary: int = 30_000) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 20_000, vocabulary: int = 60_000) -> Toxicity:
     """``learn``: which ids may be learned from.  ``sample_rows`` bounds the labelled rows that lexicons are mined from and
     the classifier is fitted on; the label model counts the votes on all texts that may be learned from.  Without
-    labels the seed voters stand alone, and nothing is mined.  ``vocabulary`` bounds the classifier's words (the most frequent)."""
+    labels the seed voters stand alone, and nothing is mined.  ``vocabulary`` bounds the signs offered to the classifier (the most frequent)."""
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     chosen = labelled(labels, id_column, label, learn, sample_rows)
 
     def bag():
         def work(texts: list) -> dict[str, pa.Array]:
             words = [distinct_words(t) for t in texts]
-            return {"words": pa.array([sorted(w) for w in words], pa.list_(pa.string())), "mask": pa.array([static_votes(t, w) for t, w in zip(texts, words)], pa.int32())}
+            return {"signs": pa.array([sorted(all_signs(w)) for w in words], pa.list_(pa.string())), "mask": pa.array([static_votes(t, w) for t, w in zip(texts, words)], pa.int32())}
 
         return work
 
     picked = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    bags = staged(map_texts(picked, "text", bag, "words array<string>, mask int", keep=["y"]), "toxicity-bags")
-    by_word = staged(bags.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos")).where("df >= 4"), "toxicity-words")
+    bags = staged(map_texts(picked, "text", bag, "signs array<string>, mask int", keep=["y"]), "toxicity-bags")
+    by_sign = staged(bags.select("y", F.explode("signs").alias("sign")).groupBy("sign").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos")).where("df >= 4"), "toxicity-signs")
     n, positive = bags.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     lift = ((F.col("pos") + 0.5) / (positive + 1)) / ((F.col("df") - F.col("pos") + 0.5) / (n - positive + 1))
-    telling = by_word.where((F.col("pos") >= 4) & (lift >= 10)).orderBy(lift.desc(), "word").limit(96).toPandas()["word"]
-    mined = {w: zlib.crc32(w.encode()) % MINED for w in telling}
-    words = by_word.orderBy(F.desc("df"), "word").limit(vocabulary).toPandas()["word"].tolist()
+    telling = by_sign.where((F.col("pos") >= 4) & (lift >= 10)).orderBy((F.col("pos") * F.log(lift)).desc(), "sign").limit(96).toPandas()["sign"]
+    mined = {s: zlib.crc32(s.partition("*")[0].encode()) % MINED for s in telling}
+    words = by_sign.orderBy(F.desc("df"), "sign").limit(vocabulary).toPandas()["sign"].tolist()
 
     def votes():
+        known = Known(mined)
+
         def work(texts: list) -> dict[str, pa.Array]:
             bags_ = [distinct_words(t) for t in texts]
-            return {"mask": pa.array([static_votes(t, b) | mined_votes(b, mined) for t, b in zip(texts, bags_)], pa.int32())}
+            return {"mask": pa.array([static_votes(t, b) | mined_votes(known.of(b), mined) for t, b in zip(texts, bags_)], pa.int32())}
 
         return work
 
@@ -244,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     def indexed(frames):
         index = shared.value
         for pdf in frames:
-            sets = [set(w) for w in pdf["words"]]
+            sets = [set(x) for x in pdf["signs"]]
             yield pd.DataFrame({"mask": [m | mined_votes(s, mined) for m, s in zip(pdf["mask"], sets)], "features": [sorted(index[w] for w in index.keys() & s) for s in sets]})
 
     sample = bags.mapInPandas(indexed, "mask int, features array<int>").toPandas()
