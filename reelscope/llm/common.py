@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reelscope.session import shared_folder
@@ -42,7 +43,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     column = batch.column(batch.schema.get_field_index(text))
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     cut = np.cumsum(sizes) // SLICE_CHARS
     starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):

@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reelscope.llm.common import Memo, map_texts, ragged
 
@@ -356,7 +357,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     """Add the text of each list of ids (null: empty)."""
     kept = [c for c in tokens.columns if c != out]
     source = tokens.select(*[F.col(f"`{c}`") for c in kept])
-    kind = source.schema
+    kind = StructType([*source.schema.fields, StructField(out, StringType())])
     where = kept.index(ids)
 
     def run(batches):
@@ -365,4 +366,4 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
             texts = [model.decode(i or []) for i in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*kept, out])
 
-    return source.mapInArrow(run, kind.add(out, "string"))
+    return source.mapInArrow(run, kind)
