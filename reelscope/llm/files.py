@@ -17,7 +17,7 @@ class Replacing:
     def __init__(self, folder: str, name: str) -> None:
         self.system, path = _place(folder)
         self.system.create_dir(path, recursive=True)
-        self.final, self.draft = f"{path}/{name}", f"{path}/_{name}.{uuid.uuid4().hex}"
+        self.name, self.final, self.draft = name, f"{path}/{name}", f"{path}/_{name}.{uuid.uuid4().hex}"
         self.stream = self.system.open_output_stream(self.draft, compression=None)
         self.size = 0
 
@@ -31,12 +31,6 @@ class Replacing:
         return self.size
 
 
-def write_whole(folder: str, name: str, data: bytes) -> int:
-    out = Replacing(folder, name)
-    out.write(data)
-    return out.done()
-
-
 def open_for_reading(folder: str, name: str):
     system, path = _place(folder)
     return system.open_input_stream(f"{path}/{name}", compression=None)

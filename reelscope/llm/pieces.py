@@ -262,13 +262,18 @@ class PieceModel:
         return joined[joined.startswith(b" ") :].decode("utf-8", "replace")
 
 
+#: A worker process keeps its models, with what they remember, from task to task.
+_MODELS: dict[str, tuple] = {}
+
+
 def encoder(path: str, n: int, parts: tuple[str, ...], most_remembered: int = 300_000):
     """Task-side function for ``encode``."""
 
     def make():
-        model = PieceModel(path)
-        state: dict = {}
-        arcs: dict = {}
+        model, state, arcs = _MODELS.setdefault(path, (None, {}, {}))
+        if model is None:
+            model = PieceModel(path)
+            _MODELS[path] = (model, state, arcs)
 
         def reset() -> None:
             state.update(memo=Memo(), pool=np.zeros(0, np.int32), starts=np.zeros(0, np.int64), sizes=np.zeros(0, np.int64), best=np.zeros(0), gap=np.zeros(0))
@@ -361,7 +366,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     where = kept.index(ids)
 
     def run(batches):
-        model = PieceModel(path)
+        model = (_MODELS.get(path) or (PieceModel(path),))[0]
         for b in batches:
             texts = [model.decode(i or []) for i in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*kept, out])

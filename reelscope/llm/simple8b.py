@@ -4,7 +4,8 @@ Fixed values of the code: selector s = 1..14 packs COUNT[s] ids of WIDTH[s] bits
 escape: the word holds nothing else and the next word is one raw 64-bit value.  Ids are coded in
 blocks of BLOCK ids that start on a word of their own, so blocks are coded and decoded side by side.
 
-File layout (little-endian): magic, document table (ids as text, lengths, digests), block offsets, words.
+File layout (little-endian): segments with their length in front; a segment has a magic number, a document
+table (ids as text, lengths), block offsets and words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from reelscope.llm.common import Memo, ragged, scratch, slices
-from reelscope.llm.files import open_for_reading, write_whole
+from reelscope.llm.files import Replacing, open_for_reading
 
 COUNT = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTH = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -105,7 +106,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
-    """One file: documents in order, their ids one after another."""
+    """One segment: documents in order, their ids one after another."""
     words, offsets = encode(ids)
     names = json.dumps(doc_ids).encode()
     lengths = np.ascontiguousarray(lengths, np.int64)
@@ -126,54 +127,95 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, lengths, decode(words, offsets, int(lengths.sum()))
 
 
-def tokenizer_ids(path: str, end_id: int, most_remembered: int = 400_000) -> Callable[[], Callable[[list], tuple[np.ndarray, np.ndarray]]]:
-    """Task-side encoder: texts to (all ids, ids per text), each text closed by ``end_id``.
+class PieceEncoder:
+    """Ids of texts by a tokenizer that drops white space and never joins across it.
 
-    For a tokenizer that drops white space and never joins across it: the library encodes every different
-    piece between spaces once, and texts are put together from the pieces.
+    The library encodes every different piece between spaces once while it is remembered, and texts are put
+    together from the pieces.  New pieces are encoded many at a time, with a special token between them.
     """
 
-    def make():
+    def __init__(self, path: str, end_id: int, most_remembered: int) -> None:
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        state = {"memo": Memo(), "pool": np.array([end_id], np.uint32), "starts": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int64)}
-
-        def work(texts: list) -> tuple[np.ndarray, np.ndarray]:
-            if len(state["memo"]) > most_remembered:
-                state.update(memo=Memo(), pool=np.array([end_id], np.uint32), starts=np.zeros(0, np.int64), sizes=np.zeros(0, np.int64))
-            memo = state["memo"]
-            numbers, counts = [], []
-            for text in texts:
-                pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
-                numbers.append(np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces)))
-                counts.append(len(pieces))
-            if memo.new:
-                got = [e.ids for e in library.encode_batch_fast(memo.new, add_special_tokens=False)]
-                memo.new = []
-                sizes = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-                state["starts"] = np.r_[state["starts"], len(state["pool"]) + np.cumsum(sizes) - sizes]
-                state["sizes"] = np.r_[state["sizes"], sizes]
-                state["pool"] = np.r_[state["pool"], flat]
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-            ends = np.cumsum(counts)
-            starts, sizes = np.insert(state["starts"][flat], ends, 0), np.insert(state["sizes"][flat], ends, 1)
-            ids = ragged(state["pool"], starts, sizes)
-            upto = np.cumsum(sizes)[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, np.int64)
-            return ids, np.diff(np.r_[0, upto])
-
-        return work
+        self.library, self.end_id, self.most = Tokenizer.from_file(path), end_id, most_remembered
+        special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip)
+        self.border = special[0] if special else None
+        self.border_text = self.library.id_to_token(special[0]) if special else ""
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.pool = Memo(), np.array([self.end_id], np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self) -> None:
+        new, self.memo.new = self.memo.new, []
+        if not new:
+            return
+        alone = [i for i, x in enumerate(new) if self.border is None or self.border_text in x]
+        got = {i: self.library.encode(new[i], add_special_tokens=False).ids for i in alone}
+        rest = [x for i, x in enumerate(new) if i not in got] if got else new
+        together = [self.border_text.join(rest[i : i + 1000]) for i in range(0, len(rest), 1000)]
+        runs = [np.array(x.ids + [self.border], np.uint32) for x in self.library.encode_batch_fast(together, add_special_tokens=False)]
+        flat = np.concatenate(runs) if runs else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.border) if runs else np.zeros(0, np.int64)
+        if len(ends) != len(rest):
+            raise ValueError("the border token was not kept apart")
+        sizes = np.diff(np.r_[-1, ends]) - 1
+        starts = len(self.pool) + ends - sizes
+        pool = [self.pool, flat]
+        if got:
+            at = len(self.pool) + len(flat)
+            all_starts, all_sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            other = np.setdiff1d(np.arange(len(new)), alone)
+            all_starts[other], all_sizes[other] = starts, sizes
+            for i in alone:
+                all_starts[i], all_sizes[i] = at, len(got[i])
+                pool.append(np.array(got[i], np.uint32))
+                at += len(got[i])
+            starts, sizes = all_starts, all_sizes
+        self.pool = np.concatenate(pool)
+        self.starts, self.sizes = np.r_[self.starts, starts], np.r_[self.sizes, sizes]
+
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per text), each text closed by the end id."""
+        if len(self.memo) > self.most:
+            self.forget()
+        numbers, counts = [], []
+        for text in texts:
+            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
+            numbers.append(np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces)))
+            counts.append(len(pieces))
+        self.learn()
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        ends = np.cumsum(counts)
+        starts, sizes = np.insert(self.starts[flat], ends, 0), np.insert(self.sizes[flat], ends, 1)
+        ids = ragged(self.pool, starts, sizes)
+        upto = np.cumsum(sizes)[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, np.int64)
+        return ids, np.diff(np.r_[0, upto])
+
+
+#: A worker process keeps its encoders, with what they remember, from task to task.
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def tokenizer_ids(path: str, end_id: int, most_remembered: int = 600_000) -> Callable[[], PieceEncoder]:
+    """Task-side maker of an encoder for ``write_tokens``."""
+
+    def make() -> PieceEncoder:
+        key = (path, end_id, most_remembered)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = PieceEncoder(*key)
+        return _ENCODERS[key]
 
     return make
 
 
-def write_tokens(docs: DataFrame, make_encoder, id_column: str = "doc_id", text: str = "text", files: int | None = None, file_ids: int = 1 << 23) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, make_encoder, id_column: str = "doc_id", text: str = "text", files: int | None = None, segment_ids: int = 1 << 20, file_bytes: int = 256 << 20) -> tuple[str, DataFrame]:
     """(folder, manifest): encode every text and write token files in ascending id order.
 
     Null ids come first; repeated ids follow each other by text.  Rows are dealt by ranges of (id, text hash),
-    so a run of equal ids may span files.  A file holds about ``file_ids`` ids, so memory does not grow with a
-    partition.  The manifest (part, piece, file, n_docs, n_ids) is a table with one row per file.
+    so a run of equal ids may span files.  A file is a row of segments of about ``segment_ids`` ids, each with its
+    length in front, so memory does not grow with a partition.  The manifest (part, piece, file, n_docs, n_ids) is a table with one row per file.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
@@ -186,31 +228,50 @@ def write_tokens(docs: DataFrame, make_encoder, id_column: str = "doc_id", text:
 
         part, piece = TaskContext.get().partitionId(), 0
         encode_texts, ids, names, lengths = make_encoder(), [], [], []
-
-        def flush():
-            name = f"part-{part:06d}-{piece:05d}.s8b"
-            all_ids = np.concatenate(ids)
-            write_whole(folder, name, pack(all_ids, names, np.concatenate(lengths)))
-            return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "file": name, "n_docs": len(names), "n_ids": len(all_ids)}], MANIFEST)
-
-        for batch in batches:
-            for cut in slices(batch, "_t"):
-                got, sizes = encode_texts(cut.column(1).to_pylist())
-                ids.append(got)
-                lengths.append(sizes)
-                names += cut.column(0).to_pylist()
-                if sum(map(len, ids)) >= file_ids:
-                    yield flush()
-                    piece += 1
-                    ids, names, lengths = [], [], []
-        if names:
-            yield flush()
+        out, n_docs, n_ids = None, 0, 0
+
+        def close() -> pa.RecordBatch:
+            out.done()
+            return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "file": out.name, "n_docs": n_docs, "n_ids": n_ids}], MANIFEST)
+
+        for batch, last in ends(cut for batch in batches for cut in slices(batch, "_t")):
+            got, sizes = encode_texts(batch.column(1).to_pylist())
+            ids.append(got)
+            lengths.append(sizes)
+            names += batch.column(0).to_pylist()
+            if last or sum(map(len, ids)) >= segment_ids:
+                if out is None:
+                    out, n_docs, n_ids = Replacing(folder, f"part-{part:06d}-{piece:05d}.s8b"), 0, 0
+                data = pack(np.concatenate(ids), names, np.concatenate(lengths))
+                out.write(struct.pack("<Q", len(data)) + data)
+                n_docs, n_ids = n_docs + len(names), n_ids + sum(map(len, ids))
+                ids, names, lengths = [], [], []
+                if last or out.size >= file_bytes:
+                    yield close()
+                    out, piece = None, piece + 1
 
     listed = ordered.mapInArrow(run, "part int, piece int, file string, n_docs bigint, n_ids bigint")
     listed.write.parquet(f"{folder}/manifest")
     return folder, spark.read.schema(listed.schema).parquet(f"{folder}/manifest")
 
 
+def ends(items: Iterator) -> Iterator[tuple]:
+    """(item, whether it is the last one)."""
+    items = iter(items)
+    for held in items:
+        for item in items:
+            yield held, False
+            held = item
+        yield held, True
+
+
+def segments(folder: str, name: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(document ids, lengths, ids) of each segment of a file."""
+    with open_for_reading(folder, name) as stream:
+        while head := stream.read(8):
+            yield unpack(stream.read(struct.unpack("<Q", head)[0]))
+
+
 MANIFEST = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
@@ -226,13 +287,13 @@ def read_tokens(folder: str, manifest: DataFrame, id_type: str = "bigint") -> Da
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for name, base in zip(pdf["file"], pdf["base"]):
-                with open_for_reading(folder, name) as stream:
-                    doc_ids, lengths, ids = unpack(stream.read())
-                view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pd.DataFrame({"id": pd.Series(doc_ids, dtype="object"), "start": base + starts, "n_tokens": lengths, "ids_crc32": np.array(crc, np.int64)})
+                for doc_ids, lengths, ids in segments(folder, name):
+                    view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                    stops = np.cumsum(lengths)
+                    starts = stops - lengths
+                    crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
+                    yield pd.DataFrame({"id": pd.Series(doc_ids, dtype="object"), "start": base + starts, "n_tokens": lengths, "ids_crc32": np.array(crc, np.int64)})
+                    base += len(ids)
 
     out = files.mapInPandas(run, "id string, start bigint, n_tokens bigint, ids_crc32 bigint")
     return out.withColumn("id", F.col("id").cast(id_type))
@@ -244,8 +305,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
     def run(frames):
         for pdf in frames:
             for name in pdf["file"]:
-                with open_for_reading(folder, name) as stream:
-                    doc_ids, lengths, ids = unpack(stream.read())
-                yield pd.DataFrame({"id": pd.Series(doc_ids, dtype="object"), "ids": np.split(ids.astype(np.int64), np.cumsum(lengths)[:-1]) if len(lengths) else []})
+                for doc_ids, lengths, ids in segments(folder, name):
+                    yield pd.DataFrame({"id": pd.Series(doc_ids, dtype="object"), "ids": np.split(ids.astype(np.int64), np.cumsum(lengths)[:-1])})
 
     return manifest.select("file").mapInPandas(run, "id string, ids array<bigint>")

@@ -143,8 +143,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         part, piece, out, n = TaskContext.get().partitionId(), 0, None, 0
 
         def close():
-            name = out.final.rpartition("/")[2]
-            return pa.RecordBatch.from_pylist([{"file": name, "n_records": n, "n_bytes": out.done()}], MANIFEST)
+            return pa.RecordBatch.from_pylist([{"file": out.name, "n_records": n, "n_bytes": out.done()}], MANIFEST)
 
         for batch in batches:
             for i in range(batch.num_rows):
