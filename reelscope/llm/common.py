@@ -38,13 +38,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each slice holds about SLICE_CHARS bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each slice holds about ``size`` bytes of text (one row at least)."""
     column = batch.column(batch.schema.get_field_index(text))
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
-    cut = np.cumsum(sizes) // SLICE_CHARS
+    cut = np.cumsum(sizes) // size
     starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)

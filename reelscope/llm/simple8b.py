@@ -11,6 +11,7 @@ table (ids as text, lengths), block offsets and words.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from reelscope.llm.common import Memo, ragged, scratch, slices
+from reelscope.llm.common import ragged, scratch, slices
 from reelscope.llm.files import Replacing, open_for_reading
 
 COUNT = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -39,17 +40,18 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.minimum(np.arange(0, n, BLOCK) + BLOCK, n)
     left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(n)
     choice = np.zeros(n, np.uint8)
-    todo = np.ones(n, bool)
-    index = np.arange(n)
+    open_ = n
     for s in range(1, 15):
-        fits = values < np.uint64(1 << WIDTH[s])
-        if not fits.any():
-            continue
-        if COUNT[s] > 1:
-            stop = np.minimum.accumulate(np.where(fits, n, index)[::-1])[::-1]
-            fits = (stop - index >= COUNT[s]) & (left >= COUNT[s])
-        choice[fits & todo] = s
-        todo &= ~fits
+        at = np.flatnonzero(values < np.uint64(1 << WIDTH[s]))
+        reach = COUNT[s] - 1
+        if reach:
+            at = at[: len(at) - reach][at[reach:] - at[: len(at) - reach] == reach] if len(at) > reach else at[:0]
+            at = at[left[at] > reach]
+        at = at[choice[at] == 0]
+        choice[at] = s
+        open_ -= len(at)
+        if not open_:
+            break
     step = np.where(choice == 0, 1, np.array(COUNT)[choice])
     at = np.arange(0, n, BLOCK)
     blocks = np.arange(len(at))
@@ -127,70 +129,130 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, lengths, decode(words, offsets, int(lengths.sum()))
 
 
+#: Fixed values of the piece hash: an odd base, its inverse modulo 2 ** 64, and an odd multiplier.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+STIR = np.uint64(0xD6E8FEB86659FD93)
+SPACES = np.zeros(256, bool)
+SPACES[[32, 10, 9, 13]] = True
+STOPS, SMALL = np.zeros(256, bool), np.zeros(256, bool)
+STOPS[[44, 46]] = True
+SMALL[97:123] = True
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Numbered:
+    """64-bit keys and their numbers in a few sorted runs, merged as they grow; lookups are vectorised."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        for known, numbers in self.runs:
+            at = np.searchsorted(known, keys)
+            at[at == len(known)] = 0
+            hit = known[at] == keys
+            out[hit] = numbers[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Number new keys, which are sorted, in their order."""
+        numbers = self.size + np.arange(len(keys))
+        self.size += len(keys)
+        self.runs.append((keys, numbers))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            (k1, n1), (k2, n2) = self.runs.pop(), self.runs.pop()
+            k, n = np.r_[k2, k1], np.r_[n2, n1]
+            order = np.argsort(k, kind="stable")
+            self.runs.append((k[order], n[order]))
+        return numbers
+
+
 class PieceEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
-    The library encodes every different piece between spaces once while it is remembered, and texts are put
-    together from the pieces.  New pieces are encoded many at a time, with a special token between them.
+    The library encodes every different piece between spaces once while it is remembered (by a 64-bit hash), and
+    texts are put together from the pieces.  The tokenizer also splits letters from marks and lower-cases, so a stop
+    or comma behind a letter is a piece of its own, and texts of ASCII alone are lower-cased first.  New pieces are encoded many at a time, with a special token between.
     """
 
     def __init__(self, path: str, end_id: int, most_remembered: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         self.library, self.end_id, self.most = Tokenizer.from_file(path), end_id, most_remembered
         special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip)
         self.border = special[0] if special else None
         self.border_text = self.library.id_to_token(special[0]) if special else ""
+        self.up, self.down = powers(BASE, 1), powers(INVERSE, 1)
         self.forget()
 
     def forget(self) -> None:
-        self.memo, self.pool = Memo(), np.array([self.end_id], np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self) -> None:
-        new, self.memo.new = self.memo.new, []
-        if not new:
-            return
-        alone = [i for i, x in enumerate(new) if self.border is None or self.border_text in x]
-        got = {i: self.library.encode(new[i], add_special_tokens=False).ids for i in alone}
-        rest = [x for i, x in enumerate(new) if i not in got] if got else new
-        together = [self.border_text.join(rest[i : i + 1000]) for i in range(0, len(rest), 1000)]
-        runs = [np.array(x.ids + [self.border], np.uint32) for x in self.library.encode_batch_fast(together, add_special_tokens=False)]
-        flat = np.concatenate(runs) if runs else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(flat == self.border) if runs else np.zeros(0, np.int64)
-        if len(ends) != len(rest):
-            raise ValueError("the border token was not kept apart")
-        sizes = np.diff(np.r_[-1, ends]) - 1
-        starts = len(self.pool) + ends - sizes
-        pool = [self.pool, flat]
-        if got:
-            at = len(self.pool) + len(flat)
-            all_starts, all_sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            other = np.setdiff1d(np.arange(len(new)), alone)
-            all_starts[other], all_sizes[other] = starts, sizes
-            for i in alone:
-                all_starts[i], all_sizes[i] = at, len(got[i])
-                pool.append(np.array(got[i], np.uint32))
-                at += len(got[i])
-            starts, sizes = all_starts, all_sizes
-        self.pool = np.concatenate(pool)
-        self.starts, self.sizes = np.r_[self.starts, starts], np.r_[self.sizes, sizes]
+        self.known = Numbered()
+        self.pool = [np.zeros(0, np.uint32)]
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, ids per piece)."""
+        apart = self.border is None or any(self.border_text in x for x in new)
+        if apart:
+            got = [self.library.encode(x, add_special_tokens=False).ids for x in new]
+            return np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int32, len(got))
+        ids, sizes = [], []
+        for at in range(0, len(new), 1000):
+            run = np.array(self.library.encode(self.border_text.join(new[at : at + 1000]), add_special_tokens=False).ids + [self.border], np.uint32)
+            stops = np.flatnonzero(run == self.border)
+            if len(stops) != len(new[at : at + 1000]):
+                raise ValueError("the border token was not kept apart")
+            ids.append(run[run != self.border])
+            sizes.append(np.diff(np.r_[-1, stops]) - 1)
+        return np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text), each text closed by the end id."""
-        if len(self.memo) > self.most:
+        if self.known.size > self.most:
             self.forget()
-        numbers, counts = [], []
-        for text in texts:
-            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
-            numbers.append(np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces)))
-            counts.append(len(pieces))
-        self.learn()
-        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        ends = np.cumsum(counts)
-        starts, sizes = np.insert(self.starts[flat], ends, 0), np.insert(self.sizes[flat], ends, 1)
-        ids = ragged(self.pool, starts, sizes)
-        upto = np.cumsum(sizes)[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, np.int64)
+        raw = [(t.lower() if t.isascii() else t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        borders = np.cumsum([len(x) + 1 for x in raw])
+        data = b"\n".join([*raw, b""])
+        c = np.frombuffer(data, np.uint8)
+        gap = np.r_[True, SPACES[c], True]
+        loose = np.r_[False, STOPS[c[1:-1]] & SMALL[c[:-2]] & gap[3:-1], False, False][: len(c)]  # a stop behind a letter, before a space
+        starts = np.flatnonzero((gap[:-2] | loose) & ~gap[1:-1])
+        stops = np.flatnonzero(~gap[1:-1] & (gap[2:] | np.r_[loose[1:], False])) + 1
+        if len(c) > len(self.up):
+            self.up, self.down = powers(BASE, len(c)), powers(INVERSE, len(c))
+        sums = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum((c + np.uint64(1)) * self.up[: len(c)], out=sums[1:])
+        keys = (sums[stops] - sums[starts]) * self.down[starts]
+        keys = (keys ^ (keys >> np.uint64(32)) ^ (stops - starts).astype(np.uint64)) * STIR
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        number = self.known.find(distinct)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            places = first[fresh]
+            pieces = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[places].tolist(), stops[places].tolist())]
+            ids, sizes = self.encoded(pieces)
+            number[fresh] = self.known.add(distinct[fresh])
+            held = sum(map(len, self.pool))
+            self.starts = np.r_[self.starts, held + np.cumsum(sizes, dtype=np.int64) - sizes]
+            self.sizes = np.r_[self.sizes, sizes]
+            self.pool.append(ids)
+            if len(self.pool) > 8:
+                self.pool = [np.concatenate(self.pool)]
+        pool = np.concatenate([*self.pool, np.array([self.end_id], np.uint32)])
+        at = number[inverse]
+        ends_ = np.searchsorted(starts, borders)
+        begin, size = np.insert(self.starts[at], ends_, len(pool) - 1), np.insert(self.sizes[at].astype(np.int64), ends_, 1)
+        ids = ragged(pool, begin, size)
+        upto = np.cumsum(size)[ends_ + np.arange(len(ends_))]
         return ids, np.diff(np.r_[0, upto])
 
 
@@ -198,7 +260,7 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def tokenizer_ids(path: str, end_id: int, most_remembered: int = 600_000) -> Callable[[], PieceEncoder]:
+def tokenizer_ids(path: str, end_id: int, most_remembered: int = 1_500_000) -> Callable[[], PieceEncoder]:
     """Task-side maker of an encoder for ``write_tokens``."""
 
     def make() -> PieceEncoder:
@@ -234,7 +296,7 @@ def write_tokens(docs: DataFrame, make_encoder, id_column: str = "doc_id", text:
             out.done()
             return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "file": out.name, "n_docs": n_docs, "n_ids": n_ids}], MANIFEST)
 
-        for batch, last in ends(cut for batch in batches for cut in slices(batch, "_t")):
+        for batch, last in ends(cut for batch in batches for cut in slices(batch, "_t", 1 << 20)):
             got, sizes = encode_texts(batch.column(1).to_pylist())
             ids.append(got)
             lengths.append(sizes)

@@ -194,7 +194,7 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, features: int, sure:
     if not n:
         return w, bias
     sizes = np.fromiter(map(len, rows), np.int64, n)
-    flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), sizes)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), sizes)
     df = np.bincount(flat, minlength=features)
     l1 = np.maximum(least, sure * np.sqrt(df * share * (1 - share)) / n)
     kept = np.abs(np.bincount(flat, (share - target)[owner], minlength=features) / n) > l1
@@ -256,7 +256,7 @@ class Toxicity:
         return map_texts(docs, text, make, "score double", keep)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 20_000, vocabulary: int = 60_000) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 16_000, vocabulary: int = 50_000) -> Toxicity:
     """``learn``: which ids may be learned from.  ``sample_rows`` bounds the labelled rows that lexicons are mined from and
     the classifier is fitted on; the label model counts the votes on all texts that may be learned from.  Without
     labels the seed voters stand alone, and nothing is mined.  ``vocabulary`` bounds the signs offered to the classifier (the most frequent)."""
@@ -296,9 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
         index = shared.value
         for pdf in frames:
             sets = [set(x) for x in pdf["signs"]]
-            yield pd.DataFrame({"mask": [m | mined_votes(s, mined) for m, s in zip(pdf["mask"], sets)], "features": [sorted(index[w] for w in index.keys() & s) for s in sets]})
+            yield pd.DataFrame({"mask": [m | mined_votes(s, mined) for m, s in zip(pdf["mask"], sets)], "features": [np.array(sorted(index[w] for w in index.keys() & s), np.int32).tobytes() for s in sets]})
 
-    sample = bags.mapInPandas(indexed, "mask int, features array<int>").toPandas()
+    sample = bags.mapInPandas(indexed, "mask int, features binary").toPandas()
     target = model.posterior(sample["mask"].to_numpy(np.int64))
-    weights, bias = fit_linear([np.asarray(f, np.int64) for f in sample["features"]], target, max(len(words), 1))
+    weights, bias = fit_linear([np.frombuffer(f, np.int32) for f in sample["features"]], target, max(len(words), 1))
     return Toxicity({w: float(v) for w, v in zip(words, weights) if v}, bias, model, mined)
