@@ -135,6 +135,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 STIR = np.uint64(0xD6E8FEB86659FD93)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 10, 9, 13]] = True
+#: Fixed value: how this kind of vocabulary marks a token that closes a word.
+WORD_END = "</w>"
 STOPS, SMALL = np.zeros(256, bool), np.zeros(256, bool)
 STOPS[[44, 46]] = True
 SMALL[97:123] = True
@@ -180,7 +182,8 @@ class PieceEncoder:
 
     The library encodes every different piece between spaces once while it is remembered (by a 64-bit hash), and
     texts are put together from the pieces.  The tokenizer also splits letters from marks and lower-cases, so a stop
-    or comma behind a letter is a piece of its own, and texts of ASCII alone are lower-cased first.  New pieces are encoded many at a time, with a special token between.
+    or comma behind a letter is a piece of its own, and A-Z is lower-cased first (but in texts with combining accents,
+    which lower and upper letters may take up differently).  New pieces are encoded many at a time, with a special token between.
     """
 
     def __init__(self, path: str, end_id: int, most_remembered: int) -> None:
@@ -191,6 +194,10 @@ class PieceEncoder:
         special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip)
         self.border = special[0] if special else None
         self.border_text = self.library.id_to_token(special[0]) if special else ""
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.closes = bool(self.closing.any())
         self.up, self.down = powers(BASE, 1), powers(INVERSE, 1)
         self.forget()
 
@@ -201,25 +208,43 @@ class PieceEncoder:
 
     def encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after another, ids per piece)."""
-        apart = self.border is None or any(self.border_text in x for x in new)
-        if apart:
-            got = [self.library.encode(x, add_special_tokens=False).ids for x in new]
-            return np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int32, len(got))
-        ids, sizes = [], []
-        for at in range(0, len(new), 1000):
-            run = np.array(self.library.encode(self.border_text.join(new[at : at + 1000]), add_special_tokens=False).ids + [self.border], np.uint32)
+        letters = np.fromiter(map(str.isalpha, new), bool, len(new)) & self.closes
+        ids, sizes, order = [], [], []
+        for kind in (True, False):
+            at = np.flatnonzero(letters == kind)
+            order.append(at)
+            for i in range(0, len(at), 1000):
+                got = self._run([new[j] for j in at[i : i + 1000].tolist()], kind)
+                ids.append(got[0])
+                sizes.append(got[1])
+        flat, size = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        back = np.empty(len(new), np.int64)
+        back[np.concatenate(order)] = np.arange(len(new))
+        starts = np.cumsum(size) - size
+        return ragged(flat, starts[back], size[back]), size[back].astype(np.int32)
+
+    def _run(self, pieces: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters are one word each: put apart by spaces, their ids part behind every id that closes a word.
+        Others (and if the count is not right) are put apart by a special token; pieces that hold it are encoded alone."""
+        if letters:
+            run = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.closing[run])
+            if len(stops) == len(pieces) and len(run) and stops[-1] == len(run) - 1:
+                return run, np.diff(np.r_[-1, stops])
+        if self.border is not None and not any(self.border_text in x for x in pieces):
+            run = np.array(self.library.encode(self.border_text.join(pieces), add_special_tokens=False).ids + [self.border], np.uint32)
             stops = np.flatnonzero(run == self.border)
-            if len(stops) != len(new[at : at + 1000]):
-                raise ValueError("the border token was not kept apart")
-            ids.append(run[run != self.border])
-            sizes.append(np.diff(np.r_[-1, stops]) - 1)
-        return np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
+            if len(stops) == len(pieces):
+                return run[run != self.border], np.diff(np.r_[-1, stops]) - 1
+        got = [self.library.encode(x, add_special_tokens=False).ids for x in pieces]
+        return np.array([i for ids in got for i in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text), each text closed by the end id."""
         if self.known.size > self.most:
             self.forget()
-        raw = [(t.lower() if t.isascii() else t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw]
         borders = np.cumsum([len(x) + 1 for x in raw])
         data = b"\n".join([*raw, b""])
         c = np.frombuffer(data, np.uint8)
@@ -296,7 +321,7 @@ def write_tokens(docs: DataFrame, make_encoder, id_column: str = "doc_id", text:
             out.done()
             return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "file": out.name, "n_docs": n_docs, "n_ids": n_ids}], MANIFEST)
 
-        for batch, last in ends(cut for batch in batches for cut in slices(batch, "_t", 1 << 20)):
+        for batch, last in ends(cut for batch in batches for cut in slices(batch, "_t", 2 << 20)):
             got, sizes = encode_texts(batch.column(1).to_pylist())
             ids.append(got)
             lengths.append(sizes)
