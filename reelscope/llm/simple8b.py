@@ -41,8 +41,9 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(n)
     choice = np.zeros(n, np.uint8)
     open_ = n
+    narrow = values.astype(np.uint32) if values.max() < 1 << 32 else values
     for s in range(1, 15):
-        at = np.flatnonzero(values < np.uint64(1 << WIDTH[s]))
+        at = np.flatnonzero(narrow < narrow.dtype.type(1 << WIDTH[s])) if WIDTH[s] < 32 or narrow is values else np.arange(n)
         reach = COUNT[s] - 1
         if reach:
             at = at[: len(at) - reach][at[reach:] - at[: len(at) - reach] == reach] if len(at) > reach else at[:0]
@@ -137,8 +138,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, 10, 9, 13]] = True
 #: Fixed value: how this kind of vocabulary marks a token that closes a word.
 WORD_END = "</w>"
-STOPS, SMALL = np.zeros(256, bool), np.zeros(256, bool)
-STOPS[[44, 46]] = True
+MARKS, SMALL = np.zeros(256, bool), np.zeros(256, bool)
+MARKS[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
 SMALL[97:123] = True
 
 
@@ -181,9 +182,10 @@ class PieceEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
     The library encodes every different piece between spaces once while it is remembered (by a 64-bit hash), and
-    texts are put together from the pieces.  The tokenizer also splits letters from marks and lower-cases, so a stop
-    or comma behind a letter is a piece of its own, and A-Z is lower-cased first (but in texts with combining accents,
-    which lower and upper letters may take up differently).  New pieces are encoded many at a time, with a special token between.
+    texts are put together from the pieces.  The tokenizer also splits letters from marks and lower-cases, so ASCII
+    marks (but the apostrophe of contractions) part from letters here too, and A-Z is lower-cased first (but in texts
+    with combining accents, which lower and upper letters may take up differently).  Slices that hold the text of an
+    added token are left as they are between spaces.  New pieces are encoded many at a time, with a special token between.
     """
 
     def __init__(self, path: str, end_id: int, most_remembered: int) -> None:
@@ -194,6 +196,7 @@ class PieceEncoder:
         special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip)
         self.border = special[0] if special else None
         self.border_text = self.library.id_to_token(special[0]) if special else ""
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -244,18 +247,22 @@ class PieceEncoder:
         if self.known.size > self.most:
             self.forget()
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        raw = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw]
+        lowered = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw]
+        plain = not any(t in x for x in lowered for t in self.specials)
+        raw = lowered if plain else raw
         borders = np.cumsum([len(x) + 1 for x in raw])
         data = b"\n".join([*raw, b""])
         c = np.frombuffer(data, np.uint8)
         gap = np.r_[True, SPACES[c], True]
-        loose = np.r_[False, STOPS[c[1:-1]] & SMALL[c[:-2]] & gap[3:-1], False, False][: len(c)]  # a stop behind a letter, before a space
+        loose = np.zeros(len(c), bool)
+        if plain:
+            loose[1:] = (MARKS[c[1:]] & SMALL[c[:-1]]) | (SMALL[c[1:]] & MARKS[c[:-1]])
         starts = np.flatnonzero((gap[:-2] | loose) & ~gap[1:-1])
         stops = np.flatnonzero(~gap[1:-1] & (gap[2:] | np.r_[loose[1:], False])) + 1
         if len(c) > len(self.up):
             self.up, self.down = powers(BASE, len(c)), powers(INVERSE, len(c))
         sums = np.zeros(len(c) + 1, np.uint64)
-        np.cumsum((c + np.uint64(1)) * self.up[: len(c)], out=sums[1:])
+        np.cumsum(c * self.up[: len(c)], out=sums[1:])
         keys = (sums[stops] - sums[starts]) * self.down[starts]
         keys = (keys ^ (keys >> np.uint64(32)) ^ (stops - starts).astype(np.uint64)) * STIR
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)

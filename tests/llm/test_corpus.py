@@ -197,9 +197,13 @@ def test_tokenizer_pieces_are_independent():
     path = queries.tokenizer_file("word_bpe_49k.json")
     library, work = Tokenizer.from_file(path), simple8b.tokenizer_ids(path, 2)()
     texts = ["a  b\r\nc d e\x1cf\x0bg", " ́x é ΑΣ ΣΑΣ'S i'm", "<|endoftext|> a<|startoftext|>b", "İI ǅ ﬁ 12３"]
-    ids, sizes = work(texts)
-    for t, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
-        assert got.tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
+    texts += ["<|ENDOFTEXT|> Don't", "it's a.'s b!!'S c$$$D *e* f|g 'tis x'Ve 3.14 a≮b J̌ Å (É)", "we'LL-they’re «é», é.ó!", "a1b2 Ⅷ x²,y ½.z"]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice("ab'sS.,!<|>é̸́ 1²Ж한\n*T") for _ in range(40)) for _ in range(300)]
+    for part in (texts, texts[4:], *[[t] for t in texts]):
+        ids, sizes = work(part)
+        for t, got in zip(part, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert got.tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
 
 
 def test_warc_reader_and_faults(spark, folder):
