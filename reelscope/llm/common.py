@@ -63,15 +63,17 @@ def map_texts(
 
     new = StructType.fromDDL(added)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_the_text"))
+    name = text if text in kept else "_the_text"
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[] if text in kept else [F.col(f"`{text}`").alias(name)])
+    where = source.columns.index(name)
     out = StructType([source.schema[c] for c in kept] + new.fields)
     names = new.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "_the_text"):
-                got = work(part.column(len(kept)).to_pylist())
+            for part in slices(batch, name):
+                got = work(part.column(where).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + [got[n] for n in names], kept + names)
 
     return source.mapInArrow(run, out)

@@ -266,7 +266,7 @@ class PieceModel:
 _MODELS: dict[str, tuple] = {}
 
 
-def encoder(path: str, n: int, parts: tuple[str, ...], most_remembered: int = 300_000):
+def encoder(path: str, n: int, parts: tuple[str, ...], most_remembered: int = 200_000):
     """Task-side function for ``encode``."""
 
     def make():

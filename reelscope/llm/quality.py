@@ -112,10 +112,10 @@ class Quality:
             out[at : at + block] = ((w * self.labels[near]).sum(axis=1) + 0.1 * self.prior) / (w.sum(axis=1) + 0.1)
         return np.clip(out, 0, 1)
 
-    def score(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """Add score (0 to 1) for every whole text, null and empty ones too (they are alike)."""
+    def score(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+        """Add the score ``out`` (0 to 1) for every whole text, null and empty ones too (they are alike)."""
         shared = docs.sparkSession.sparkContext.broadcast(self)
-        return map_texts(docs, text, lambda: lambda texts: {"score": pa.array(shared.value.vote(shared.value.vectors([features(t) for t in texts])), pa.float64())}, "score double", keep)
+        return map_texts(docs, text, lambda: lambda texts: {out: pa.array(shared.value.vote(shared.value.vectors([features(t) for t in texts])), pa.float64())}, f"{out} double", keep)
 
 
 def fit(
