@@ -4,7 +4,6 @@ A plain ``Window.partitionBy(group)`` puts a whole group into one task.  These h
 group into *blocks* along its order column (an hour of a log, 1024 frames of a video), run the
 window inside (group, block), and pass what must cross a block border through a small table
 with one row per block.  Rows are shuffled once, on (group, block), so a hot group spreads.
-Groups that are not large keep a plain window.
 """
 
 from __future__ import annotations
@@ -38,21 +37,6 @@ def _group_window(group: list[str]):
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 
 
-HOT_ROWS = 100_000
-HOT_GROUPS = 1000
-
-
-def hot_groups(df: DataFrame, group: list[str], more_than: int | None = None, most: int = HOT_GROUPS) -> DataFrame:
-    """One row: an array with the at most ``most`` largest groups above ``more_than`` rows.
-
-    A group that is left out has at most 1/``most`` of all rows, which one task can take.
-    """
-    floor = HOT_ROWS if more_than is None else more_than
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor)
-    top = counts.orderBy(F.col("_n").desc(), *group).limit(most)
-    return top.agg(F.collect_list(F.struct(*group)).alias("hot"))
-
-
 def _join_blocks(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     right = table.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in table.columns])
     cond = None
@@ -72,8 +56,6 @@ def carried(
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     maxima: dict[str, Column] | None = None,
-    hot_rows: int | None = None,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add exact whole-group ordered columns.
 
@@ -81,16 +63,10 @@ def carried(
     running maxima.  ``previous`` / ``following``: value of a column in the neighbouring row.
     ``order`` must be a total order within the group and ``block`` must not fall along it.
 
-    Only groups above ``hot_rows`` (by default HOT_ROWS) rows are cut into blocks (without a group: always); the others
-    stay one partition of the window.  Either way rows are shuffled once.  ``sizes``: rows to
-    count groups on, where that is cheaper than ``df`` (an earlier stage with the same groups).
+    Every group is cut into blocks, whatever its size, and rows are shuffled once.
     """
     sums, previous, following, maxima = sums or {}, previous or {}, following or {}, maxima or {}
-    if group:
-        hot = hot_groups(df if sizes is None else sizes, group, hot_rows).scalar()
-        rows = df.withColumn(BLOCK, F.when(F.array_contains(hot, F.struct(*group)), block))
-    else:
-        rows = df.withColumn(BLOCK, block)
+    rows = df.withColumn(BLOCK, block)
     keys = [*group, BLOCK]
     order_key = F.struct(*order)
     aggs = []
@@ -134,17 +110,16 @@ def carried(
 
 
 def with_lags(
-    df: DataFrame, group: list[str], index: str, lags: dict[str, tuple[str, int]], size: int = 4096, hot_rows: int | None = None
+    df: DataFrame, group: list[str], index: str, lags: dict[str, tuple[str, int]], size: int = 4096
 ) -> DataFrame:
     """Values of the rows 1, 2, ... before, where ``index`` counts a group's rows without gaps.
 
-    A large group is cut every ``size`` rows, and the last rows of a block are copied into the
+    A group is cut every ``size`` rows, and the last rows of a block are copied into the
     next one as context; no join is needed.  ``lags``: name -> (column, distance).
     """
     reach = max(d for _, d in lags.values())
-    hot = hot_groups(df.select(*group), group, hot_rows).scalar()
-    at = F.when(F.array_contains(hot, F.struct(*group)), F.floor(F.col(index) / size))
-    tail = at.isNotNull() & (F.col(index) % size >= size - reach)
+    at = F.floor(F.col(index) / size)
+    tail = F.col(index) % size >= size - reach
     copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = df.withColumn(BLOCK, at).withColumn("_ctx", F.explode(copies)).withColumn(BLOCK, F.col(BLOCK) + F.col("_ctx"))
     w = Window.partitionBy(*group, BLOCK).orderBy(index)

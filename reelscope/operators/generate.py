@@ -26,9 +26,9 @@ def interval_samples(assets: DataFrame, every_s: float = 5.0, length_s: float =
     return out.select("asset_id", "sample_no", start.alias("start_s"), F.least(start + length_s, "duration_s").alias("end_s")).where("end_s > start_s")
 
 
-def temporal_samples(assets: DataFrame, every_s: float = 5.0, max_s: float = 60.0, length_s: float = 2.0) -> DataFrame:
-    """Evenly spread samples over the analysed span (at most ``max_s``)."""
-    span = F.least(F.col("duration_s"), F.lit(max_s))
+def temporal_samples(assets: DataFrame, every_s: float = 5.0, max_s: float | None = None, length_s: float = 2.0) -> DataFrame:
+    """Evenly spread samples over the whole asset, or over its first ``max_s`` seconds if the caller wants that."""
+    span = F.least(F.col("duration_s"), F.lit(max_s)) if max_s else F.col("duration_s")
     n = F.greatest(F.lit(1).cast("bigint"), S.whole(span / every_s))
     out = assets.select("asset_id", span.alias("_span"), n.alias("_n"), F.explode(index(n)).alias("sample_no"))
     start = F.col("sample_no") * (F.col("_span") / F.col("_n"))

@@ -140,20 +140,23 @@ def concerns(found: DataFrame) -> DataFrame:
     return agg.select(F.when(F.size(told) > 0, told).otherwise(F.array(F.lit("no_major_concerns"))).alias("concerns"))
 
 
-def build_report(sessions: DataFrame, ops: DataFrame, lookups: DataFrame, now: Column, days: int = 7) -> DataFrame:
+def build_report(sessions: DataFrame, ops: DataFrame, lookups: DataFrame, now: Column, days: int | None = None) -> DataFrame:
     """One nested row: summary, trends, bottlenecks, recommendations, potential.
 
     Everything nested is small by construction (a row per day, platform, operation or rule); each
-    part is aggregated on its own and attached as a scalar.
+    part is aggregated on its own and attached as a scalar.  ``days``: one period for all parts (lookups then
+    need ts); everything by default.
     """
-    since = now - F.make_dt_interval(days=F.lit(days))
-    recent, logged = sessions.where(F.col("start_ts") >= since), ops.where(F.col("ts") >= since)
+    recent, logged = sessions, ops
+    if days is not None:
+        since = now - F.make_dt_interval(days=F.lit(days))
+        recent, logged, lookups = sessions.where(F.col("start_ts") >= since), ops.where(F.col("ts") >= since), lookups.where(F.col("ts") >= since)
     good = recent.where(F.col("success"))
     trend = A.trend_significance(recent)
     found = bottlenecks(A.op_stats(logged), A.lookup_stats(lookups))
     one = lambda df: df.select(F.struct(*df.columns)).scalar()
     many = lambda df: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns)))).scalar()
-    head = recent.sparkSession.range(1).select(now.alias("report_ts"), F.lit(days).alias("period_days"))
+    head = recent.sparkSession.range(1).select(now.alias("report_ts"), F.lit(days).cast("int").alias("period_days"))
     return head.withColumns({
         "summary": one(A.session_summary(recent)), "duration_trend": one(trend),
         "daily": many(A.daily_stats(good)), "platforms": many(A.platform_stats(good)), "operation_trends": many(A.op_trends(logged)),

@@ -674,14 +674,16 @@ ROUTE_NEAR = dict(**DEC, runs=RUNS.format(us=60 * 1000000))
       CASE WHEN reason IN ('prediction_skip', 'high_risk_prediction') THEN coalesce(pred_vmaf >= 80, false) AND coalesce(pred_ssim >= 0.94e0, false) END AS passes
     FROM (SELECT q.*, p.confidence, p.eval_cost_s, p.pred_vmaf, p.pred_ssim, CASE WHEN coalesce(disabled, false) THEN 'frequency_limit_expensive_evaluations_disabled' WHEN coalesce(attempt_no, 0) >= 3 THEN 'frequency_limit_max_attempts_reached' WHEN coalesce(consecutive_failures, 0) >= 2 THEN 'frequency_limit_consecutive_failures'
         WHEN coalesce(total_time, 0) >= 300 THEN 'frequency_limit_time_budget_exceeded' WHEN coalesce(recent_failures, 0) >= 2 THEN 'frequency_limit_recent_failures' WHEN 300 - coalesce(total_time, 0) < 30 THEN 'insufficient_time_budget' WHEN p.skip THEN 'prediction_skip' WHEN len(risk_factors) >= 3 THEN 'high_risk_prediction' END AS reason
-      FROM (SELECT o_orderkey AS request_id, o_custkey AS session_id, asset_id, duration_s, height FROM orders JOIN v_assets ON asset_id = o_orderkey % 2000) q
+      FROM (SELECT o_orderkey AS request_id, o_custkey AS session_id, asset_id, duration_s, height FROM orders JOIN v_assets ON asset_id = o_orderkey % (SELECT max(asset_id) + 1 FROM v_assets)) q
       LEFT JOIN (SELECT session_id, arg_max(attempt_no, attempt_no) AS attempt_no, arg_max(consecutive_failures, attempt_no) AS consecutive_failures, arg_max(total_time, attempt_no) AS total_time, arg_max(recent_failures, attempt_no) AS recent_failures, bool_or(consecutive_failures >= 2) AS disabled FROM runs GROUP BY session_id) s USING (session_id)
       LEFT JOIN decision p USING (asset_id))""",
     "v_assets v_encodes v_attempts", **ROUTE_NEAR,
 )
 def _(spark, sf):
-    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session_id"), (F.col("o_orderkey") % 2000).alias("asset_id"))
-    requests = o.join(V.v_assets(spark, sf).select("asset_id", "duration_s", "height"), "asset_id")
+    assets = V.v_assets(spark, sf)
+    last = assets.agg(F.max("asset_id") + 1).scalar()
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session_id"), (F.col("o_orderkey") % last).alias("asset_id"))
+    requests = o.join(assets.select("asset_id", "duration_s", "height"), "asset_id")
     state = RT.limiter_state(W.failure_runs(V.v_attempts(spark, sf)))
     pred = PR.predict_decision(chars(spark, sf), history(spark, sf), threshold=0.7).select(
         "asset_id", "pred_vmaf", "pred_ssim", "confidence", "skip", "eval_cost_s", "risk_factors")

@@ -134,7 +134,7 @@ def _(spark, sf):
 
 
 TEMPORAL = """SELECT asset_id, sample_no, sample_no * (span / n) AS start_s, least(sample_no * (span / n) + 2, span) AS end_s FROM (
-  SELECT asset_id, span, n, unnest(range(0, n)) AS sample_no FROM (SELECT asset_id, least(duration_s, 60.0e0) AS span, greatest(1, CAST(floor(least(duration_s, 60.0e0) / 7) AS BIGINT)) AS n FROM v_assets))"""
+  SELECT asset_id, span, n, unnest(range(0, n)) AS sample_no FROM (SELECT asset_id, duration_s AS span, greatest(1, CAST(floor(duration_s / 7) AS BIGINT)) AS n FROM v_assets))"""
 
 
 @query("temporal_samples", TEMPORAL, "v_assets", "start_s end_s")

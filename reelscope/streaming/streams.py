@@ -33,10 +33,12 @@ def watch(spark: SparkSession, root: str, max_files: int = 100, extensions=(*K.V
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema, max_files: int = 1000) -> DataFrame:
-    """A Parquet table file (or folder of files) as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", max_files).parquet(folder)
-    )
+    """A Parquet table as a stream, whether it is one file of that name or a folder of part files."""
+    parts = spark.read.schema(schema).parquet(f"{folder}/{name}").inputFiles()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if [p.rpartition("/")[2] for p in parts] == [name]:
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(f"{folder}/{name}")
 
 
 def stable(looks: DataFrame, min_age_s: float = 10.0) -> DataFrame:

@@ -20,11 +20,10 @@ def rows(spark):
     return spark.createDataFrame(data, "g int, t long, id long, v double").cache()
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100, 10**9])
-def test_carried_matches_window(rows, hot_rows):
+def test_carried_matches_window(rows):
     got = B.carried(
         rows, ["g"], ["t", "id"], B.by_value("t", 40), number="n", sums={"s": F.col("v")}, previous={"p": "v"}, following={"f": "v"},
-        maxima={"m": F.col("v")}, hot_rows=hot_rows,
+        maxima={"m": F.col("v")},
     ).select("g", "t", "id", "v", "n", "s", "p", "f", "m")
     w = Window.partitionBy("g").orderBy("t", "id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +44,7 @@ def test_carried_without_group(rows):
 def test_lags(spark):
     data = [(g, i, float(g * 100 + i)) for g, n in ((0, 200), (1, 3)) for i in range(1, n + 1)]
     df = spark.createDataFrame(data, "g int, step long, v double")
-    got = {(r.g, r.step): (r.a, r.b) for r in B.with_lags(df, ["g"], "step", {"a": ("v", 1), "b": ("v", 2)}, size=16, hot_rows=10).collect()}
+    got = {(r.g, r.step): (r.a, r.b) for r in B.with_lags(df, ["g"], "step", {"a": ("v", 1), "b": ("v", 2)}, size=16).collect()}
     for g, i, v in data:
         assert got[g, i] == (v - 1 if i > 1 else None, v - 2 if i > 2 else None)
 

@@ -26,18 +26,3 @@ def test_query(spark, con, sf_dir, name):
     ok, note = check_oracle.compare(spark, con, name, QUERIES[name], ORACLE.get(name), sf_dir)
     assert ok, note
 
-
-ORDERED = (
-    "best_attempt", "cache_lookup", "complexity_regions", "convergence", "degradation", "failure_runs", "frame_motion", "frame_similarity",
-    "frames_in_scenes", "improvement", "keyframe_stride", "missing_segments", "quarantine", "sample_budget", "scene_intervals", "segment_summary",
-)
-
-
-@pytest.mark.parametrize("name", ORDERED)
-def test_query_with_every_group_hot(spark, con, sf_dir, name, monkeypatch):
-    """The same results when every group takes the block-wise path."""
-    from reelscope.operators import blocks
-
-    monkeypatch.setattr(blocks, "HOT_ROWS", 0)
-    ok, note = check_oracle.compare(spark, con, name, QUERIES[name], ORACLE.get(name), sf_dir)
-    assert ok, note
