@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reelscope.session import shared_folder
 
 #: A task works on slices of about this many characters, however many rows Spark puts in one batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: Pieces into which every group is dealt before it is joined; a third of all rows becomes 1/192 of them.
 SALTS = 64
 
