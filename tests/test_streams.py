@@ -84,3 +84,13 @@ def test_quarantine_names(spark):
     have = spark.createDataFrame([("f", "a.mp4", 2)], "folder string, name string, taken int")
     got = sorted(r.quarantined_name for r in ST.quarantine(failed, have).collect())
     assert got == sorted([f"a ({i}).mp4" for i in range(2, 7)] + ["b.mp4"])
+
+
+def test_table_streams_read_files_and_folders(spark, sf_dir, tmp_path):
+    """The same rows for a table that is one file and for a folder of parts."""
+    from reelscope.registry import load
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    query = load()[0]["live_op_stats"]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(query(spark, str(tmp_path))) == key(query(spark, sf_dir))
