@@ -125,9 +125,13 @@ def even_width(height: Column, aspect: Column, low: int = 64) -> Column:
     return F.greatest(S.even(S.whole(height * aspect)), F.lit(low).cast("bigint"))
 
 
-def select_res_fps(assets: DataFrame, bpp_min: float, kbps: str = "kbps", floor_kbps: int = 10, min_fps: float = K.MIN_FPS) -> DataFrame:
+def select_res_fps(assets: DataFrame, bpp_min: float, kbps: str = "kbps", floor_kbps: int = 10, min_fps: float = K.MIN_FPS,
+                   min_size: tuple[int, int] | None = None) -> DataFrame:
     """Largest height, then preferred frame rate, that meets the bits-per-pixel floor.
 
+    ``min_size``: (width, height) no picture may go below.  Where it leaves no size at all, the asset's
+    own size stays, raised to the minimum.
+
     Without one, the first candidate at all while the encoder floor holds; below the floor, a
     progressively smaller picture is pointless, so the absolute minimum is returned.
     """
@@ -138,6 +142,11 @@ def select_res_fps(assets: DataFrame, bpp_min: float, kbps: str = "kbps", floor_
     sizes = F.array_compact(F.array(original, *[
         F.when(c("height") >= h, F.struct(even_width(F.lit(h), aspect).alias("w"), F.lit(h).cast("bigint").alias("h"))) for h in GRID_HEIGHTS
     ]))
+    low_w, low_h = min_size or (64, 48)
+    if min_size:
+        allowed = F.filter(sizes, lambda s: (s["w"] >= low_w) & (s["h"] >= low_h))
+        raised = F.struct(*[F.greatest(c(n), F.lit(v)).cast("bigint").alias(k) for n, v, k in (("width", low_w, "w"), ("height", low_h, "h"))])
+        sizes = F.when(F.size(allowed) > 0, allowed).otherwise(F.array(raised))
     lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     rates = (
         F.when(c("motion_level") == "low", lit((24, 20, 15, 12, 8, 6, 30)))
@@ -152,10 +161,10 @@ def select_res_fps(assets: DataFrame, bpp_min: float, kbps: str = "kbps", floor_
     pixels = rate * 1000 / (min_fps * bpp_min)
     max_h = S.whole(F.sqrt(pixels / aspect))
     calc = F.struct(
-        F.greatest(F.lit(64).cast("bigint"), S.even(S.whole(max_h * aspect))).alias("w"),
-        F.greatest(F.lit(48).cast("bigint"), S.even(max_h)).alias("h"), F.lit(float(min_fps)).alias("f"),
+        F.greatest(F.lit(low_w).cast("bigint"), S.even(S.whole(max_h * aspect))).alias("w"),
+        F.greatest(F.lit(low_h).cast("bigint"), S.even(max_h)).alias("h"), F.lit(float(min_fps)).alias("f"),
     )
-    least = F.struct(F.lit(64).cast("bigint").alias("w"), F.lit(48).cast("bigint").alias("h"), F.lit(float(min_fps)).alias("f"))
+    least = F.struct(F.lit(low_w).cast("bigint").alias("w"), F.lit(low_h).cast("bigint").alias("h"), F.lit(float(min_fps)).alias("f"))
     calc = F.when(rate * 1000 / (calc["w"] * calc["h"] * min_fps) >= bpp_min, calc).otherwise(least)
     chosen = (
         F.when(rate < floor_kbps, least).when(c("_fit").isNotNull(), c("_fit"))

@@ -46,9 +46,20 @@ def confidence_level(conf: Column) -> Column:
     return F.when(conf >= 0.8, "very_high").when(conf >= 0.7, "high").when(conf >= 0.5, "medium").otherwise("low")
 
 
+#: Features that ``predict_stat`` reads.
+STAT_FEATURES = (
+    "blur_score", "noise_score", "complexity_score", "motion_score", "temporal_stability", "laplacian_var", "fft_score", "noise_var",
+    "snr_db", "edge_density", "texture", "gradient_magnitude",
+)
+
+
 def predict_stat(f: DataFrame, threshold: float = SKIP_CONFIDENCE) -> DataFrame:
-    """Statistical prediction from the columns of ``frames.video_features`` plus analysis_s (seconds spent)."""
+    """Statistical prediction from the columns of ``frames.video_features`` plus analysis_s (seconds spent).
+
+    A feature that was not measured (null) counts as 0, so every row gets a prediction.
+    """
     c = F.col
+    f = f.withColumns({n: F.coalesce(c(n), F.lit(0.0)) for n in STAT_FEATURES})
     clean = 1 - c("noise_score")
     m, n = VMAF_MODEL, SSIM_MODEL
     vmaf = S.clamp(total([

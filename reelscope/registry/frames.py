@@ -11,9 +11,9 @@ from reelscope.sources import views as V
 
 
 def colour(spark, sf):
-    """The first 48 values of a frame read as a 4x4 red-green-blue image."""
-    f = V.v_frames(spark, sf)
-    return f.select("video_id", "frame_idx", "ts_s", F.lit(4).alias("w"), F.lit(4).alias("h"), F.slice("pixels", 1, 48).alias("pixels"))
+    """Every value of a frame as one red-green-blue point: the value, its negative, and its double (in a byte)."""
+    rgb = F.flatten(F.transform("pixels", lambda x: F.array(x, 255 - x, x * 2 % 256)))
+    return V.v_frames(spark, sf).select("video_id", "frame_idx", "ts_s", "w", "h", rgb.alias("pixels"))
 
 
 @query("average_hash", "SELECT asset_id // 1000000 AS video_id, asset_id % 1000000 AS frame_idx, bits FROM hashes", "v_frames", hashes=HASHES)
@@ -119,10 +119,9 @@ def _(spark, sf):
 @query("artifact_gate")
 def _(spark, sf):
     f = V.v_frames(spark, sf)
-    picked = FR.sample_frames(f, 5, 3).select("video_id", "frame_idx")
-    some = f.join(picked, ["video_id", "frame_idx"])
-    metrics = FR.blockiness(some).join(FR.banding(some), ["video_id", "frame_idx"])
-    return FR.artifact_gate(metrics)
+    parts = [m.select("video_id", *[m[c] if c == name else F.lit(None).cast("double").alias(c) for c in ("blockiness", "banding")])
+             for name, m in (("blockiness", FR.blockiness(f)), ("banding", FR.banding(f)))]
+    return FR.artifact_gate(parts[0].unionByName(parts[1]))
 
 
 FEATURES = """SELECT encoder AS video_id, vmaf AS laplacian_var, size_mb * 12 AS sobel_var, tax AS fft_score, tax / 2 AS noise_var, vmaf / 3 AS snr_db, tax * 2 AS grain, tax / 3 AS edge_density, tax * 5 AS texture,

@@ -134,8 +134,8 @@ def _(spark, sf):
 # ------------------------------------------------------------------ prediction
 
 UNIT = lambda x: f"least(1.0e0, {x})"
-FEATS = """SELECT job_id, step, vmaf AS laplacian_var, tax AS fft_score, tax / 2 AS noise_var, vmaf / 3 AS snr_db, tax / 3 AS edge_density, tax * 5 AS texture, size_mb * 3 AS gradient_magnitude,
-  (vmaf - 50) / 50 AS blur_score, tax * 8 AS noise_score, size_mb / 21 AS complexity_score, ssim - 0.4e0 AS motion_score, 1.4e0 - ssim AS temporal_stability, crf - 12 AS frames, crf / 8 AS analysis_s FROM v_encodes WHERE vmaf IS NOT NULL"""
+FEATS = """SELECT job_id, step, coalesce(vmaf, 0) AS laplacian_var, tax AS fft_score, tax / 2 AS noise_var, coalesce(vmaf / 3, 0) AS snr_db, tax / 3 AS edge_density, tax * 5 AS texture, size_mb * 3 AS gradient_magnitude,
+  coalesce((vmaf - 50) / 50, 0) AS blur_score, tax * 8 AS noise_score, size_mb / 21 AS complexity_score, ssim - 0.4e0 AS motion_score, 1.4e0 - ssim AS temporal_stability, crf - 12 AS frames, crf / 8 AS analysis_s FROM v_encodes"""
 SD = lambda *p: "sqrt((" + " + ".join(f"pow({x} - ({' + '.join(p)}) / {len(p)}, 2)" for x in p) + f") / {len(p)})"
 BLUR3 = ("blur_score", "least(1.0e0, laplacian_var / 100)", "fft_score")
 NOISE3 = ("noise_score", "least(1.0e0, noise_var / 0.1e0)", "greatest(0.0e0, least(1.0e0, 1 - snr_db / 40))")
@@ -156,7 +156,7 @@ CL = lambda x, hi: f"greatest(0.0e0, least({hi}, {x}))"
 )
 def _(spark, sf):
     c = F.col
-    f = V.v_encodes(spark, sf).where("vmaf IS NOT NULL").select(
+    f = V.v_encodes(spark, sf).select(
         "job_id", "step", c("vmaf").alias("laplacian_var"), c("tax").alias("fft_score"), (c("tax") / 2).alias("noise_var"), (c("vmaf") / 3).alias("snr_db"),
         (c("tax") / 3).alias("edge_density"), (c("tax") * 5).alias("texture"), (c("size_mb") * 3).alias("gradient_magnitude"), ((c("vmaf") - 50) / 50).alias("blur_score"),
         (c("tax") * 8).alias("noise_score"), (c("size_mb") / 21).alias("complexity_score"), (c("ssim") - 0.4).alias("motion_score"), (1.4 - c("ssim")).alias("temporal_stability"),

@@ -29,10 +29,13 @@ def event_stream(spark, sf):
 
 
 def run(spark, stream, name, mode="append"):
-    """Run the stream into an epoch sink and read it back."""
+    """Run the stream into an epoch sink and read it back; in complete mode the newest epoch is the whole table."""
     path = scratch(spark, name)
     sinks.run_available(stream, f"{path}/_checkpoint", sinks.epoch_writer(f"{path}/out"), mode)
-    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out").drop(sinks.EPOCH)
+    rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+    if mode == "complete":
+        rows = rows.where(F.col(sinks.EPOCH) == rows.agg(F.max(sinks.EPOCH)).scalar())
+    return rows.drop(sinks.EPOCH)
 
 
 def run_keyed(spark, stream, name, keys, mode="update"):
@@ -174,7 +177,9 @@ def _(spark, sf):
     def handle(batch, epoch):
         good, bad = ST.status_split(batch, F.col("ok"))
         good.write.mode("overwrite").parquet(f"{path}/done/epoch={epoch}")
-        ST.quarantine(bad.drop("ok"), taken).write.mode("overwrite").parquet(f"{path}/failures/epoch={epoch}")
+        there = spark.read.parquet(f"{path}/taken/epoch={epoch - 1}") if epoch else taken
+        ST.quarantine(bad.drop("ok"), there).write.mode("overwrite").parquet(f"{path}/failures/epoch={epoch}")
+        ST.names_taken(bad, there).write.mode("overwrite").parquet(f"{path}/taken/epoch={epoch}")
 
     sinks.run_available(e, f"{path}/_checkpoint", handle)
     out = spark.read.parquet(f"{path}/failures")

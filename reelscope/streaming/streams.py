@@ -134,5 +134,12 @@ def quarantine(failed: DataFrame, existing: DataFrame, buckets: int = 64) -> Dat
     return j.select("path", "folder", target.alias("quarantined_name"))
 
 
+def names_taken(failed: DataFrame, existing: DataFrame) -> DataFrame:
+    """The ``existing`` table of ``quarantine`` once ``failed`` has been moved too; the next epoch numbers on from it."""
+    more = failed.groupBy("folder", "name").agg(F.count(F.lit(1)).alias("taken"))
+    both = existing.select("folder", "name", F.col("taken").cast("bigint").alias("taken")).unionByName(more)
+    return both.groupBy("folder", "name").agg(F.sum("taken").alias("taken"))
+
+
 def status_split(batch: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return batch.where(ok), batch.where(~F.coalesce(ok, F.lit(False)))

@@ -101,6 +101,17 @@ def test_fold_runs_match_loop(spark, size):
         assert r.run == want[r.frame_idx]
 
 
+def test_fold_of_a_still_video_takes_few_rounds(spark, monkeypatch):
+    """Each block depends on the one before; rounds grow with the logarithm of their number."""
+    rounds = []
+    real = folds.checkpointed
+    monkeypatch.setattr(folds, "checkpointed", lambda df: rounds.append(1) or real(df))
+    df = spark.createDataFrame([(1, i, [4, 4, 8], 100) for i in range(640)], "video_id long, frame_idx long, hist array<long>, show_ms int")
+    (row,) = W.dedup_frames(df, 0.95, block=10).collect()
+    assert (row.frame_idx, row.frames, row.show_ms) == (0, 640, 64000)
+    assert len(rounds) <= 6  # rows, first pass, and spans of 4, 16, 64 blocks
+
+
 def test_dedup_matches_loop(spark):
     rnd = np.random.default_rng(2)
     hists, cur = [], rnd.integers(1, 50, 8)

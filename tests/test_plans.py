@@ -52,3 +52,26 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_minimum_size_guards_the_grid(spark):
+    """No picture below the minimum; where no size of the grid meets it, the asset's own, raised to it."""
+    from reelscope.plans import planning as P
+
+    df = spark.createDataFrame([(1, 1920, 1080, 30.0, 50, "high"), (2, 320, 240, 30.0, 50, "high")],
+                               "asset_id long, width int, height int, fps double, kbps long, motion_level string")
+    got = {r.asset_id: (r.sel_w, r.sel_h) for r in P.select_res_fps(df, 0.023, min_size=(640, 360)).collect()}
+    assert got == {1: (1920, 1080), 2: (640, 360)}
+    free = {r.asset_id: r.sel_h for r in P.select_res_fps(df, 0.023).collect()}
+    assert free[1] < 360 and free[2] < 360
+
+
+def test_prediction_without_a_measured_feature(spark):
+    """A row whose features are null is predicted as if they were 0, not dropped."""
+    from reelscope.plans import predict as PR
+
+    names = [*PR.STAT_FEATURES, "frames", "analysis_s"]
+    df = spark.createDataFrame([(1, *[None] * len(PR.STAT_FEATURES), 4.0, 2.0), (2, *[0.0] * len(PR.STAT_FEATURES), 4.0, 2.0)],
+                               ", ".join(["id int", *[f"{n} double" for n in names]]))
+    a, b = PR.predict_stat(df).orderBy("id").select("pred_vmaf", "pred_ssim", "confidence").collect()
+    assert a == b and a.pred_vmaf is not None
