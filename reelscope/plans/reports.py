@@ -88,9 +88,27 @@ def advice(found: DataFrame) -> DataFrame:
     return out.withColumn("expected_impact", impact)
 
 
-def recommend(found: DataFrame, duration_trend: DataFrame | None = None) -> DataFrame:
-    """Advice ordered by priority, then impact. ``duration_trend``: one row (direction, significance) adds a degradation notice."""
+def cache_notice(lookups: DataFrame, high: float = 80.0, low: float = 20.0, enough: int = 20) -> DataFrame:
+    """At most one notice from the row of ``aggregates.lookup_stats``: very good use of the cache, or poor use over enough lookups."""
+    rate = F.col("hit_rate")
+    good, poor = rate > high, (rate < low) & (F.col("total_lookups") > enough)
+    pick = lambda a, b: F.when(good, a).otherwise(b)
+    return lookups.where(good | poor).select(
+        pick("optimization_opportunity", "cache_optimization").alias("kind"), F.lit(None).cast("string").alias("op_name"),
+        pick("low", "high").alias("severity"), F.lit(0).alias("pos"), pick("increase_cache_size", "review_cache_strategy").alias("advice"),
+        pick("low", "high").alias("expected_impact"),
+    )
+
+
+def recommend(found: DataFrame, duration_trend: DataFrame | None = None, lookups: DataFrame | None = None) -> DataFrame:
+    """Advice ordered by priority, then impact.
+
+    ``duration_trend``: one row (direction, significance) adds a degradation notice; ``lookups``: one row (total_lookups,
+    hit_rate) adds a notice on the use of the cache.
+    """
     out = advice(found)
+    if lookups is not None:
+        out = out.unionByName(cache_notice(lookups))
     if duration_trend is not None:
         worse = (F.col("direction") == "increasing") & F.col("significance").isin("significant", "moderate")
         notice = duration_trend.where(worse).select(

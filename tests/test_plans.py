@@ -75,3 +75,17 @@ def test_prediction_without_a_measured_feature(spark):
                                ", ".join(["id int", *[f"{n} double" for n in names]]))
     a, b = PR.predict_stat(df).orderBy("id").select("pred_vmaf", "pred_ssim", "confidence").collect()
     assert a == b and a.pred_vmaf is not None
+
+
+def test_cache_notices(spark):
+    """Above 80 percent, below 20 percent over more than 20 lookups, and nothing between."""
+    from reelscope.plans import reports as R
+
+    df = spark.createDataFrame([(10, 90.0), (30, 80.0), (21, 10.0), (20, 10.0), (0, None)], "total_lookups long, hit_rate double")
+    got = {(r.kind, r.severity, r.advice) for r in R.cache_notice(df).collect()}
+    assert got == {("optimization_opportunity", "low", "increase_cache_size"), ("cache_optimization", "high", "review_cache_strategy")}
+    assert R.cache_notice(df).count() == 2
+    found = spark.createDataFrame([("poor_cache_performance", "cache", "high", 10.0, 5, 0.0, 0.0)],
+                                  "kind string, op_name string, severity string, metric double, n long, variability double, max_memory double")
+    kinds = [r.kind for r in R.recommend(found, lookups=df.where("total_lookups = 21")).collect()]
+    assert "cache_optimization" in kinds and "poor_cache_performance" in kinds
