@@ -172,29 +172,25 @@ def newest_history(history: DataFrame, newest: int = 100) -> DataFrame:
     return rows.agg(F.collect_list(F.struct("history_id", *TRAITS)).alias("h"))
 
 
-def _scored(assets: DataFrame, history: DataFrame, newest: int) -> DataFrame:
-    """Assets times the bounded history, with ``similarity``.
+def neighbours(assets: DataFrame, history: DataFrame, key: str = "asset_id", newest: int = 100, above: float = 0.7) -> DataFrame:
+    """Per asset the history rows closer than ``above``: key, history_id, similarity.
 
-    The history is bounded by definition (newest N), so it rides along as one scalar array: assets
-    are neither shuffled nor joined, and the comparison stays in generated code.
+    The history is bounded by definition (newest N), so it rides along as one scalar array: assets are
+    neither shuffled nor joined, and the comparison stays in generated code.
     """
-    held = assets.withColumn("_h", newest_history(history, newest).scalar())
-    rows = held.withColumn("_r", F.explode_outer("_h")).drop("_h")
+    held = assets.select(key, *TRAITS).withColumn("_h", newest_history(history, newest).scalar())
+    rows = held.withColumn("_r", F.explode("_h")).drop("_h")
     close = closeness({t: F.col(t) for t in TRAITS}, {t: F.col(f"_r.{t}") for t in TRAITS})
-    return rows.withColumn("similarity", close)
-
-
-def neighbours(assets: DataFrame, history: DataFrame, key: str = "asset_id", newest: int = 100, above: float = 0.7) -> DataFrame:
-    """Per asset the history rows closer than ``above``: key, history_id, similarity."""
-    near = _scored(assets.select(key, *TRAITS), history, newest).where(F.col("similarity") > above)
+    near = rows.withColumn("similarity", close).where(F.col("similarity") > above)
     return near.select(key, F.col("_r.history_id").alias("history_id"), "similarity")
 
 
-def with_neighbour_count(assets: DataFrame, history: DataFrame, key: str = "asset_id", newest: int = 100, above: float = 0.7) -> DataFrame:
-    """Assets plus ``similar_results``, the number of close history rows (counted before the shuffle)."""
-    near = F.count_if(F.col("similarity") > above).alias("similar_results")
-    rest = [F.any_value(c).alias(c) for c in assets.columns if c != key]
-    return _scored(assets, history, newest).groupBy(key).agg(*rest, near)
+def with_neighbour_count(assets: DataFrame, history: DataFrame, newest: int = 100, above: float = 0.7) -> DataFrame:
+    """Assets plus ``similar_results``, the number of close history rows, counted within the row: nothing is shuffled."""
+    held = assets.withColumn("_h", newest_history(history, newest).scalar())
+    mine = {t: F.col(t) for t in TRAITS}
+    near = F.filter("_h", lambda r: closeness(mine, {t: r[t] for t in TRAITS}) > above)
+    return held.withColumn("similar_results", F.coalesce(F.size(near), F.lit(0)).cast("bigint")).drop("_h")
 
 
 LEAF_BITS = 16

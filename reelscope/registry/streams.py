@@ -29,12 +29,10 @@ def event_stream(spark, sf):
 
 
 def run(spark, stream, name, mode="append"):
-    """Run the stream into an epoch sink and read it back; in complete mode the newest epoch is the whole table."""
+    """Run the stream into an epoch sink and read it back."""
     path = scratch(spark, name)
     sinks.run_available(stream, f"{path}/_checkpoint", sinks.epoch_writer(f"{path}/out"), mode)
     rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
-    if mode == "complete":
-        rows = rows.where(F.col(sinks.EPOCH) == rows.agg(F.max(sinks.EPOCH)).scalar())
     return rows.drop(sinks.EPOCH)
 
 
@@ -118,12 +116,16 @@ def op_stream(spark, sf):
 
 @query(
     "session_fold",
-    """SELECT session_id, count(*) AS operations, count(*) FILTER (success) AS succeeded, sum(duration) AS busy_s, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (contains(op_name, 'cache')) AS cache_lookups, CAST(min(ts) AS DATE) AS session_date
-    FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, op_id) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, op_id) AS prev FROM v_ops)) GROUP BY session_id, g""",
+    """SELECT session_id, count(*) AS operations, count(*) FILTER (success) AS succeeded, sum(duration) AS busy_s, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (contains(op_name, 'cache')) AS cache_lookups, CAST(min(ts) AS DATE) AS session_date, bool_or(op_name = 'purchase') AS ended
+    FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR OR prev_op = 'purchase' OR op_name = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, op_id) AS g
+      FROM (SELECT *, lag(ts) OVER w AS prev, lag(op_name) OVER w AS prev_op FROM v_ops WINDOW w AS (PARTITION BY session_id ORDER BY ts, op_id))) GROUP BY session_id, g""",
     "v_ops", "busy_s",
 )
 def _(spark, sf):
-    return run(spark, ST.fold_sessions(op_stream(spark, sf), "6 hours"), "sessions", "complete")
+    path = scratch(spark, "sessions")
+    handle = ST.session_folder(path, F.col("op_name") == "signup", F.col("op_name") == "purchase", gap_s=6 * 3600)
+    sinks.run_available(op_stream(spark, sf), f"{path}/_checkpoint", handle)
+    return ST.folded_sessions(spark, path)
 
 
 @query(

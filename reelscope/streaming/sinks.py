@@ -36,6 +36,9 @@ def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame
 
 
 def split_late(batch: DataFrame, ts: str, newest, delay_s: int = 600) -> tuple[DataFrame, DataFrame]:
-    """(on time, late): late rows are older than ``newest`` by more than the watermark delay."""
-    late = F.unix_timestamp(ts) < F.unix_timestamp(newest) - delay_s
+    """(on time, late): late rows are older than ``newest`` by more than the watermark delay.
+
+    With a null ``newest`` (nothing seen yet) no row is late; rows without a time count as on time.
+    """
+    late = F.coalesce(F.unix_timestamp(ts) < F.unix_timestamp(newest) - delay_s, F.lit(False))
     return batch.where(~late), batch.where(late)

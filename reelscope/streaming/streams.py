@@ -8,7 +8,7 @@ from reelscope.functions import constants as K
 from reelscope.operators import blocks as B, joins as J
 from reelscope.session import ROCKSDB_PROVIDER, STATE_STORE_KEY
 from reelscope.sources import files
-from reelscope.streaming import processors as P
+from reelscope.streaming import processors as P, sinks
 
 LATE = "10 minutes"
 BINARY_SCHEMA = T.StructType([
@@ -97,6 +97,77 @@ def fold_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = LATE)
     )
 
 
+SPAN = ("operations", "succeeded", "busy_s", "cache_lookups")
+
+
+def session_spans(events: DataFrame, gap_s: int, starts: Column, ends: Column) -> DataFrame:
+    """Events to one row per (session_id, part, slot): what one slot of a session's time holds.
+
+    ``part`` counts the starts up to a row and the ends before it, so it changes exactly where one session
+    gives way to the next.  Two events in one slot of ``gap_s`` seconds are never a gap apart, so the sums
+    are merged before the shuffle and a busy session shrinks to its slots.
+    """
+    turns = events.withColumns({"_end": F.coalesce(ends, F.lit(False)), "_start": F.coalesce(starts, F.lit(False))})
+    turns = turns.withColumn("_turn", F.col("_start").cast("bigint") + F.col("_end").cast("bigint"))
+    tagged = B.carried(turns, ["session_id"], ["ts", "op_id"], B.time_block("ts", 3600), sums={"_turns": F.col("_turn")})
+    part = F.col("_turns") - F.col("_end").cast("bigint")
+    slot = F.floor(F.unix_micros("ts") / (gap_s * 1_000_000))
+    return tagged.groupBy("session_id", part.alias("part"), slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("operations"), F.count_if("success").alias("succeeded"), F.sum("duration").alias("busy_s"),
+        F.count_if(F.lower("op_name").contains("cache")).alias("cache_lookups"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.bool_or("_end").alias("ended"),
+    ).drop("slot")
+
+
+def merge_spans(spans: DataFrame, gap_s: int) -> DataFrame:
+    """Spans of one session and part that are less than ``gap_s`` seconds apart become one session."""
+    reach = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6 + gap_s
+    window = F.session_window("first_ts", F.make_interval(secs=reach.cast("decimal(18,6)")))
+    out = spans.groupBy("session_id", "part", window.alias("w")).agg(
+        *[F.sum(c).alias(c) for c in SPAN], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.bool_or("ended").alias("ended"))
+    return out.drop("w")
+
+
+def session_folder(path: str, starts: Column, ends: Column, gap_s: int = 1800, delay_s: int = 600):
+    """Handler of one micro-batch of operation events (op_id, session_id, op_name, ts, duration, success).
+
+    A session closes by an end event, by the next start event, or when ``gap_s`` has passed without an event
+    by the watermark.  Each epoch writes its sessions to ``path/spans``; the open ones are read by the next
+    epoch, so only they are kept as state, and a replayed epoch overwrites itself.  Rows older than the
+    watermark of the epochs before go to ``path/late``; rows without a time or id count as late.
+    """
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        mark = batch.agg(F.max("ts").alias("newest"))
+        before = spark.read.parquet(f"{path}/mark/epoch={epoch - 1}") if epoch else mark.where("false")
+        mark.unionByName(before).agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{path}/mark/epoch={epoch}")
+        now = spark.read.parquet(f"{path}/mark/epoch={epoch}").select("newest").scalar()
+        usable = F.col("ts").isNotNull() & F.col("session_id").isNotNull()
+        ok, late = sinks.split_late(batch, "ts", before.agg(F.max("newest")).scalar(), delay_s)
+        late.where(usable).unionByName(batch.where(~usable)).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        spans = session_spans(ok.where(usable), gap_s, starts, ends)
+        if epoch:
+            held = spark.read.parquet(f"{path}/spans/epoch={epoch - 1}").where("NOT closed")
+            spans = spans.unionByName(held.withColumn("part", F.lit(0).cast("bigint")).select(spans.columns))
+        merged = merge_spans(spans, gap_s)
+        last = spans.groupBy("session_id").agg(F.max("part").alias("_last"))
+        over = F.unix_micros("last_ts") + (gap_s + delay_s) * 1_000_000 <= F.unix_micros(now)
+        closed = F.col("ended") | (F.col("part") < F.col("_last")) | over
+        merged.join(last, "session_id").withColumn("closed", closed).drop("_last").write.mode("overwrite").parquet(f"{path}/spans/epoch={epoch}")
+
+    return handle
+
+
+def folded_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The sessions behind ``session_folder``: closed ones of every epoch, and those open after the newest."""
+    rows = spark.read.option("basePath", f"{path}/spans").parquet(f"{path}/spans")
+    newest = rows.agg(F.max(sinks.EPOCH)).scalar()
+    return rows.where(F.col("closed") | (F.col(sinks.EPOCH) == newest)).select(
+        "session_id", "operations", "succeeded", "busy_s", "first_ts", "last_ts", "cache_lookups", F.to_date("first_ts").alias("session_date"), "ended"
+    )
+
+
 def live_op_stats(ops: DataFrame, window: str = "1 hour", delay: str = LATE, slow_s: float = 30.0) -> DataFrame:
     """Operation statistics per tumbling window with slow and failing flags."""
     e = _with_watermark(ops, "ts", delay)

@@ -79,6 +79,28 @@ def test_late_rows_are_split(spark):
     assert {r.id for r in ok.collect()} == {1, 2} and {r.id for r in late.collect()} == {3}
 
 
+def test_sessions_close_on_end_start_and_gap(spark, folder):
+    """Three epochs: an open session goes on, an end and a start close one, late and unusable rows go aside."""
+    schema = "op_id long, session_id long, op_name string, ts timestamp, duration double, success boolean"
+    t = dt.datetime(2024, 1, 1)
+    at = lambda i, s, op, minute: (i, s, op, None if minute is None else t + dt.timedelta(minutes=minute), 1.0, True)
+    epochs = [
+        [at(1, 1, "start", 0), at(2, 1, "cache_get", 5), at(3, 2, "encode", 6)],
+        [at(4, 1, "end", 20), at(5, 1, "encode", 21), at(6, 2, "start", 22), at(7, 2, "start", 23), at(8, 2, "encode", None), at(9, None, "encode", 22)],
+        [at(10, 1, "encode", 55), at(11, 2, "encode", 30), at(12, 2, "encode", 1)],
+    ]
+    handle = ST.session_folder(f"{folder}/out", F.col("op_name") == "start", F.col("op_name") == "end", gap_s=1800)
+    for part, rows in enumerate(epochs):
+        write(spark, f"{folder}/in", rows, schema, f"p{part}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        sinks.run_available(stream, f"{folder}/ck", handle)
+    minute = lambda x: int((x - t).total_seconds() // 60)
+    got = sorted((r.session_id, minute(r.first_ts), minute(r.last_ts), r.operations, r.cache_lookups, r.ended) for r in ST.folded_sessions(spark, f"{folder}/out").collect())
+    assert got == [(1, 0, 20, 3, 1, True), (1, 21, 21, 1, 0, False), (1, 55, 55, 1, 0, False), (2, 6, 6, 1, 0, False), (2, 22, 22, 1, 0, False), (2, 23, 30, 2, 0, False)]
+    late = {r.op_id for r in spark.read.parquet(f"{folder}/out/late").collect()}
+    assert late == {8, 9, 12}
+
+
 def test_quarantine_names(spark):
     failed = spark.createDataFrame([(f"in/{i}", "f", "a.mp4") for i in range(5)] + [("in/x", "f", "b.mp4")], "path string, folder string, name string")
     have = spark.createDataFrame([("f", "a.mp4", 2)], "folder string, name string, taken int")
