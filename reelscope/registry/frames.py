@@ -38,24 +38,130 @@ def frame_pairs(spark, sf):
     return J.pair(orig, comp, ["video_id", "frame_idx"]).withColumnsRenamed({"orig_h": "h", "orig_w": "w"})
 
 
-@query("dhash_pair")
+# The 9 x 8 corner of both frames, enlarged to 16 x 16 with linear weights: the hash compares its neighbours.
+ENLARGED = """SELECT video_id, frame_idx, y, x, round_even((p[8 * y0 + x0 + 1] * (1 - fy) + p[8 * y1 + x0 + 1] * fy) * (1 - fx) + (p[8 * y0 + x1 + 1] * (1 - fy) + p[8 * y1 + x1 + 1] * fy) * fx, 0) AS a,
+    round_even((q[8 * y0 + x0 + 1] * (1 - fy) + q[8 * y1 + x0 + 1] * fy) * (1 - fx) + (q[8 * y0 + x1 + 1] * (1 - fy) + q[8 * y1 + x1 + 1] * fy) * fx, 0) AS b
+  FROM (SELECT video_id, frame_idx, pixels AS p, list_transform(pixels, lambda v: (v + 3) % 256) AS q, y, x, CAST(floor(py) AS INT) AS y0, CAST(floor(py) AS INT) + 1 AS y1, py - floor(py) AS fy,
+      CAST(floor(px) AS INT) AS x0, CAST(floor(px) AS INT) + 1 AS x1, px - floor(px) AS fx
+    FROM v_frames CROSS JOIN (SELECT i // 9 AS y, i % 9 AS x, greatest(0.0e0, (i // 9) / 2.0e0 - 0.25e0) AS py, greatest(0.0e0, (i % 9) / 2.0e0 - 0.25e0) AS px FROM range(0, 72) t(i)))"""
+
+
+@query(
+    "dhash_pair",
+    """SELECT video_id, frame_idx, hash_similarity, psnr, 100 * (hash_similarity * 0.7e0 + least(1.0e0, greatest(0.0e0, (psnr - 20) / 30)) * 0.3e0) AS perceptual FROM (
+    SELECT video_id, frame_idx, 1 - count(*) FILTER ((a > a_next) <> (b > b_next)) / 64.0e0 AS hash_similarity FROM (
+      SELECT *, lead(a) OVER w AS a_next, lead(b) OVER w AS b_next FROM enlarged WINDOW w AS (PARTITION BY video_id, frame_idx, y ORDER BY x)) WHERE x < 8 GROUP BY video_id, frame_idx)
+    JOIN (SELECT video_id, frame_idx, CASE WHEN mse > 0 THEN 20 * log10(255 / sqrt(mse)) ELSE 100.0e0 END AS psnr FROM (
+      SELECT video_id, frame_idx, list_avg(list_transform(pixels, lambda v: pow(v - (v + 3) % 256, 2))) AS mse FROM v_frames)) USING (video_id, frame_idx)""",
+    "v_frames", "hash_similarity psnr perceptual", enlarged=ENLARGED,
+)
 def _(spark, sf):
     return FR.perceptual_pair(frame_pairs(spark, sf))
 
 
-for _name, _fn in (("blockiness", FR.blockiness), ("banding", FR.banding), ("sharpness", FR.sharpness), ("noise", FR.noise), ("spatial_10", FR.spatial_complexity)):
-    def _run(spark, sf, fn=_fn):
-        return fn(V.v_frames(spark, sf))
+# SQL twins of the kernels, over one row per pixel of the 8 x 8 frames.
+PX = "SELECT video_id, frame_idx, i // 8 AS y, i % 8 AS x, pixels AS p, CAST(pixels[i + 1] AS DOUBLE) AS v FROM v_frames CROSS JOIN range(0, 64) t(i)"
+
+
+def convolved(kernel, of: str = "p") -> str:
+    """SQL of a filter at (y, x) over a frame held as a list, with reflected borders."""
+    r = len(kernel) // 2
+    place = lambda axis, d: f"(7 - abs(7 - abs({axis} + {d})))"
+    return " + ".join(
+        f"({float(k)!r}e0 * {of}[8 * {place('y', i - r)} + {place('x', j - r)} + 1])".replace("e0e0", "e0")
+        for i, row in enumerate(kernel) for j, k in enumerate(row) if k
+    )
+
+
+def box(size: int):
+    return [[1.0 / size ** 2] * size] * size
+
+
+def variance_ctes(size: int, source: str) -> dict[str, str]:
+    """CTEs ending in ``lv``: the local variance of every pixel of ``source``, boxes of ``size``."""
+    return {
+        "away": f"SELECT video_id, frame_idx, list(pow(p[8 * y + x + 1] - ({convolved(box(size))}), 2) ORDER BY y, x) AS p FROM {source} GROUP BY video_id, frame_idx",
+        "lv": f"SELECT video_id, frame_idx, {convolved(box(size))} AS lv FROM away CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(0, 64) t(i))",
+    }
+
 
-    query(_name)(_run)
+GRADIENTS = f"SELECT *, sqrt(gx * gx + gy * gy) AS mag FROM (SELECT *, {convolved(FR.SOBEL_X)} AS gx, {convolved(FR.SOBEL_Y)} AS gy, {convolved(FR.LAPLACE)} AS lap, {convolved(FR.GRAIN)} AS grain FROM px)"
+SPECTRUM = """SELECT video_id, frame_idx, fy * fy + fx * fx AS far, sqrt(pow(sum(v * cos(2 * pi() * (fy * y + fx * x) / 8)), 2) + pow(sum(v * sin(2 * pi() * (fy * y + fx * x) / 8)), 2)) AS power
+  FROM px CROSS JOIN range(-4, 4) a(fy) CROSS JOIN range(-4, 4) b(fx) GROUP BY video_id, frame_idx, fy, fx"""
+BLOCKY = """SELECT video_id, frame_idx, CASE WHEN sum(abs(gx) + abs(gy)) > 0 THEN least(1.0e0, sum(CASE WHEN y >= 8 AND y % 8 = 0 THEN abs(gy) * CASE WHEN y % 16 = 0 THEN 2.5e0 ELSE 1 END ELSE 0 END
+    + CASE WHEN x >= 8 AND x % 8 = 0 THEN abs(gx) * CASE WHEN x % 16 = 0 THEN 2.5e0 ELSE 1 END ELSE 0 END) / sum(abs(gx) + abs(gy)) * 3) ELSE 0.0e0 END AS blockiness FROM grad GROUP BY video_id, frame_idx"""
+BELL = [2.718281828459045 ** (-(i * i) / 2.0) for i in range(-2, 3)]
+GAUSS = [[a * b / sum(BELL) ** 2 for b in BELL] for a in BELL]
+SMOOTH = f"SELECT video_id, frame_idx, list(round_even({convolved(GAUSS)}, 0) ORDER BY y, x) AS p FROM px GROUP BY video_id, frame_idx"
+SMOOTH_PX = "SELECT video_id, frame_idx, p, y, x FROM smooth CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(0, 64) t(i))"
+STEEP = f"SELECT video_id, frame_idx, floor(sqrt(pow({convolved(FR.SOBEL_X)}, 2) + pow({convolved(FR.SOBEL_Y)}, 2)) * 50 / 255) AS bin FROM smooth_px"
+BANDED = """SELECT video_id, frame_idx, CASE WHEN sum(n) > 0 THEN least(1.0e0, var_pop(n) / 100) ELSE 0.0e0 END AS banding FROM (
+    SELECT video_id, frame_idx, b, count(*) FILTER (bin = b) AS n FROM steep CROSS JOIN range(0, 15) t(b) GROUP BY video_id, frame_idx, b) GROUP BY video_id, frame_idx"""
+BAND_CTES = {"px": PX, "smooth": SMOOTH, "smooth_px": SMOOTH_PX, "steep": STEEP}
 
 
-@query("texture_colour")
+@query("blockiness", BLOCKY, "v_frames", "blockiness", px=PX, grad=GRADIENTS)
+def _(spark, sf):
+    return FR.blockiness(V.v_frames(spark, sf))
+
+
+@query("banding", BANDED, "v_frames", "banding", **BAND_CTES)
+def _(spark, sf):
+    return FR.banding(V.v_frames(spark, sf))
+
+
+@query(
+    "sharpness",
+    """SELECT video_id, frame_idx, laplacian_var, sobel_var, fft_score FROM (SELECT video_id, frame_idx, var_pop(lap) AS laplacian_var, var_pop(mag) AS sobel_var FROM grad GROUP BY video_id, frame_idx)
+    JOIN (SELECT video_id, frame_idx, CASE WHEN sum(power) > 0 THEN least(1.0e0, sum(power) FILTER (far > 7.84e0) / sum(power) * 10) ELSE 0.5e0 END AS fft_score FROM spectrum GROUP BY video_id, frame_idx) USING (video_id, frame_idx)""",
+    "v_frames", "laplacian_var sobel_var fft_score", px=PX, grad=GRADIENTS, spectrum=SPECTRUM,
+)
+def _(spark, sf):
+    return FR.sharpness(V.v_frames(spark, sf))
+
+
+@query(
+    "noise",
+    """SELECT video_id, frame_idx, noise_var, CASE WHEN noise_var > 0 THEN CASE WHEN flat > 0 THEN greatest(0.0e0, 10 * log10(flat / noise_var)) ELSE 0.0e0 END ELSE 20.0e0 END AS snr_db, grain
+    FROM (SELECT video_id, frame_idx, var_pop(lap) / 36 AS noise_var, var_pop(v) AS flat, least(1.0e0, avg(abs(grain)) / 50) AS grain FROM grad GROUP BY video_id, frame_idx)""",
+    "v_frames", "noise_var snr_db grain", px=PX, grad=GRADIENTS,
+)
+def _(spark, sf):
+    return FR.noise(V.v_frames(spark, sf))
+
+
+@query(
+    "spatial_10",
+    """SELECT video_id, frame_idx, least(10.0e0, lap * 0.3e0 + slope * 0.3e0 + texture * 0.2e0 + freq * 0.2e0) AS spatial
+    FROM (SELECT video_id, frame_idx, least(10.0e0, var_pop(lap) / 100) AS lap, least(10.0e0, avg(mag) / 50) AS slope FROM grad GROUP BY video_id, frame_idx)
+    JOIN (SELECT video_id, frame_idx, least(10.0e0, avg(sqrt(greatest(0.0e0, lv))) / 20) AS texture FROM lv GROUP BY video_id, frame_idx) USING (video_id, frame_idx)
+    JOIN (SELECT video_id, frame_idx, least(10.0e0, avg(ln(power + 1)) / 5) AS freq FROM spectrum WHERE far >= 4 GROUP BY video_id, frame_idx) USING (video_id, frame_idx)""",
+    "v_frames", "spatial", px=PX, grad=GRADIENTS, spectrum=SPECTRUM, **variance_ctes(5, "px"),
+)
+def _(spark, sf):
+    return FR.spatial_complexity(V.v_frames(spark, sf))
+
+
+COLOUR = "SELECT *, 255 - v AS g, v * 2 % 256 AS b FROM px"
+GREY = "SELECT video_id, frame_idx, list(round_even(v * 0.299e0 + g * 0.587e0 + b * 0.114e0, 0) ORDER BY y, x) AS p, list(floor((v + g + b) / 3) ORDER BY y, x) AS q FROM colour GROUP BY video_id, frame_idx"
+GREY_PX = "SELECT video_id, frame_idx, p, q, y, x FROM grey CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(0, 64) t(i))"
+
+
+@query(
+    "texture_colour",
+    f"""SELECT video_id, frame_idx, texture, color_variance, gradient_magnitude, color_complexity, gradient_score
+    FROM (SELECT video_id, frame_idx, (avg(v * v) - pow(avg(v), 2) + avg(g * g) - pow(avg(g), 2) + avg(b * b) - pow(avg(b), 2)) / 3 AS color_variance, least(10.0e0, count(DISTINCT (v, g, b)) / 1000) AS color_complexity FROM colour GROUP BY video_id, frame_idx)
+    JOIN (SELECT video_id, frame_idx, avg(sqrt(pow({convolved(FR.SOBEL_X)}, 2) + pow({convolved(FR.SOBEL_Y)}, 2))) AS gradient_magnitude,
+      (avg(abs(q[8 * y + x + 2] - q[8 * y + x + 1])) FILTER (x < 7) + avg(abs(q[8 * y + x + 9] - q[8 * y + x + 1])) FILTER (y < 7)) / 255 AS gradient_score FROM grey_px GROUP BY video_id, frame_idx) USING (video_id, frame_idx)
+    JOIN (SELECT video_id, frame_idx, least(1.0e0, avg(lv) / 1000) AS texture FROM lv GROUP BY video_id, frame_idx) USING (video_id, frame_idx)""",
+    "v_frames", "texture color_variance gradient_magnitude color_complexity gradient_score", px=PX, colour=COLOUR, grey=GREY, grey_px=GREY_PX, **variance_ctes(3, "grey_px"),
+)
 def _(spark, sf):
     return FR.texture_colour(colour(spark, sf))
 
 
-@query("block_motion")
+# A frame of 8 x 8 holds no whole block of 16, where the score is its neutral value; larger frames are in the kernel tests.
+@query("block_motion", "SELECT video_id, frame_idx, 0.5e0 AS consistency FROM v_frames WHERE frame_idx > 0", "v_frames")
 def _(spark, sf):
     return FR.block_motion(V.v_frames(spark, sf))
 
@@ -99,7 +205,30 @@ def _(spark, sf):
     return FR.frame_validity(f.select("video_id", size.alias("w"), size.alias("h"), px.alias("pixels")))
 
 
-@query("content_10")
+HUES = """SELECT video_id, frame_idx, v, g, b, CASE WHEN top > 0 THEN round_even(span / top * 255, 0) ELSE 0.0e0 END AS sat,
+    CASE WHEN span > 0 THEN round_even(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2, 0) % 180 ELSE 0.0e0 END AS hue
+  FROM (SELECT *, CASE WHEN top = v THEN (g - b) / span WHEN top = g THEN 2 + (b - v) / span ELSE 4 + (v - g) / span END * 60 AS hue
+    FROM (SELECT *, greatest(v, g, b) AS top, greatest(v, g, b) - least(v, g, b) AS span FROM colour))"""
+
+
+def spread_sql(column: str, name: str) -> str:
+    """Values of a frame held by more than a hundredth of the pixels of its commonest value."""
+    return f"""SELECT video_id, frame_idx, count(*) FILTER (n > top * 0.01e0) AS {name} FROM (
+    SELECT *, max(n) OVER (PARTITION BY video_id, frame_idx) AS top FROM (SELECT video_id, frame_idx, {column}, count(*) AS n FROM hues GROUP BY ALL)) GROUP BY video_id, frame_idx"""
+
+
+@query(
+    "content_10",
+    f"""SELECT video_id, color_complexity, motion_estimate, color_variance, greatest(0.0e0, least(10.0e0, 10 - (coalesce(m, 5.0e0) * 0.7e0 + coalesce(s, 2.0e0) * 0.3e0))) AS temporal_stability
+    FROM (SELECT video_id, avg(least(10.0e0, hue_n / 20) * 0.4e0 + least(10.0e0, sat_n / 30) * 0.3e0 + least(10.0e0, var / 1000) * 0.3e0) AS color_complexity, avg(least(10.0e0, slope / 20)) AS motion_estimate, avg(least(10.0e0, var / 500)) AS color_variance
+      FROM (SELECT video_id, frame_idx, (var_pop(v) + var_pop(g) + var_pop(b)) / 3 AS var FROM colour GROUP BY video_id, frame_idx)
+      JOIN (SELECT video_id, frame_idx, avg(sqrt(pow({convolved(FR.SOBEL_X)}, 2) + pow({convolved(FR.SOBEL_Y)}, 2))) AS slope FROM grey_px GROUP BY video_id, frame_idx) USING (video_id, frame_idx)
+      JOIN ({spread_sql('hue', 'hue_n')}) USING (video_id, frame_idx) JOIN ({spread_sql('sat', 'sat_n')}) USING (video_id, frame_idx) GROUP BY video_id)
+    LEFT JOIN (SELECT video_id, avg(motion) AS m, var_pop(motion) AS s FROM (
+      SELECT video_id, list_sum(list_transform(list_zip(pixels, prev), lambda z: abs(z[1] - z[2]))) / 64 / 255.0e0 * 10 AS motion
+      FROM (SELECT *, lag(pixels) OVER (PARTITION BY video_id ORDER BY frame_idx) AS prev FROM v_frames) WHERE prev IS NOT NULL) GROUP BY video_id) USING (video_id)""",
+    "v_frames", "color_complexity motion_estimate color_variance temporal_stability", px=PX, colour=COLOUR, grey=GREY, grey_px=GREY_PX, hues=HUES,
+)
 def _(spark, sf):
     motion = W.frame_motion(V.v_frames(spark, sf)).select("video_id", (F.col("motion") * 10).alias("motion"))
     return FR.content_scores_10(colour(spark, sf), motion)
@@ -116,7 +245,12 @@ def _(spark, sf):
     return FR.sample_frames(V.v_frames(spark, sf), 5, 3)
 
 
-@query("artifact_gate")
+@query(
+    "artifact_gate",
+    f"""SELECT video_id, blockiness, banding, blockiness <= 0.12e0 AS blockiness_ok, banding <= 0.1e0 AS banding_ok, blockiness <= 0.12e0 AND banding <= 0.1e0 AS passes
+    FROM (SELECT video_id, avg(blockiness) AS blockiness FROM ({BLOCKY}) GROUP BY video_id) JOIN (SELECT video_id, avg(banding) AS banding FROM ({BANDED}) GROUP BY video_id) USING (video_id)""",
+    "v_frames", "blockiness banding", **BAND_CTES, grad=GRADIENTS,
+)
 def _(spark, sf):
     f = V.v_frames(spark, sf)
     parts = [m.select("video_id", *[m[c] if c == name else F.lit(None).cast("double").alias(c) for c in ("blockiness", "banding")])

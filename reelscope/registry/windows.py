@@ -60,7 +60,17 @@ def _(spark, sf):
     return W.motion_segments(W.frame_motion(frames), F.lit(18.0), length, limit=0.006, high=0.075, medium=0.065)
 
 
-@query("dedup_frames")
+@query(
+    "dedup_frames",
+    """SELECT video_id, kept AS frame_idx, CAST(count(*) * 100 AS BIGINT) AS show_ms, count(*) AS frames FROM (
+    WITH RECURSIVE walk AS (
+      SELECT video_id, frame_idx, frame_idx AS kept, hist FROM hist WHERE frame_idx = 0
+      UNION ALL SELECT video_id, frame_idx, CASE WHEN same THEN kept ELSE frame_idx END, CASE WHEN same THEN held ELSE hist END
+      FROM (SELECT h.video_id, h.frame_idx, w.kept, w.hist AS held, h.hist, list_sum(list_transform(list_zip(h.hist, w.hist), lambda z: least(z[1], z[2]) / 64)) >= 0.8e0 AS same
+        FROM walk w JOIN hist h ON h.video_id = w.video_id AND h.frame_idx = w.frame_idx + 1))
+    SELECT * FROM walk) GROUP BY video_id, kept""",
+    "v_frames", hist=HIST,
+)
 def _(spark, sf):
     frames = V.v_frames(spark, sf)
     hist = FR.histograms(frames).withColumn("show_ms", F.lit(100))
@@ -131,7 +141,18 @@ def _(spark, sf):
     return W.sample_budget(samples(spark, sf), 50000.0, block_s=86400.0)
 
 
-@query("sample_overlap")
+@query(
+    "sample_overlap",
+    """SELECT sample_id, video_id, start_s, duration_s, end_s, sample_type FROM (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY start_s DESC, sample_id DESC) AS r FROM (
+    WITH RECURSIVE turn AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_s, sample_id) AS rn, CASE sample_type WHEN 'complexity' THEN 3 WHEN 'scene' THEN 2 ELSE 1 END AS rank FROM samples),
+    walk AS (
+      SELECT *, sample_id AS slot, end_s AS until, rank AS held, true AS taken FROM turn WHERE rn = 1
+      UNION ALL SELECT t.*, CASE WHEN t.start_s >= w.until THEN t.sample_id ELSE w.slot END, CASE WHEN t.start_s >= w.until OR t.rank > w.held THEN t.end_s ELSE w.until END,
+        CASE WHEN t.start_s >= w.until OR t.rank > w.held THEN t.rank ELSE w.held END, t.start_s >= w.until OR t.rank > w.held
+      FROM walk w JOIN turn t ON t.video_id = w.video_id AND t.rn = w.rn + 1)
+    SELECT * FROM walk) WHERE taken) WHERE r = 1""",
+    "v_points", "start_s duration_s end_s", samples=SAMPLES,
+)
 def _(spark, sf):
     return W.sample_overlap(samples(spark, sf), block_s=86400.0)
 
