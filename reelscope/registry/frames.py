@@ -112,7 +112,7 @@ def _(spark, sf):
 
 @query(
     "sharpness",
-    """SELECT video_id, frame_idx, laplacian_var, sobel_var, fft_score FROM (SELECT video_id, frame_idx, var_pop(lap) AS laplacian_var, var_pop(mag) AS sobel_var FROM grad GROUP BY video_id, frame_idx)
+    """SELECT video_id, frame_idx, laplacian_var, sobel_var, fft_score FROM (SELECT video_id, frame_idx, avg(lap * lap) - pow(avg(lap), 2) AS laplacian_var, var_pop(mag) AS sobel_var FROM grad GROUP BY video_id, frame_idx)
     JOIN (SELECT video_id, frame_idx, CASE WHEN sum(power) > 0 THEN least(1.0e0, sum(power) FILTER (far > 7.84e0) / sum(power) * 10) ELSE 0.5e0 END AS fft_score FROM spectrum GROUP BY video_id, frame_idx) USING (video_id, frame_idx)""",
     "v_frames", "laplacian_var sobel_var fft_score", px=PX, grad=GRADIENTS, spectrum=SPECTRUM,
 )
@@ -123,7 +123,7 @@ def _(spark, sf):
 @query(
     "noise",
     """SELECT video_id, frame_idx, noise_var, CASE WHEN noise_var > 0 THEN CASE WHEN flat > 0 THEN greatest(0.0e0, 10 * log10(flat / noise_var)) ELSE 0.0e0 END ELSE 20.0e0 END AS snr_db, grain
-    FROM (SELECT video_id, frame_idx, var_pop(lap) / 36 AS noise_var, var_pop(v) AS flat, least(1.0e0, avg(abs(grain)) / 50) AS grain FROM grad GROUP BY video_id, frame_idx)""",
+    FROM (SELECT video_id, frame_idx, (avg(lap * lap) - pow(avg(lap), 2)) / 36 AS noise_var, avg(v * v) - pow(avg(v), 2) AS flat, least(1.0e0, avg(abs(grain)) / 50) AS grain FROM grad GROUP BY video_id, frame_idx)""",
     "v_frames", "noise_var snr_db grain", px=PX, grad=GRADIENTS,
 )
 def _(spark, sf):

@@ -53,7 +53,26 @@ def _(spark, sf):
     return W.similarity_level(W.frame_similarity(FR.histograms(V.v_frames(spark, sf))))
 
 
-@query("motion_segments")
+@query(
+    "motion_segments",
+    """SELECT video_id, start_s, end_s, avg_motion, motion_level, greatest(6.0e0, least(20.0e0, 18 * CASE motion_level WHEN 'high' THEN 1.0e0 WHEN 'medium' THEN 0.85e0 ELSE 0.6e0 END)) AS recommended_fps
+    FROM (SELECT *, CASE WHEN avg_motion > 0.075e0 THEN 'high' WHEN avg_motion > 0.065e0 THEN 'medium' ELSE 'low' END AS motion_level FROM (
+      SELECT video_id, min(start_s) AS start_s, max(end_s) AS end_s, sum(avg_motion * pow(0.5e0, hi - rn + CASE WHEN rn = lo THEN 0 ELSE 1 END)) AS avg_motion
+      FROM (SELECT *, max(rn) OVER (PARTITION BY video_id, part) AS hi, min(rn) OVER (PARTITION BY video_id, part) AS lo
+        FROM (SELECT *, sum(CASE WHEN end_s - start_s >= 0.5e0 OR start_s = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY run) AS part, row_number() OVER (PARTITION BY video_id ORDER BY run) AS rn
+          FROM (SELECT video_id, run, avg_motion, (upto - n) * 0.2e0 AS start_s, CASE WHEN last_run THEN duration_s ELSE upto * 0.2e0 END AS end_s
+            FROM (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY run) AS upto, lead(run) OVER (PARTITION BY video_id ORDER BY run) IS NULL AS last_run
+              FROM (SELECT video_id, run, count(*) AS n, avg(motion) AS avg_motion FROM (
+                WITH RECURSIVE walk AS (
+                  SELECT video_id, frame_idx, motion, frame_idx AS run, 1 AS n, motion AS total FROM motion WHERE frame_idx = 1
+                  UNION ALL SELECT video_id, frame_idx, x, CASE WHEN cut THEN frame_idx ELSE run END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN x ELSE total + x END
+                  FROM (SELECT m.video_id, m.frame_idx, m.motion AS x, w.run, w.n, w.total, w.n >= 2 AND abs(m.motion - w.total / w.n) > 0.006e0 AS cut
+                    FROM walk w JOIN motion m ON m.video_id = w.video_id AND m.frame_idx = w.frame_idx + 1))
+                SELECT * FROM walk) GROUP BY video_id, run))
+            JOIN (SELECT video_id, max(ts_s) + 0.2e0 AS duration_s FROM v_frames GROUP BY video_id) USING (video_id))))
+      GROUP BY video_id, part))""",
+    "v_frames", "start_s end_s avg_motion recommended_fps", motion=MOTION,
+)
 def _(spark, sf):
     frames = V.v_frames(spark, sf)
     length = frames.groupBy("video_id").agg((F.max("ts_s") + 0.2).alias("duration_s"))
