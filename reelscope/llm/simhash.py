@@ -134,19 +134,23 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """
     prints = staged(fingerprints(docs, id_column, text, words).withColumn("_salt", salt("id")), "simhash-prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), distance, crowd))
+    return named(prints, nodes, components(links(nodes.select("fp"), distance, crowd)))
+
+
+def named(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, fp, component) of the rows of ``prints`` (id, fp, _salt), given the least id of each node and the nodes' roots."""
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = staged(rooted.join(named, "root").select("fp", "component"), "simhash-labels")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    labels = staged(rooted.join(least, "root").select("fp", "component"), "simhash-labels")
     pieces = prints.select("fp", "_salt").distinct().join(labels, "fp")
     return prints.join(pieces, ["fp", "_salt"]).select("id", "fp", "component")
 
 
-def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component one row stays, that with the smallest id
+def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text", find=near_copies, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies (of those that ``find`` names): of each component one row stays, that with the smallest id
     (of repeated ids that with the smallest text hash; of wholly equal ones any).  All columns pass."""
     keyed = docs.withColumn("_key", F.struct(F.col(f"`{id_column}`").isNull().alias("missing"), F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash")))
-    found = near_copies(keyed.select("_key", F.col(f"`{text}`")), "_key", text, **options)
+    found = find(keyed.select("_key", F.col(f"`{text}`")), "_key", text, **options)
     kept = found.select(F.col("component").alias("_key")).distinct()
     flat = lambda df: df.select(*[c for c in df.columns if c != "_key"], F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_hash"))
     out = matched(flat(keyed), flat(kept), ["_id", "_hash"], "left_semi")
