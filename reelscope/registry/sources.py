@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelscope.functions import logs as L, scalars as S
+from reelscope.registry.aggregates import SSIM_SQL
 from reelscope.registry.base import query
 from reelscope.session import shared_folder
 from reelscope.sources import dims, files, stores, views as V
@@ -113,10 +114,15 @@ def _(spark, sf):
     return joined.groupBy("encoder", "min_kbps").agg(F.count(F.lit(1)).alias("encodes"), F.count_if(below).alias("below"))
 
 
-@query("eval_log_scan")
+@query(
+    "eval_log_scan",
+    f"""SELECT s.log_id, ssim, ssim_conf, ssim_frames, vmaf, vmaf_format FROM ({SSIM_SQL}) AS s JOIN (
+      SELECT log_id, TRY_CAST(nullif(num, '') AS DOUBLE) AS vmaf, CASE WHEN num = '' THEN 'unknown' ELSE 'json' END AS vmaf_format
+      FROM (SELECT log_id, regexp_extract(vmaf_text, ':([\\d.]+)', 1) AS num FROM v_eval_logs)) AS v ON s.log_id = v.log_id""",
+    "v_eval_logs", "ssim ssim_conf vmaf",
+)
 def _(spark, sf):
     path = scratch(spark, "logs")
-    logs = V.v_eval_logs(spark, sf).select((F.col("log_id") % 64).alias("bucket"), F.concat_ws("\n", "ssim_text", "vmaf_text").alias("value"))
-    logs.write.partitionBy("bucket").text(path)
-    scanned = L.vmaf_scores(L.ssim_scores(files.read_eval_logs(spark, path)))
-    return scanned.select(files.stem(F.col("log_path")).alias("log"), "ssim", "ssim_conf", "ssim_frames", "vmaf", "vmaf_format")
+    V.v_eval_logs(spark, sf).select("log_id", F.concat_ws("\n", "ssim_text", "vmaf_text").alias("text")).write.parquet(path)
+    scanned = L.vmaf_scores(L.ssim_scores(files.read_stored_logs(spark, path)))
+    return scanned.select("log_id", "ssim", "ssim_conf", "ssim_frames", "vmaf", "vmaf_format")

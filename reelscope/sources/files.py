@@ -70,13 +70,18 @@ def parse_probe(df: DataFrame, json_col: str = "probe_json") -> DataFrame:
 
 
 def read_eval_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log file: whole text and path."""
+    """One row per log file: whole text and path.  For files that hold one log each; a file must fit in memory."""
     return (
         spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("log_path"), F.col("value").alias("text"))
     )
 
 
+def read_stored_logs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per log, (log_id, text), however many logs a part file holds."""
+    return spark.read.schema("log_id bigint, text string").parquet(path)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1")
 

@@ -195,8 +195,8 @@ def v_eval_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("job_id").alias("log_id"),
             F.concat_ws("\n", F.transform("ls", lambda x: x["line"])).alias("ssim_text"),
-            F.coalesce(
-                F.concat(F.lit('{"vmaf":{"mean":'), F.format_string("%.2f", F.col("top")), F.lit("}}")), F.lit("")
-            ).alias("vmaf_text"),
+            F.when(
+                F.col("top").isNotNull(), F.concat(F.lit('{"vmaf":{"mean":'), F.format_string("%.2f", F.col("top")), F.lit("}}"))
+            ).otherwise("").alias("vmaf_text"),
         )
     )
