@@ -16,8 +16,8 @@ that decoding gives back every text.
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,50 @@ def folded(h: np.ndarray) -> np.ndarray:
     return (h * SPREAD) >> np.uint64(64 - SIEVE_BITS)
 
 
+class Paths:
+    """Lists of steps that share their beginnings, as a tree: four numbers for each list (0: the empty one).
+
+    A node's jump leads far up; its depth depends on the node's depth alone, so two nodes are compared in logarithmic time.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.step, self.depth, self.jump = (array("q", [0]) for _ in range(4))
+
+    def add(self, path: int, step: int) -> int:
+        """``path`` with another step."""
+        near, depth = self.jump[path], self.depth
+        far = self.jump[near]
+        self.jump.append(far if path and depth[path] - depth[near] == depth[near] - depth[far] else path)
+        self.parent.append(path)
+        self.step.append(step)
+        depth.append(depth[path] + 1)
+        return len(depth) - 1
+
+    def _up(self, path: int, depth: int) -> int:
+        while self.depth[path] > depth:
+            far = self.jump[path]
+            path = far if self.depth[far] >= depth else self.parent[path]
+        return path
+
+    def before(self, a: int, b: int) -> bool:
+        """Whether list a comes before list b in the order of their steps; a beginning comes before the whole."""
+        level = min(self.depth[a], self.depth[b])
+        x, y = self._up(a, level), self._up(b, level)
+        if x == y:
+            return self.depth[a] < self.depth[b]
+        while self.parent[x] != self.parent[y]:
+            x, y = (self.jump[x], self.jump[y]) if self.jump[x] != self.jump[y] else (self.parent[x], self.parent[y])
+        return self.step[x] < self.step[y]
+
+    def steps(self, path: int) -> list[int]:
+        """The steps, last first."""
+        out = []
+        while path:
+            out.append(self.step[path])
+            path = self.parent[path]
+        return out
+
+
 class PieceModel:
     """Pieces, scores and ids of a model file."""
 
@@ -100,17 +144,20 @@ class PieceModel:
     def char_ids(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in (MARK if c == LITERAL else c).encode("utf-8", "surrogatepass")]
 
+    def ends(self, segment: str, j: int) -> list[tuple[int, float]]:
+        """The (length, score) of the pieces that end at node j (above 0), shortest first."""
+        out = []
+        for n in range(1, min(j, self.longest) + 1):
+            score = self.scores.get(segment[j - n : j])
+            if score is not None:
+                out.append((n, score))
+            elif n == 1:
+                out.append((1, self.unknown))
+        return out
+
     def arcs(self, segment: str) -> list[list[tuple[int, float]]]:
         """For every node, the (length, score) of the pieces that end there, shortest first."""
-        into: list[list[tuple[int, float]]] = [[] for _ in range(len(segment) + 1)]
-        for j in range(1, len(segment) + 1):
-            for n in range(1, min(j, self.longest) + 1):
-                score = self.scores.get(segment[j - n : j])
-                if score is not None:
-                    into[j].append((n, score))
-                elif n == 1:
-                    into[j].append((1, self.unknown))
-        return into
+        return [[], *(self.ends(segment, j) for j in range(1, len(segment) + 1))]
 
     def forward(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Best and second-best score of each segment (-inf if there is no second), and the ids of the best."""
@@ -128,7 +175,8 @@ class PieceModel:
 
     def _forward_one(self, segment: str) -> tuple[float, float, np.ndarray]:
         one, two, back = [0.0], [float("-inf")], [0]
-        for j, into in enumerate(self.arcs(segment)[1:], 1):
+        for j in range(1, len(segment) + 1):
+            into = self.ends(segment, j)
             a = b = float("-inf")
             step = 1
             for n, score in into:
@@ -217,35 +265,59 @@ class PieceModel:
         """The n best segmentations of a chain of segments, best first: (score, piece lengths per segment).
 
         Backward A*: a state is a node with the path from it to the end; its priority adds the path's score
-        to the forward score of the node, which is exact, so only nodes of wanted paths are opened.
+        to the forward score of the node, which is exact, so every open state stands for a whole path of its
+        own with that score.  No more states than paths are wanted need to stay open, and what is kept grows
+        with the length of the paths.  Arcs of long segments are found again where needed.
         """
-        into: list[list[tuple[int, float]]] = [[]]
+        into: list = [[]]
+        borders: list[tuple[str, int]] = []
         for s in segments:
+            if len(s) > LONG:
+                into += [len(borders)] * len(s)
+                borders.append((s, len(into) - 1 - len(s)))
+                continue
             arcs = self.arcs(s) if remembered is None else remembered.get(s)
             if arcs is None:
                 if len(remembered) > 50_000:
                     remembered.clear()
                 arcs = remembered[s] = self.arcs(s)
             into += arcs[1:]
+
+        def arcs_at(j: int) -> list[tuple[int, float]]:
+            found = into[j]
+            if isinstance(found, int):
+                segment, start = borders[found]
+                return self.ends(segment, j - start)
+            return found
+
         forward = [0.0]
-        for arcs in into[1:]:
-            j = len(forward)
-            forward.append(max(forward[j - n_] + s for n_, s in arcs))
+        for j in range(1, len(into)):
+            forward.append(max(forward[j - n_] + s for n_, s in arcs_at(j)))
         end = len(into) - 1
-        heap = [(-forward[end], (), end, 0.0)]
+        paths = Paths()
+        live = [(-forward[end], 0, end, 0.0)]
         out = []
-        while heap and len(out) < n:
-            cost, lengths, at, behind = heapq.heappop(heap)
+        while live and len(out) < n:
+            cost, path, at, behind = live.pop(0)
             if at == 0:
-                out.append((-cost, self._per_segment(segments, lengths[::-1])))
+                out.append((-cost, self._per_segment(segments, paths.steps(path))))
                 continue
-            for step, s in into[at]:
+            for step, s in arcs_at(at):
                 g = behind + s
-                heapq.heappush(heap, (-(g + forward[at - step]), (*lengths, step), at - step, g))
+                c = -(g + forward[at - step])
+                room = len(live) < n - len(out)
+                if not room and c > live[-1][0]:
+                    continue
+                new = paths.add(path, step)
+                i = len(live)
+                while i and (c < live[i - 1][0] or (c == live[i - 1][0] and paths.before(new, live[i - 1][1]))):
+                    i -= 1
+                live.insert(i, (c, new, at - step, g))
+                del live[n - len(out) :]
         return out
 
     @staticmethod
-    def _per_segment(segments: list[str], lengths: tuple[int, ...]) -> list[list[int]]:
+    def _per_segment(segments: list[str], lengths: list[int]) -> list[list[int]]:
         out, it = [], iter(lengths)
         for s in segments:
             own, left = [], len(s)
