@@ -14,9 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reelscope.llm.common import hash_share, map_texts, matched, salt, slices, staged
+from reelscope.llm.common import map_texts, matched, salt, slices, staged
 
 BUCKETS = 1 << 15
+#: The class of texts that are in no language of the model.
+BACKGROUND = "?"
+#: Of the background; with much more, texts in two languages of the model would be in none.
+MIXED = 0.1
 DROPPED = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b|http-equiv\s*=\s*[\"']?content-language[\"']?\s+content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
 #: Letters as they are, all other ASCII as one blank.
@@ -61,35 +65,44 @@ class TextModel:
         return out, sizes
 
 
-def fit_text_model(docs: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 20_000, least_share: float = 0.002) -> TextModel:
-    """Trigram counts of the rows with a language, of about ``sample_rows`` of them.  A language with less than ``least_share``
-    of these rows is none (so there are 500 at most)."""
+def fit_text_model(docs: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 20_000, least_share: float = 0.002, least_rows: int = 50) -> TextModel:
+    """Trigram counts of about ``sample_rows`` rows of every language, and a background for texts in none of them.
+
+    A language is kept if it has ``least_rows`` rows; in a small table ``least_share`` of the rows with a language is enough.
+    The background is a share MIXED of all sampled trigrams, the rest uniform: a text that no language explains better
+    belongs to none.
+    """
     named = F.lower(F.trim(F.col(f"`{lang}`").cast("string")))
     rows = docs.where(named.isNotNull() & (named != "") & F.col(f"`{text}`").isNotNull()).select(named.alias("lang"), F.col(f"`{text}`").alias("text"))
-    shares = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    shares = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-shares")
     total = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    languages = sorted(r.lang for r in shares.where(F.col("n") >= max(1.0, least_share * total)).collect())
+    found = {r.lang: r.n for r in shares.where(F.col("n") >= max(1.0, min(float(least_rows), least_share * total))).collect()}
+    languages = sorted(set(found) - {BACKGROUND})
     if not languages:
         return TextModel(["und"], np.zeros((1, BUCKETS)))
     number = {name: i for i, name in enumerate(languages)}
 
     def run(batches):
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 who = np.array([number.get(x, -1) for x in part.column(0).to_pylist()])
                 bucket, sizes = grams(part.column(1).to_pylist())
                 owner = np.repeat(who, sizes)
-                for j in np.unique(who[who >= 0]):
-                    counts[j] += np.bincount(bucket[owner == j], minlength=BUCKETS)
-        j, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[j, b], pa.int64())], ["j", "b", "n"])
-
-    sample = rows.where(hash_share(sample_rows, total, "text"))
-    sums = sample.mapInArrow(run, "j int, b int, n bigint").groupBy("j", "b").agg(F.sum("n").alias("n")).toPandas()
+                key, n = np.unique((owner * BUCKETS + bucket)[owner >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // BUCKETS, pa.int32()), pa.array(key % BUCKETS, pa.int32()), pa.array(n, pa.int64())], ["j", "b", "n"])
+
+    share = F.lit(0.0)
+    for name in languages:
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample_rows / found[name]))).otherwise(share)
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col("text")), F.lit(1 << 30)) < F.lit(1 << 30) * share
+    sums = rows.where(drawn).mapInArrow(run, "j int, b int, n bigint").groupBy("j", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[sums["j"], sums["b"]] = sums["n"]
-    return TextModel(languages, np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)))
+    n = counts.sum(axis=1, keepdims=True)
+    even = np.minimum(BUCKETS / (2 * n + BUCKETS), 0.25)  # half a trigram a bucket; more would make a small language explain everything
+    likely = (1 - even) * counts / np.maximum(n, 1) + even / BUCKETS
+    mean = (counts.sum(axis=0) + 0.5) / (counts + 0.5 / len(languages)).sum()
+    return TextModel([*languages, BACKGROUND], np.log(np.vstack([likely, MIXED * mean + (1 - MIXED) / BUCKETS])))
 
 
 def page_text(html: str | None) -> str:
@@ -103,7 +116,7 @@ def with_evidence(rows: DataFrame, model: TextModel, text: str, markup: bool, de
     suffix; ``host`` stands in for one.  What is missing is an empty string, which is a value of its own.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    known = model.languages
+    known = [x for x in model.languages if x != BACKGROUND]
 
     def make():
         fitted = shared.value
@@ -145,7 +158,7 @@ def fused(rows: DataFrame, counted: DataFrame, model: TextModel, pull: float = 1
 
     ``counted``: the evidence of the same rows (COUNTED), which the counts are taken from.  ``pull`` is how many
     rows of the wider group stand against a group's own.  A row is accepted if it has at least ``least`` trigrams and its
-    best language at least ``sure``.  Counts reach rows through the (host, salt) pieces that occur, so a host that holds a
+    best language at least ``sure``; where the background wins, it is in no language of the model and is not.  Counts reach rows through the (host, salt) pieces that occur, so a host that holds a
     third of all rows is dealt over pieces.
     """
     names = model.languages
@@ -176,7 +189,8 @@ def fused(rows: DataFrame, counted: DataFrame, model: TextModel, pull: float = 1
     best = lambda c: F.element_at(language, F.array_position(F.col(c), F.array_max(c)).cast("int"))
     confidence = F.lit(1.0) / whole(F.col("_e"))
     enough = F.col("_n") >= least
-    out = odds.withColumn("confidence", confidence).withColumn("text_lang", F.when(enough, best("_log"))).withColumn("accepted", enough & (F.col("confidence") >= sure))
+    out = odds.withColumn("confidence", confidence).withColumn("text_lang", F.when(enough, best("_log"))).withColumn("accepted", enough & (F.col("confidence") >= sure) & (best("_sum") != BACKGROUND))
+    out = out.withColumn("text_lang", F.when(F.col("text_lang") != BACKGROUND, F.col("text_lang")))
     out = out.withColumn("found_lang", F.when(F.col("accepted"), best("_sum")))
     return out.drop("h", "d", "s", "_h", "_d", "_s", "_c", "_dom", "_prior", "_sum", "_max", "_e")
 
