@@ -51,12 +51,12 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_CHARS) -> Iterato
 
 
 def map_texts(
-    df: DataFrame, text: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str, keep: list[str] | None = None
+    df: DataFrame, text: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str, keep: list[str] | None = None, arrow: bool = False
 ) -> DataFrame:
     """Add columns computed from a text column, in Arrow slices; rows keep their order and number.
 
-    ``make`` runs once in each task and returns a function from a list of texts (None for null) to one
-    Arrow array per added column.  ``added`` is their DDL.  ``keep``: the columns to pass on (all by
+    ``make`` runs once in each task and returns a function from a list of texts (None for null; an Arrow
+    array of them if ``arrow``) to one Arrow array per added column.  ``added`` is their DDL.  ``keep``: the columns to pass on (all by
     default); a passed column that has the name of an added one gives way.
     """
     from pyspark.sql.types import StructType
@@ -73,7 +73,7 @@ def map_texts(
         work = make()
         for batch in batches:
             for part in slices(batch, name):
-                got = work(part.column(where).to_pylist())
+                got = work(part.column(where) if arrow else part.column(where).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + [got[n] for n in names], kept + names)
 
     return source.mapInArrow(run, out)

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelscope.llm import chat, language, neighbours, pieces, quality, simhash, simple8b, toxicity, warc, winnow
+from reelscope.llm import chat, jaccard, language, neighbours, pieces, quality, simhash, simple8b, toxicity, warc, winnow
 from reelscope.llm.common import staged, table
 
 QUERIES: dict = {}
@@ -147,3 +147,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     found = neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
     return found.select(F.col("query_id").cast("bigint"), "rank", F.col("vec_id").cast("bigint"), "score")
+
+
+@query
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the smallest document it is linked with, directly or not."""
+    found = jaccard.near_copies(table(spark, sf_dir, "documents"), words=4, share=(85, 100))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+ORACLE["op13_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS node, s FROM s),
+t AS (SELECT node, n, unnest(s) AS token FROM named WHERE node = doc_id),
+links AS (SELECT a.node AS u, b.node AS v FROM t a JOIN t b ON a.token = b.token AND a.node < b.node
+          GROUP BY a.node, b.node HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT DISTINCT node, node AS other FROM named UNION SELECT reach.node, edges.v FROM reach JOIN edges ON reach.other = edges.u),
+roots AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM named JOIN roots USING (node)"""

@@ -12,7 +12,8 @@ import corpus_pipeline  # noqa: E402
 
 from reelscope.llm import pieces, queries, simhash, winnow  # noqa: E402
 from reelscope.llm.common import table  # noqa: E402
-from test_corpus import brute_components, brute_fingerprint, brute_overlap  # noqa: E402
+from test_corpus import brute_overlap  # noqa: E402
+from test_jaccard import brute  # noqa: E402
 
 PLACE = "/root/testdata/sf0.01"
 
@@ -44,9 +45,10 @@ def test_language_and_quality_keep_good_documents(spark, stages):
 
 
 def test_near_copies_against_brute_force(stages):
+    """Five-word shingles, a Jaccard similarity of 0.8 or more: of each component the smallest id stays."""
     rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
-    roots = brute_components([brute_fingerprint(t) for _, t in rows])
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted({rows[r][0] for r in roots})
+    roots = brute(rows, 5, (4, 5), empty_alike=True)
+    assert sorted(r.doc_id for r in stages[3].collect()) == sorted({root for _, root in roots.values()})
 
 
 def test_decontamination_against_brute_force(spark, stages):
