@@ -53,17 +53,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts, one after another, and the number of words of each text.
 
-    A word's hash is the sum of its bytes' numbers times powers of P, from the sums over the whole slice.
+    A word's hash is the sum of its bytes' numbers times powers of P, from the sums over the whole slice.  ``space``: for
+    each byte whether it parts words.
     """
     filled = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
     total = int(offsets[-1] - offsets[0])
     data = np.frombuffer(filled.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if total else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    inside = ~SPACE[data]
+    inside = ~space[data]
     border = np.zeros(total + 1, bool)
     border[offsets] = True
     before = np.r_[False, inside]

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelscope.llm import chat, jaccard, language, neighbours, pieces, quality, simhash, simple8b, toxicity, warc, winnow
+from reelscope.llm import chat, jaccard, language, neighbours, pieces, quality, ranked, simhash, simple8b, toxicity, warc, whitening, winnow
 from reelscope.llm.common import staged, table
 
 QUERIES: dict = {}
@@ -149,6 +149,32 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").cast("bigint"), "rank", F.col("vec_id").cast("bigint"), "score")
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on up to 32 components of the covariance, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=32).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).withColumnRenamed("id", "doc_id")
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op12_ranked"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+df AS (SELECT term, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, c GROUP BY term, c.n),
+m AS (SELECT doc_id, 10 + (90 * len(w) * c.n) // c.l AS m FROM d, c WHERE len(w) > 0),
+scores AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 @query
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the smallest document it is linked with, directly or not."""
