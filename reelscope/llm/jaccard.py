@@ -9,10 +9,11 @@ Rare tokens are index keys by themselves; frequent ones only in combinations of
 with the prefix extended as far as that needs.  A class is cut by hash into parts, as many as the size level (power
 of two) of the smaller set calls for; a set whose partner may be of the level below is indexed for both.
 
-Candidates share a key and are checked on their whole sets.  Equal sets are one node.  A key does not emit all
-pairs of its nodes: in each round every node meets the key's pivot (the node with the smallest share of rare
-tokens, so the middle of a group of edits of one text), nodes that a round has linked with one another are not
-compared again, and what the rounds leave is compared exactly, the nodes outside a key's largest cluster with all.
+Candidates share a key and are checked by parities of their tokens and then on their whole sets.  Equal sets are one
+node.  A key does not emit all pairs of its nodes: in each round every node meets the key's pivot (the node with the smallest
+share of rare tokens, so the middle of a group of edits of one text); nodes that a round has linked with one another
+are not compared again, nodes out of reach of all others leave the key (see ``links``), and what the rounds leave is
+compared exactly, the nodes outside a key's largest cluster with all.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ HOT = 4096
 P = np.uint64(0x9E3779B97F4A7C15)
 Q = np.uint64(0xC2B2AE3D27D4EB4F)
 SIEVE_BITS = 23
-BITS = 2048
+BITS = 1024
 INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
 #: A random number per byte (A-Z as a-z), and what parts words.
 LETTER = np.random.default_rng(13).integers(1, 1 << 63, 256, np.uint64)
@@ -149,7 +150,8 @@ def levels(size: int, share: tuple[int, int]) -> range:
 def level_keys(tokens: np.ndarray, classes: np.ndarray, missing: int, level: int) -> list[np.ndarray]:
     """Keys of a set at one level: single rare tokens, then combinations in the parts of the frequent classes.
 
-    ``missing``: how many tokens of the set a linked one can lack.  ``tokens`` stand in the order of hashes.
+    ``missing``: how many tokens of the set a linked one can lack.  ``tokens`` stand in the order of hashes.  A set with
+    any key of a frequent class has all its rare tokens among its keys.
     """
     rare = tokens[classes == 0]
     if len(rare) > missing:
@@ -160,37 +162,35 @@ def level_keys(tokens: np.ndarray, classes: np.ndarray, missing: int, level: int
         if (1 << level) < SMALL:
             out.append(here[:left])
             left -= len(out[-1])
-        else:
+        elif len(here):
             parts = ((here * Q) >> np.uint64(33)) % np.uint64(max(1, (1 << level) >> (k + 2)))
             by_part = np.argsort(parts, kind="stable")
-            first = np.r_[True, np.diff(parts[by_part]) > 0] if len(here) else np.zeros(0, bool)
+            first = np.r_[True, np.diff(parts[by_part].astype(np.int64)) != 0]
             rank = np.empty(len(here), np.int64)
             rank[by_part] = np.arange(len(here)) - np.maximum.accumulate(np.where(first, np.arange(len(here)), 0))
             gain = np.cumsum(rank >= k - 1)
-            end = int(np.searchsorted(gain, left)) + 1 if len(gain) and gain[-1] >= left else len(here)
-            chosen = [(int(p), int(t)) for p, t in zip(parts[by_part], here[by_part])] if end == len(here) else None
-            if chosen is None:
-                kept = by_part[by_part < end]
-                chosen = list(zip(parts[kept].tolist(), here[kept].tolist()))
-            sets = [c for _, g in groupby(chosen, key=lambda pt: pt[0]) for c in combinations([t for _, t in g], k)]
+            end = int(np.searchsorted(gain, left)) + 1 if gain[-1] >= left else len(here)
+            kept = by_part[by_part < end]
+            sets = [c for _, g in groupby(zip(parts[kept].tolist(), here[kept].tolist()), key=lambda pt: pt[0]) for c in combinations([t for _, t in g], k)]
             if sets:
                 acc = np.full(len(sets), k, np.uint64)
                 for column in np.array(sets, np.uint64).T:
                     acc = acc * P + column
                 out.append(mixed(acc))
-            left -= int(gain[end - 1]) if end else 0
+            left -= int(gain[end - 1])
         if left <= 0:
             break
     return out
 
 
-def prefix_keys(tokens: np.ndarray, classes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """All index keys of a set, distinct."""
+def prefix_keys(tokens: np.ndarray, classes: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys of a set, distinct: its rare tokens, and those of the frequent classes."""
     if not len(tokens):
-        return tokens
+        return tokens, tokens
     missing = len(tokens) - needed(len(tokens), share)
-    found = [k for level in levels(len(tokens), share) for k in level_keys(tokens, classes, missing, level)]
-    return np.unique(np.concatenate(found))
+    found = [level_keys(tokens, classes, missing, level) for level in levels(len(tokens), share)]
+    frequent = [k for keys in found for k in keys[1:]]
+    return found[0][0], np.unique(np.concatenate(frequent)) if frequent else tokens[:0]
 
 
 def frequent_tokens(source: DataFrame, words: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> Order:
@@ -246,7 +246,7 @@ def parities(tokens: np.ndarray) -> np.ndarray:
 
 
 def keyed(words: int, share: tuple[int, int], order):
-    """Task-side function: texts to the digests, sizes, shares of rare tokens and index keys of their sets."""
+    """Task-side function: texts to the digests, sizes, numbers of rare tokens, parities and index keys of their sets."""
 
     def make():
         known = order.value
@@ -255,11 +255,13 @@ def keyed(words: int, share: tuple[int, int], order):
         def work(column: pa.Array) -> dict[str, pa.Array]:
             sets = shingle_sets(column, words)
             classes = np.split(known.of(np.concatenate(sets), sieve), np.cumsum([len(s) for s in sets])[:-1])
-            rare = [float(np.mean(c == 0)) if len(c) else 0.0 for c in classes]
+            keys = [prefix_keys(t, c, share) for t, c in zip(sets, classes)]
+            longs = lambda arrays: pa.array([a.view(np.int64) for a in arrays], pa.list_(pa.int64()))
             return {
                 "fp": pa.array([digest(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()),
-                "rare": pa.array(rare, pa.float32()), "odd": pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
-                "keys": pa.array([prefix_keys(s, c, share).view(np.int64) for s, c in zip(sets, classes)], pa.list_(pa.int64())),
+                "rare": pa.array([int((c == 0).sum()) for c in classes], pa.int64()),
+                "odd": longs([parities(s) for s in sets]), "odd_frequent": longs([parities(s[c > 0]) for s, c in zip(sets, classes)]),
+                "rare_keys": longs([a for a, _ in keys]), "frequent_keys": longs([b for _, b in keys]),
             }
 
         return work
@@ -277,9 +279,9 @@ def sets_of(words: int):
     return work
 
 
-def order_of(fp: str, rare: str) -> Column:
+def order_of(fp: str, rare: str, size: str) -> Column:
     """Nodes from the middle of their groups outwards: by the share of rare tokens, then by hash."""
-    return F.struct(F.col(rare).alias("rare"), F.xxhash64(fp).alias("hash"), F.col(fp).alias("fp"))
+    return F.struct((F.col(rare) / F.greatest(F.lit(1), F.col(size))).alias("share"), F.xxhash64(fp).alias("hash"), F.col(fp).alias("fp"))
 
 
 def dealt(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
@@ -295,22 +297,44 @@ def dealt(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(table.withColumn("_salt", F.explode(pieces)).drop("n"), ["key", "_salt"], how).drop("_salt")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int]) -> DataFrame:
-    """Of the candidate pairs (u, v), the links: first those whose parities allow it, then by whole sets.
+def salted(name: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("salt"), F.col(name)), F.lit(SALTS)).cast("int")
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many places two parities differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d).cast("bigint")
+
+
+def may_differ(differ: Column, total: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of ``total`` tokens together that differ in ``differ`` tokens can be linked."""
+    p, q = share
+    return differ * (p + q) <= (q - p) * total
+
+
+def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with ``apart`` and ``apart_frequent``: tokens, and frequent tokens, they differ in at least, and ``total``, their tokens."""
+    of = lambda name: nodes.select(F.col("fp").alias(name), F.struct("size", "odd", "odd_frequent").alias(f"_{name}"))
+    pairs = pairs.withColumn("_salt", salted("u"))
+    pieces = matched(pairs.select("v", "_salt").distinct(), of("v"), ["v"])
+    met = matched(matched(pairs, of("u"), ["u"]), pieces, ["v", "_salt"])
+    return met.select(
+        *[c for c in pairs.columns if c != "_salt"], (F.col("_u.size") + F.col("_v.size")).alias("total"),
+        differing(F.col("_u.odd"), F.col("_v.odd")).alias("apart"), differing(F.col("_u.odd_frequent"), F.col("_v.odd_frequent")).alias("apart_frequent"),
+    )
+
+
+def verified(pairs: DataFrame, sets_for, share: tuple[int, int]) -> DataFrame:
+    """Of the pairs (u, v), the links, by their whole sets.
 
     ``sets_for``: from a table of nodes (fp) to their sets (fp, tokens).  A set that many pairs ask for is dealt over pieces.
     """
     p, q = share
-    of = lambda name: nodes.select(F.col("fp").alias(name), F.struct("size", "odd").alias(f"_{name}"))
-    met = matched(matched(pairs.withColumn("_salt", F.pmod(F.xxhash64("u"), F.lit(SALTS))), of("u"), ["u"]), of("v"), ["v"])
-    differ = F.aggregate(F.zip_with("_u.odd", "_v.odd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
-    # intersection >= p/(p+q) (a+b), so the sets differ in at most a + b - 2p/(p+q) (a+b) tokens
-    total = F.col("_u.size") + F.col("_v.size")
-    hopeful = staged(met.where(differ * (p + q) <= (q - p) * total).select("u", "v", "_salt"), "jaccard-hopeful")
-    ends = hopeful.select(F.col("u").alias("fp")).unionByName(hopeful.select(F.col("v").alias("fp"))).distinct()
+    pairs = staged(pairs.select("u", "v").distinct().withColumn("_salt", salted("u")), "jaccard-hopeful")
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     sets = staged(sets_for(ends), "jaccard-sets")
-    pieces = matched(hopeful.select("v", "_salt").distinct(), sets.select(F.col("fp").alias("v"), F.col("tokens").alias("b")), ["v"])
-    left = matched(hopeful, sets.select(F.col("fp").alias("u"), F.col("tokens").alias("a")), ["u"])
+    pieces = matched(pairs.select("v", "_salt").distinct(), sets.select(F.col("fp").alias("v"), F.col("tokens").alias("b")), ["v"])
+    left = matched(pairs, sets.select(F.col("fp").alias("u"), F.col("tokens").alias("a")), ["u"])
     both = matched(left, pieces, ["v", "_salt"])
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
     return both.where(shared * (p + q) >= F.lit(p) * (F.size("a") + F.size("b"))).select("u", "v")
@@ -319,58 +343,92 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int
 def labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(fp, label) of linked nodes: two steps towards the first node in order.  Nodes of one label are in one component."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    ranks = nodes.select(F.col("fp").alias("v"), order_of("fp", "rare").alias("rank"))
+    ranks = nodes.select(F.col("fp").alias("v"), order_of("fp", "rare", "size").alias("rank"))
     self = both.select("u").distinct().select("u", F.col("u").alias("v"))
     step = matched(both.unionByName(self), ranks, ["v"]).groupBy("u").agg(F.min("rank").alias("m")).select(F.col("u").alias("fp"), F.col("m.fp").alias("label"))
     step = staged(step, "jaccard-step")
     return staged(matched(step.withColumnRenamed("label", "_l"), step.select(F.col("fp").alias("_l"), "label"), ["_l"]).select("fp", "label"), "jaccard-labels")
 
 
-def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int], rounds: int = 16) -> DataFrame:
+def left_over(live: DataFrame, tops: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) that the rounds leave: of each key the nodes outside its largest cluster with all others in reach.
+
+    With r rare tokens and distance d to the pivot, nodes x and y of a frequent key are in reach if
+    r_x + r_y + |d_x - d_y| is small enough, so d_y - r_y has a lower bound from x; rows meet on slices of it.
+    """
+    p, q = share
+    close = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
+    reach = live.groupBy("key").agg(F.max(F.col("away") - F.col("rare")).alias("nearest"), F.max("size").alias("largest"))
+    rows = dealt(live, matched(tops.select("key", "n", "top"), reach, ["key"]))
+    wide = F.greatest(F.lit(4), F.floor(F.col("largest") * (q - p) / (4 * (p + q)))).cast("bigint")
+    lowest = F.col("away") + F.col("rare") - F.floor((F.col("size") + F.col("largest")) * (q - p) / (p + q))
+    slice_of = lambda value: F.floor(value / wide).cast("bigint")
+    slices_met = F.sequence(slice_of(lowest), F.greatest(slice_of(lowest), slice_of(F.col("nearest"))))
+    sliced = lambda s: F.xxhash64("key", s)
+    all_rows = rows.withColumn("key", F.when(F.col("frequent"), sliced(slice_of(F.col("away") - F.col("rare")))).otherwise(F.col("key")))
+    outside = rows.where(F.col("label") != F.col("top"))
+    outside = outside.withColumn("key", F.explode(F.when(F.col("frequent"), F.transform(slices_met, sliced)).otherwise(F.array("key"))))
+    outside = outside.select("key", F.struct("fp", "size", "label", "rare", "away").alias("o"))
+    sizes = staged(all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "jaccard-slices")
+    met = dealt(all_rows.select(live.columns), matched(outside, sizes, ["key"]))
+    apart = F.col("rare") + F.col("o.rare") + F.abs(F.col("away") - F.col("o.away"))
+    wanted = met.where((F.col("label") != F.col("o.label")) & close(F.col("size"), F.col("o.size")) & (~F.col("frequent") | may_differ(apart, F.col("size") + F.col("o.size"), share)))
+    return wanted.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct()
+
+
+def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int], rounds: int = 8) -> DataFrame:
     """Links (u, v) that span the components of the join; all of them verified.
 
-    ``index``: (key, fp, size, rare); ``nodes``: (fp, size, rare, odd).  Rounds end when what is left to compare
-    is in proportion to the index, or where a round (of the first ``rounds``) did not lessen it by a quarter.
+    ``index``: (key, frequent, fp, size, rare); ``nodes``: (fp, size, rare, odd, odd_frequent).  Keys of the same nodes
+    are one.  Sets that share no rare token differ in the rare tokens of both, and in their frequent ones at least
+    by as much as their distances to the pivot differ (parities obey the triangle inequality).  Pairs that do share one meet on
+    a rare key, so a node whom this puts out of reach of all others leaves a frequent key.  Rounds end when what is left to
+    compare is in proportion to the index, or where a round did not lessen it by a quarter.
     """
     p, q = share
     close = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
-    sizes = staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-keys")
-    live = staged(dealt(index, sizes).select("*", F.col("fp").alias("label"), F.lit(False).alias("met")), "jaccard-live")
-    linear = 4 * live.count()
-    found = tried = before = None
+    marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")]
+    sizes = index.groupBy("key", "frequent").agg(*marks).where("n > 1").groupBy("n", "x", "y", "frequent").agg(F.min("key").alias("key"))
+    sizes = staged(sizes.groupBy("key").agg(F.max("n").alias("n"), F.min("frequent").alias("frequent")), "jaccard-keys")
+    live = dealt(index.drop("frequent"), sizes).select("key", "frequent", "fp", "size", "rare", F.col("fp").alias("label"), F.lit(False).alias("met"), F.lit(0).cast("bigint").alias("away"))
+    live = staged(live, "jaccard-live")
+    linear = 2 * live.count()
+    found = before = None
     while True:
         counts = live.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.count(F.lit(1)).alias("labels"))
-        open_keys = staged(open_keys.where("labels > 1"), "jaccard-open")
-        work = open_keys.agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))).alias("w"), F.max("n").alias("n")).first()
+        tops = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.count(F.lit(1)).alias("labels"))
+        tops = staged(tops.where("labels > 1"), "jaccard-open")
+        work = tops.agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))).alias("w"), F.max("n").alias("n")).first()
         if not work.n:
             break
-        last = before is not None and (rounds <= 0 or work.w <= linear or work.w > 0.75 * before)
+        first = before is None
+        last = not first and (rounds <= 0 or work.w <= linear or work.w > 0.75 * before)
         rounds, before = rounds - 1, work.w
         if last:
-            outside = dealt(live, open_keys.select("key", "n", "top")).where("label <> top")
-            outside = outside.select("key", F.struct("fp", "size", "label").alias("o"))
-            met = dealt(live, matched(outside, open_keys.select("key", "n"), ["key"]))
-        else:
-            pivots = live.groupBy("key").agg(F.min(F.struct("met", order_of("fp", "rare").alias("rank"), "size", "label")).alias("p"))
-            table = matched(pivots, open_keys.select("key", "n"), ["key"]).select("key", "n", F.struct(F.col("p.rank.fp").alias("fp"), "p.size", "p.label").alias("o"))
-            met = staged(dealt(live, table), "jaccard-met")
-        wanted = met.where((F.col("label") != F.col("o.label")) & close(F.col("size"), F.col("o.size")))
-        pairs = wanted.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct()
-        if tried is not None:
-            pairs = matched(pairs, tried, ["u", "v"], "left_anti")
-        pairs = staged(pairs, "jaccard-pairs")
-        more = staged(verified(pairs, nodes, sets_for, share), "jaccard-links")
-        found = more if found is None else found.unionByName(more)
-        if last:
+            hopeful = compared(staged(left_over(live, tops, share), "jaccard-rest-pairs"), nodes).where(may_differ(F.col("apart"), F.col("total"), share))
+            more = staged(verified(hopeful, sets_for, share), "jaccard-links")
+            found = more if found is None else found.unionByName(more)
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pivots = live.groupBy("key").agg(F.min(F.struct("met", order_of("fp", "rare", "size").alias("rank"), "size", "label")).alias("p"))
+        table = matched(pivots, tops.select("key", "n"), ["key"]).select("key", "n", F.struct(F.col("p.rank.fp").alias("fp"), "p.size", "p.label").alias("o"))
+        met = staged(dealt(live, table).where(F.col("fp") != F.col("o.fp")), "jaccard-met")
+        wanted = (F.col("label") != F.col("o.label")) & close(F.col("size"), F.col("o.size"))
+        pairs = staged(compared(met.select(F.col("fp").alias("u"), F.col("o.fp").alias("v"), wanted.alias("wanted")).distinct(), nodes), "jaccard-pairs")
+        more = staged(verified(pairs.where(F.col("wanted") & may_differ(F.col("apart"), F.col("total"), share)), sets_for, share), "jaccard-links")
+        found = more if found is None else found.unionByName(more)
         labels = labelled(found, nodes)
         of = lambda name: labels.select(F.col("fp").alias(name), F.col("label").alias(f"_{name}"))
-        rest = met.where(F.col("fp") != F.col("o.fp")).withColumn("_o", F.col("o.fp")).drop("o", "label")
+        rest = matched(met.withColumn("_o", F.col("o.fp")).drop("o", "label", "away"), pairs.select(F.col("u").alias("fp"), F.col("v").alias("_o"), F.col("apart_frequent").alias("away")), ["fp", "_o"])
         rest = rest.join(of("fp"), "fp", "left").withColumn("label", F.coalesce("_fp", "fp")).drop("_fp")
         rest = rest.join(of("_o"), "_o", "left").withColumn("met", F.col("met") | (F.col("label") == F.coalesce("__o", "_o")))
-        live = staged(rest.select("key", "fp", "size", "rare", "label", "met"), "jaccard-live")
+        if first:  # the frequent keys of one pivot are one from now on: a node is there once, with its distance to it
+            grouped = rest.where("frequent").withColumn("key", F.xxhash64(F.lit("pivot"), "_o")).dropDuplicates(["key", "fp"])
+            rest = rest.where("NOT frequent").unionByName(grouped)
+        rest = staged(rest.drop("_o", "__o"), "jaccard-rest")
+        reach = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("away") - F.col("rare")).alias("nearest"), F.max("size").alias("largest"))
+        rest = dealt(rest, staged(reach, "jaccard-reach"))
+        stays = ~F.col("frequent") | may_differ(F.col("rare") + F.col("away") - F.col("nearest"), F.col("size") + F.col("largest"), share)
+        live = staged(rest.where(stays).select(live.columns), "jaccard-live")
     return found.distinct() if found is not None else index.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
 
 
@@ -387,12 +445,14 @@ def near_copies(
     """
     source = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     order = source.sparkSession.sparkContext.broadcast(frequent_tokens(source, words, frequent, most))
-    added = "fp bigint, size bigint, rare float, odd array<bigint>, keys array<bigint>"
+    lists = ("odd", "odd_frequent", "rare_keys", "frequent_keys")
+    added = "fp bigint, size bigint, rare bigint, " + ", ".join(f"{c} array<bigint>" for c in lists)
     prints = map_texts(source, "text", keyed(words, share, order), added, keep=["id"], arrow=True)
-    prints = staged(prints.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)).cast("int")), "jaccard-prints")
-    firsts = [F.first(c).alias(c) for c in ("size", "rare", "odd", "keys")]
+    prints = staged(prints.withColumn("_salt", salted("id")), "jaccard-prints")
+    firsts = [F.first(c).alias(c) for c in ("size", "rare", *lists)]
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), *firsts), "jaccard-nodes")
-    index = nodes.select(F.explode("keys").alias("key"), "fp", "size", "rare")
+    keys = lambda name, frequent: nodes.select(F.explode(name).alias("key"), F.lit(frequent).alias("frequent"), "fp", "size", "rare")
+    index = keys("rare_keys", False).unionByName(keys("frequent_keys", True))
 
     def sets_for(wanted: DataFrame) -> DataFrame:
         ids = matched(nodes.select("fp", "least"), wanted, ["fp"], "left_semi").select(F.col("least").alias("id")).distinct()
@@ -400,8 +460,8 @@ def near_copies(
         sets = map_texts(texts, "text", lambda: sets_of(words), "fp bigint, tokens array<bigint>", keep=[], arrow=True)
         return matched(sets, wanted, ["fp"], "left_semi").dropDuplicates(["fp"])
 
-    found = links(index, nodes.select("fp", "size", "rare", "odd"), sets_for, share)
+    found = links(index, nodes.select("fp", "size", "rare", "odd", "odd_frequent"), sets_for, share)
     out = named(prints, nodes, components(found))
-    sized = matched(out.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)).cast("int")), prints.select("fp", "_salt", "size").distinct(), ["fp", "_salt"]).drop("_salt")
+    sized = matched(out.withColumn("_salt", salted("id")), prints.select("fp", "_salt", "size").distinct(), ["fp", "_salt"]).drop("_salt")
     component = F.col("component") if empty_alike else F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component"))
     return sized.select("id", "fp", F.col("size").alias("n_shingles"), component.alias("component"))

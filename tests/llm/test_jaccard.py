@@ -162,4 +162,6 @@ def test_linked_sets_share_a_key(size, missing, share, frequent, seed):
     both = len(np.intersect1d(a, b))
     if both * share[1] >= share[0] * (len(a) + len(b) - both):
         first, second = jaccard.prefix_keys(pool[a], classes[a], share), jaccard.prefix_keys(pool[b], classes[b], share)
-        assert len(np.intersect1d(first, second))
+        assert len(np.intersect1d(first[0], second[0])) or len(np.intersect1d(first[1], second[1]))
+        if len(first[1]) and len(second[1]):  # all rare tokens are keys then
+            assert set(pool[a][classes[a] == 0]) <= set(first[0]) and set(pool[b][classes[b] == 0]) <= set(second[0])
