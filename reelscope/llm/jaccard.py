@@ -379,7 +379,7 @@ def left_over(live: DataFrame, tops: DataFrame, share: tuple[int, int]) -> DataF
 def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int], rounds: int = 8) -> DataFrame:
     """Links (u, v) that span the components of the join; all of them verified.
 
-    ``index``: (key, frequent, fp, size, rare); ``nodes``: (fp, size, rare, odd, odd_frequent).  Keys of the same nodes
+    ``index``: (key, frequent, fp); ``nodes``: (fp, size, rare, odd, odd_frequent).  Keys of the same nodes
     are one.  Sets that share no rare token differ in the rare tokens of both, and in their frequent ones at least
     by as much as their distances to the pivot differ (parities obey the triangle inequality).  Pairs that do share one meet on
     a rare key, so a node whom this puts out of reach of all others leaves a frequent key.  Rounds end when what is left to
@@ -387,10 +387,13 @@ def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int],
     """
     p, q = share
     close = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
+    sizes = staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-keys")
+    shared = staged(dealt(index, sizes), "jaccard-shared")
     marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")]
-    sizes = index.groupBy("key", "frequent").agg(*marks).where("n > 1").groupBy("n", "x", "y", "frequent").agg(F.min("key").alias("key"))
-    sizes = staged(sizes.groupBy("key").agg(F.max("n").alias("n"), F.min("frequent").alias("frequent")), "jaccard-keys")
-    live = dealt(index.drop("frequent"), sizes).select("key", "frequent", "fp", "size", "rare", F.col("fp").alias("label"), F.lit(False).alias("met"), F.lit(0).cast("bigint").alias("away"))
+    kept = shared.groupBy("key").agg(F.min("frequent").alias("frequent"), *marks).groupBy("n", "x", "y", "frequent").agg(F.min("key").alias("key"))
+    kept = staged(kept.groupBy("key").agg(F.max("n").alias("n")), "jaccard-distinct-keys")
+    live = matched(dealt(shared, kept), nodes.select("fp", "size", "rare"), ["fp"])
+    live = live.select("key", "frequent", "fp", "size", "rare", F.col("fp").alias("label"), F.lit(False).alias("met"), F.lit(0).cast("bigint").alias("away"))
     live = staged(live, "jaccard-live")
     linear = 2 * live.count()
     found = before = None
@@ -451,7 +454,7 @@ def near_copies(
     prints = staged(prints.withColumn("_salt", salted("id")), "jaccard-prints")
     firsts = [F.first(c).alias(c) for c in ("size", "rare", *lists)]
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), *firsts), "jaccard-nodes")
-    keys = lambda name, frequent: nodes.select(F.explode(name).alias("key"), F.lit(frequent).alias("frequent"), "fp", "size", "rare")
+    keys = lambda name, frequent: nodes.select(F.explode(name).alias("key"), F.lit(frequent).alias("frequent"), "fp")
     index = keys("rare_keys", False).unionByName(keys("frequent_keys", True))
 
     def sets_for(wanted: DataFrame) -> DataFrame:
