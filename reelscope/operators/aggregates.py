@@ -265,12 +265,12 @@ def folder_validity(segments: DataFrame) -> DataFrame:
     )
 
 
-def missing_segments(segments: DataFrame, block: int = 4096) -> DataFrame:
+def missing_segments(segments: DataFrame) -> DataFrame:
     """The missing indices of incomplete folders as rows (folder, segment_no)."""
     gifs = segments.where(F.lower("name").endswith(".gif")).withColumn("idx", _segment_index())
     short = folder_validity(segments).where("missing > 0").select("folder")
     present = gifs.where("idx >= 1").select("folder", "idx").distinct().join(short, "folder", "left_semi")
-    gaps = B.carried(present, ["folder"], ["idx"], B.index_block("idx", block), previous={"_p": "idx"})
+    gaps = B.carried(present, ["folder"], ["idx"], previous={"_p": "idx"})
     before = F.coalesce("_p", F.lit(0))
     hole = gaps.where(F.col("idx") - before > 1)
     return hole.select("folder", F.explode(F.sequence(before + 1, F.col("idx") - 1)).alias("segment_no"))

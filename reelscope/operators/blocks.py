@@ -1,14 +1,19 @@
 """Ordered computations over groups of any size.
 
 A plain ``Window.partitionBy(group)`` puts a whole group into one task.  These helpers cut a
-group into *blocks* along its order column (an hour of a log, 1024 frames of a video), run the
-window inside (group, block), and pass what must cross a block border through a small table
-with one row per block.  Rows are shuffled once, on (group, block), so a hot group spreads.
+group along its order into *blocks*, run the window inside (group, block), and pass what must
+cross a block border through a small table with one row per block of a cut group.
+
+Where to cut is read from the data, as for a range partitioning: a sample of the keys, in proportion to the number of
+shuffle partitions, names the groups that hold more than a partition's share and the order keys between which such a
+group is cut into shares.  All other groups stay whole, so the usual plan is one exchange and one window, and the
+block table exists only for cut groups (at most two blocks per shuffle partition).  Borders only place rows; results
+do not depend on them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 BLOCK = "_block"
@@ -18,12 +23,6 @@ def time_block(ts: str, seconds: int = 60) -> Column:
     return F.floor(F.unix_timestamp(ts) / seconds)
 
 
-def text_block(column: str) -> Column:
-    """Blocks along a text column by its first three characters (monotone for ASCII keys)."""
-    at = lambda i: F.least(F.ascii(F.substring(column, i, 1)), F.lit(255)).cast("bigint")
-    return at(1) * 65536 + at(2) * 256 + at(3)
-
-
 def index_block(index: str, size: int = 1024) -> Column:
     return F.floor(F.col(index) / size)
 
@@ -37,76 +36,155 @@ def _group_window(group: list[str]):
     return Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 
 
-def _join_blocks(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def _same(left: DataFrame, table: DataFrame, keys: list[str], how: str, extra: Column | None = None) -> DataFrame:
+    """Join with a broadcast table on keys where null equals null; the table's key columns are dropped."""
     right = table.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in table.columns])
-    cond = None
+    cond = F.lit(True) if extra is None else extra
     for k in keys:
-        test = F.col(k) == F.col(f"_k_{k}")
-        cond = test if cond is None else cond & test
-    return rows.join(right, cond, "left").drop(*[f"_k_{k}" for k in keys])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(F.broadcast(right), cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
+#: Sampled keys per shuffle partition, and how many of them make a block.
+SAMPLED, SHARE, MOST_BLOCKS = 16, 16, 512
+
+
+def borders(df: DataFrame, group: list[str], order: list[str]) -> DataFrame | None:
+    """Where groups that exceed a partition's share are cut: group, block, from (inclusive), to (exclusive); None if none does.
+
+    The sample is the keys with the smallest hashes, 16 for each shuffle partition; a group with 16 of them or more is
+    cut at every 16th.  A table smaller than the sample is not cut.  The table has at most as many rows as there are shuffle partitions (64 at least).
+    """
+    spark = df.sparkSession
+    many = SAMPLED * max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(*group, F.struct(*order).alias("_o"))
+    sample = keys.orderBy(F.xxhash64(*group, "_o"), "_o").limit(many)
+    whole = F.sum(F.size("_os")).over(Window.partitionBy(F.lit(0))) < many  # the table is smaller than the sample
+    cut = sample.groupBy(*group).agg(F.sort_array(F.collect_list("_o")).alias("_os")).withColumn("_whole", whole)
+    cut = cut.where((F.size("_os") >= 2 * SHARE) & ~F.col("_whole"))
+    step = F.greatest(F.lit(SHARE), F.ceil(F.size("_os") / MOST_BLOCKS).cast("int"))
+    inner = F.filter(F.array_distinct(F.filter("_os", lambda o, i: (i > 0) & (i % step == 0))), lambda o: o.isNotNull())
+    ends = F.concat(F.array(F.lit(None).cast(keys.schema["_o"].dataType)), F.col("_in"))
+    table = cut.select(*group, inner.alias("_in")).select(*group, F.posexplode(F.arrays_zip(ends.alias("lo"), F.col("_in").alias("hi"))).alias(BLOCK, "_b"))
+    found = table.select(*group, F.col(BLOCK).cast("bigint").alias(BLOCK), F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi")).toArrow()
+    return spark.createDataFrame(found, schema=_schema(df, group, keys)) if found.num_rows else None
+
+
+def _schema(df: DataFrame, group: list[str], keys: DataFrame) -> T.StructType:
+    kind = keys.schema["_o"].dataType
+    fields = [T.StructField(c, df.schema[c].dataType) for c in group]
+    return T.StructType([*fields, T.StructField(BLOCK, T.LongType()), T.StructField("_lo", kind), T.StructField("_hi", kind)])
 
 
 def carried(
     df: DataFrame,
     group: list[str],
     order: list[str],
-    block: Column,
+    block: Column | None = None,
     number: str | None = None,
     sums: dict[str, Column] | None = None,
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     maxima: dict[str, Column] | None = None,
+    last: dict[str, Column] | None = None,
+    cuts: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add exact whole-group ordered columns.
 
     ``number``: 1-based row number.  ``sums``: inclusive running sums.  ``maxima``: inclusive
     running maxima.  ``previous`` / ``following``: value of a column in the neighbouring row.
-    ``order`` must be a total order within the group and ``block`` must not fall along it.
+    ``last``: number of the last row so far that meets a condition.  ``order`` must be a total order within the group.
 
-    Every group is cut into blocks, whatever its size, and rows are shuffled once.
+    Groups beyond a partition's share are cut at sampled borders (see ``borders``), or all groups by ``block``, which
+    must not fall along the order; ``cuts`` gives known borders of the same keys (None: no group is cut).  Rows are shuffled once; what crosses blocks is broadcast (a row per block of a cut
+    group) unless ``block`` is given.  A null group is a group.
     """
-    sums, previous, following, maxima = sums or {}, previous or {}, following or {}, maxima or {}
-    rows = df.withColumn(BLOCK, block)
+    sums, previous, following, maxima, last = sums or {}, previous or {}, following or {}, maxima or {}, last or {}
     keys = [*group, BLOCK]
-    order_key = F.struct(*order)
-    aggs = []
+    if block is None:
+        where = borders(df, group, order) if cuts is True else cuts
+        if where is None:
+            rows = df.withColumn(BLOCK, F.lit(0).cast("bigint"))
+            inside = None
+        else:
+            here = F.struct(*order)
+            between = (F.col("_lo").isNull() | (here >= F.col("_lo"))) & (F.col("_hi").isNull() | (here < F.col("_hi")))
+            inside = _same(df, where, group, "inner", between).drop("_lo", "_hi")
+            rows = _same(df, where, group, "left", between).drop("_lo", "_hi").withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0).cast("bigint")))
+    else:
+        rows = df.withColumn(BLOCK, block)
+        inside = rows.where(F.col(BLOCK).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names: set[str] = set()
+    if inside is not None:
+        table, names = _carry(inside, group, order, number, sums, previous, following, maxima, last, w)
+        rows = _same(rows, table, keys, "left") if block is None else _matched(rows, table, keys)
+    brought = lambda name: F.col(name) if name in names else F.lit(None)
+    added = {}
     if number:
-        aggs.append(F.count(F.lit(1)).alias("_n"))
+        added[number] = F.row_number().over(w) + F.coalesce(brought("_c_n"), F.lit(0))
+    for n, expr in sums.items():
+        here, before = F.sum(expr).over(upto), brought(f"_c_s_{n}")
+        added[n] = F.when(here.isNull(), before).when(before.isNull(), here).otherwise(here + before) if names else here
+    for n, expr in maxima.items():
+        added[n] = F.greatest(F.max(expr).over(upto), brought(f"_c_m_{n}")) if names else F.max(expr).over(upto)
+    for n, c in previous.items():
+        lagged = F.lag(c).over(w)
+        added[n] = F.when(F.row_number().over(w) == 1, F.col("_c_last")[n]).otherwise(lagged) if names else lagged
+    for n, c in following.items():
+        ahead = F.lead(c).over(w)
+        added[n] = F.when(F.lead(F.lit(1)).over(w).isNull(), F.col("_c_first")[n]).otherwise(ahead) if names else ahead
+    if not last:
+        return rows.select(*df.columns, *[col.alias(n) for n, col in added.items()])
+    kept = [c for c in ("_c_n", *[f"_c_w_{n}" for n in last]) if c in names]
+    numbered = rows.select(*df.columns, BLOCK, *kept, *[col.alias(n) for n, col in added.items()], F.row_number().over(w).alias("_rn"))
+    reach = {}
+    for n, test in last.items():
+        here = F.max(F.when(test, F.col("_rn"))).over(upto)
+        reach[n] = F.coalesce(here + F.coalesce(brought("_c_n"), F.lit(0)), brought(f"_c_w_{n}")) if names else here
+    return numbered.select(*df.columns, *added, *[col.cast("bigint").alias(n) for n, col in reach.items()])
+
+
+def _matched(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_same`` with "left", for a table that may be large."""
+    right = table.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in table.columns])
+    cond = None
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        cond = test if cond is None else cond & test
+    return rows.join(right, cond, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def _carry(inside, group, order, number, sums, previous, following, maxima, last, w):
+    """What each block gets from the blocks before (and after) it, and the names of those columns."""
+    keys, order_key = [*group, BLOCK], F.struct(*order)
+    aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.sum(expr).alias(f"_s_{name}") for name, expr in sums.items()]
     aggs += [F.max(expr).alias(f"_m_{name}") for name, expr in maxima.items()]
+    if last:
+        inside = inside.withColumn("_rn", F.row_number().over(w))
+        aggs += [F.max(F.when(test, F.col("_rn"))).alias(f"_w_{name}") for name, test in last.items()]
     if previous:
         aggs.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in previous.items()]), order_key).alias("_last"))
     if following:
         aggs.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in following.items()]), order_key).alias("_first"))
-    blocks = rows.where(F.col(BLOCK).isNotNull()).groupBy(*keys).agg(*aggs)
+    blocks = inside.groupBy(*keys).agg(*aggs)
     bw = _group_window(group).orderBy(BLOCK)
     earlier = bw.rowsBetween(Window.unboundedPreceding, -1)
-    carry = []
-    if number:
-        carry.append(F.sum("_n").over(earlier).alias("_c_n"))
-    carry += [F.sum(f"_s_{n}").over(earlier).alias(f"_c_s_{n}") for n in sums]
-    carry += [F.max(f"_m_{n}").over(earlier).alias(f"_c_m_{n}") for n in maxima]
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    carry = {}
+    if number or last:
+        carry["_c_n"] = before
+    carry |= {f"_c_s_{n}": F.sum(f"_s_{n}").over(earlier) for n in sums}
+    carry |= {f"_c_m_{n}": F.max(f"_m_{n}").over(earlier) for n in maxima}
     if previous:
-        carry.append(F.lag("_last").over(bw).alias("_c_last"))
+        carry["_c_last"] = F.lag("_last").over(bw)
     if following:
-        carry.append(F.lead("_first").over(bw).alias("_c_first"))
-    out = _join_blocks(rows, blocks.select(*keys, *carry), keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = {}
-    if number:
-        added[number] = F.row_number().over(w) + F.coalesce("_c_n", F.lit(0))
-    for n, expr in sums.items():
-        here, before = F.sum(expr).over(upto), F.col(f"_c_s_{n}")
-        added[n] = F.when(here.isNull(), before).when(before.isNull(), here).otherwise(here + before)
-    for n, expr in maxima.items():
-        added[n] = F.greatest(F.max(expr).over(upto), F.col(f"_c_m_{n}"))
-    for n, c in previous.items():
-        added[n] = F.when(F.row_number().over(w) == 1, F.col("_c_last")[n]).otherwise(F.lag(c).over(w))
-    for n, c in following.items():
-        is_last = F.lead(F.lit(1)).over(w).isNull()
-        added[n] = F.when(is_last, F.col("_c_first")[n]).otherwise(F.lead(c).over(w))
-    return out.select(*df.columns, *[col.alias(n) for n, col in added.items()])
+        carry["_c_first"] = F.lead("_first").over(bw)
+    table = blocks.select(*keys, *[c.alias(n) for n, c in carry.items()], *[(F.col(f"_w_{n}") + before).alias(f"_at_{n}") for n in last])
+    table = table.select(*keys, *carry, *[F.max(f"_at_{n}").over(earlier).alias(f"_c_w_{n}") for n in last])
+    return table, {*carry, *[f"_c_w_{n}" for n in last]}
 
 
 def with_lags(

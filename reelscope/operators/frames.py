@@ -385,16 +385,16 @@ def content_scores_10(frames: DataFrame, motion: DataFrame) -> DataFrame:
     return j.withColumn("temporal_stability", F.greatest(F.lit(0.0), F.least(stability, F.lit(10.0)))).drop("_m", "_v")
 
 
-def with_previous_pixels(frames: DataFrame, block: int = 1024) -> DataFrame:
+def with_previous_pixels(frames: DataFrame) -> DataFrame:
     from reelscope.operators import blocks as B
 
     base = frames.select("video_id", "frame_idx", "ts_s", "w", "h", "pixels")
-    return B.carried(base, ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), previous={"prev_pixels": "pixels"})
+    return B.carried(base, ["video_id"], ["frame_idx"], previous={"prev_pixels": "pixels"})
 
 
-def block_motion(frames: DataFrame, block: int = 1024) -> DataFrame:
+def block_motion(frames: DataFrame) -> DataFrame:
     udf = kernel(correlation_blocks, ("consistency",), inputs=2)
-    pairs = with_previous_pixels(frames, block).where("prev_pixels IS NOT NULL")
+    pairs = with_previous_pixels(frames).where("prev_pixels IS NOT NULL")
     return pairs.select("video_id", "frame_idx", udf("prev_pixels", "pixels", "h", "w").alias("consistency"))
 
 

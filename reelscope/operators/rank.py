@@ -45,10 +45,10 @@ def fallback_attempt(attempts: DataFrame, key: list[str], max_mb: float = 10.0)
     return best.select(*key, "_b.*")
 
 
-def keyframes(points: DataFrame, n: int, block_s: float = 600.0) -> DataFrame:
+def keyframes(points: DataFrame, n: int) -> DataFrame:
     """Every (count // n)-th keyframe per video, n at most."""
     keys = points.where("is_keyframe")
-    numbered = B.carried(keys, ["video_id"], ["ts_s", "point_id"], B.by_value("ts_s", block_s), number="_rn")
+    numbered = B.carried(keys, ["video_id"], ["ts_s", "point_id"], number="_rn")
     total = keys.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / n))
     at = F.col("_rn") - 1
@@ -62,12 +62,12 @@ def top_per_video(points: DataFrame, by: Column, n: int) -> DataFrame:
     return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def critical_frames(points: DataFrame, n: int, block_s: float = 600.0) -> DataFrame:
+def critical_frames(points: DataFrame, n: int) -> DataFrame:
     """Keyframe, complexity and motion picks, the best per 0.1 s, then the first n by time."""
     third = n // 3
     cols = ["video_id", "point_id", "ts_s", "complexity"]
     picks = (
-        keyframes(points, third, block_s).select(*cols[:3], F.lit(0.5).alias("complexity"))
+        keyframes(points, third).select(*cols[:3], F.lit(0.5).alias("complexity"))
         .unionByName(top_per_video(points, F.col("complexity"), third).select(*cols))
         .unionByName(top_per_video(points, F.col("motion"), third).select(*cols[:3], F.lit(0.4).alias("complexity")))
     )

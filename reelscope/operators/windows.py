@@ -8,18 +8,16 @@ from pyspark.sql.window import Window
 from reelscope.functions import scalars as S
 from reelscope.operators import blocks as B
 
-FRAME_BLOCK = 1024
-
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return total / F.size(a)
 
 
-def frame_motion(frames: DataFrame, block: int = FRAME_BLOCK) -> DataFrame:
+def frame_motion(frames: DataFrame) -> DataFrame:
     """Mean absolute pixel change to the previous frame, over 255 (null for a first frame)."""
     base = frames.select("video_id", "frame_idx", "ts_s", "pixels")
-    out = B.carried(base, ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), previous={"_prev": "pixels"})
+    out = B.carried(base, ["video_id"], ["frame_idx"], previous={"_prev": "pixels"})
     return out.select("video_id", "frame_idx", "ts_s", (mean_abs_diff(F.col("pixels"), F.col("_prev")) / 255).alias("motion"))
 
 
@@ -56,9 +54,9 @@ def correlation(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(num, den), F.lit(1.0))
 
 
-def frame_similarity(hist: DataFrame, block: int = FRAME_BLOCK) -> DataFrame:
+def frame_similarity(hist: DataFrame) -> DataFrame:
     """Histogram correlation of each frame with the one before. Needs video_id, frame_idx, hist."""
-    out = B.carried(hist.select("video_id", "frame_idx", "hist"), ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), previous={"_prev": "hist"})
+    out = B.carried(hist.select("video_id", "frame_idx", "hist"), ["video_id"], ["frame_idx"], previous={"_prev": "hist"})
     sim = F.when(F.col("_prev").isNotNull(), correlation(F.col("hist"), F.col("_prev")))
     return out.select("video_id", "frame_idx", sim.alias("similarity"))
 
@@ -78,19 +76,19 @@ def similarity_level(similarity: DataFrame, duplicate: float = 0.95) -> DataFram
     )
 
 
-def islands(df: DataFrame, group: list[str], value: str, tie: str, gap: float, width: float) -> DataFrame:
+def islands(df: DataFrame, group: list[str], value: str, tie: str, gap: float) -> DataFrame:
     """Number runs in which neighbouring values are at most ``gap`` apart (column ``island``)."""
-    prev = B.carried(df, group, [value, tie], B.by_value(value, width), previous={"_pv": value})
+    prev = B.carried(df, group, [value, tie], previous={"_pv": value})
     new = F.when(F.col("_pv").isNull() | (F.col(value) - F.col("_pv") > gap), 1).otherwise(0)
     return B.carried(
-        prev.withColumn("_new", new), group, [value, tie], B.by_value(value, width), sums={"island": F.col("_new")}
+        prev.withColumn("_new", new), group, [value, tie], sums={"island": F.col("_new")}
     ).drop("_pv", "_new")
 
 
-def regions(points: DataFrame, threshold: float = 0.3, gap: float = 10.0, min_s: float = 0.5, max_s: float = 3.0, block_s: float = 600.0) -> DataFrame:
+def regions(points: DataFrame, threshold: float = 0.3, gap: float = 10.0, min_s: float = 0.5, max_s: float = 3.0) -> DataFrame:
     """Regions of high complexity: start, end, mean complexity, and the sample cut from each."""
     high = points.where(F.col("complexity") >= threshold).select("video_id", "ts_s", "point_id", "complexity")
-    marked = islands(high, ["video_id"], "ts_s", "point_id", gap, block_s)
+    marked = islands(high, ["video_id"], "ts_s", "point_id", gap)
     out = marked.groupBy("video_id", "island").agg(
         F.min("ts_s").alias("start_s"), F.max("ts_s").alias("end_s"), F.avg("complexity").alias("avg_complexity")
     )
@@ -98,25 +96,25 @@ def regions(points: DataFrame, threshold: float = 0.3, gap: float = 10.0, min_s:
     return out.where(length >= min_s).withColumn("sample_end_s", F.col("start_s") + F.least(F.lit(max_s), length)).drop("island")
 
 
-def scene_intervals(transitions: DataFrame, assets: DataFrame, min_s: float = 0.5, block_s: float = 600.0) -> DataFrame:
+def scene_intervals(transitions: DataFrame, assets: DataFrame, min_s: float = 0.5) -> DataFrame:
     """Cuts (video_id, cut_s, point_id) to [start, end); the last scene ends with the video."""
-    nxt = B.carried(transitions, ["video_id"], ["cut_s", "point_id"], B.by_value("cut_s", block_s), following={"_next": "cut_s"})
+    nxt = B.carried(transitions, ["video_id"], ["cut_s", "point_id"], following={"_next": "cut_s"})
     j = nxt.join(assets.select("video_id", "duration_s"), "video_id")
     out = j.select("video_id", "point_id", F.col("cut_s").alias("start_s"), F.coalesce("_next", "duration_s").alias("end_s"))
     return out.where(F.col("end_s") - F.col("start_s") >= min_s)
 
 
-def lru_evict(cache: DataFrame, limit: float, keep: float = 0.8, block_s: int = 3600) -> DataFrame:
+def lru_evict(cache: DataFrame, limit: float, keep: float = 0.8) -> DataFrame:
     """Least recently used rows to remove when the cache is over ``limit``.
 
     Rows go, oldest first and by key within one time, until what is removed reaches
     total - keep*limit.  Sizes are summed per access time; the running sum over those times finds
     the one time at which the target is reached.  Everything older goes by a plain filter, and only
-    the rows of that time are ordered, in blocks along their key.
+    the rows of that time are ordered, in blocks along their key where they are many.
     """
     total = cache.agg(F.coalesce(F.sum("data_size"), F.lit(0.0)).alias("t")).scalar()
     per_time = cache.groupBy("last_accessed").agg(F.sum("data_size").alias("_s"))
-    run = B.carried(per_time, [], ["last_accessed"], B.time_block("last_accessed", block_s), sums={"_run": F.col("_s")})
+    run = B.carried(per_time, [], ["last_accessed"], sums={"_run": F.col("_s")})
     need = F.when(F.col("_total") > limit, F.col("_total") - float(int(limit * keep))).otherwise(0.0)
     reached = run.withColumn("_total", total).withColumn("_before", F.col("_run") - F.col("_s")).where(F.col("_before") < need)
     last = F.max_by(F.struct("last_accessed", "_before", need.alias("_need")), "last_accessed")
@@ -124,14 +122,14 @@ def lru_evict(cache: DataFrame, limit: float, keep: float = 0.8, block_s: int =
     marked = cache.withColumn("_c", cut)
     older = marked.where(F.col("last_accessed") < F.col("_c.last_accessed")).drop("_c")
     at_cut = marked.where(F.col("last_accessed") == F.col("_c.last_accessed"))
-    ordered = B.carried(at_cut, [], ["cache_key"], B.text_block("cache_key"), sums={"_run": F.col("data_size")})
+    ordered = B.carried(at_cut, [], ["cache_key"], sums={"_run": F.col("data_size")})
     rest = ordered.where(F.col("_c._before") + F.col("_run") - F.col("data_size") < F.col("_c._need"))
     return older.unionByName(rest.select(*cache.columns))
 
 
-def sample_budget(samples: DataFrame, seconds: float, min_tail: float = 0.5, block_s: float = 600.0) -> DataFrame:
+def sample_budget(samples: DataFrame, seconds: float, min_tail: float = 0.5) -> DataFrame:
     """Keep samples in time order until ``seconds`` are used; cut the crossing one if enough is left."""
-    run = B.carried(samples, ["video_id"], ["start_s", "sample_id"], B.by_value("start_s", block_s), sums={"_run": F.col("duration_s")})
+    run = B.carried(samples, ["video_id"], ["start_s", "sample_id"], sums={"_run": F.col("duration_s")})
     before = F.col("_run") - F.col("duration_s")
     fits = F.col("_run") <= seconds
     # Only the first crossing sample may be cut: every later one starts beyond the budget.
@@ -178,13 +176,11 @@ def recent_count(df: DataFrame, group: list[str], ts: str, seconds: int, test: C
     return spread.withColumn(name, F.count_if(test).over(w)).where("_ctx = 0").drop("_ctx", "_t", B.BLOCK)
 
 
-def failure_runs(attempts: DataFrame, block_s: int = 60, window_s: int = 60) -> DataFrame:
+def failure_runs(attempts: DataFrame, window_s: int = 60) -> DataFrame:
     """After each attempt: consecutive failures, time used so far, failures in the last minute."""
     fail = F.col("result") == "FAILURE"
-    group, order, blk = ["session_id"], ["ts", "attempt_id"], B.time_block("ts", block_s)
-    counted = B.carried(attempts, group, order, blk, number="attempt_no", sums={"total_time": F.col("duration")})
-    reset = F.when(~fail, F.col("attempt_no"))
-    runs = B.carried(counted, group, order, blk, maxima={"_last_ok": reset})
+    group, order = ["session_id"], ["ts", "attempt_id"]
+    runs = B.carried(attempts, group, order, number="attempt_no", sums={"total_time": F.col("duration")}, last={"_last_ok": ~fail})
     out = runs.withColumn("consecutive_failures", F.col("attempt_no") - F.coalesce("_last_ok", F.lit(0))).drop("_last_ok")
     return recent_count(out, group, "ts", window_s, fail, "recent_failures")
 
@@ -255,16 +251,16 @@ def motion_segments(
     base = motion.where("motion IS NOT NULL").select("video_id", "frame_idx", "motion")
     runs = block_fold(
         base, ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), ["frame_idx", "motion"], _run_step(limit),
-        "struct<run:bigint,n:bigint,total:double>", "run bigint",
+        "struct<run:bigint,n:bigint,total:double>", "run bigint", added=("n", "total"),
     )
     seg = runs.groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"), F.avg("motion").alias("avg_motion"))
-    seg = B.carried(seg, ["video_id"], ["run"], B.index_block("run", block), sums={"_upto": F.col("n")}, following={"_next": "run"})
+    seg = B.carried(seg, ["video_id"], ["run"], sums={"_upto": F.col("n")}, following={"_next": "run"})
     seg = seg.join(duration, "video_id")
     start = (F.col("_upto") - F.col("n")) * step_s
     end = F.when(F.col("_next").isNull(), F.col("duration_s")).otherwise(F.col("_upto") * step_s)
     seg = seg.withColumns({"start_s": start, "end_s": end})
     opens = F.when((F.col("end_s") - F.col("start_s") >= min_s) | (F.col("start_s") == 0), 1).otherwise(0)
-    part = B.carried(seg, ["video_id"], ["run"], B.index_block("run", block), number="_rn", sums={"_part": opens})
+    part = B.carried(seg, ["video_id"], ["run"], number="_rn", sums={"_part": opens})
     last = part.groupBy("video_id", "_part").agg(F.max("_rn").alias("_hi"), F.min("_rn").alias("_lo"))
     placed = part.join(last, ["video_id", "_part"])
     k = F.col("_hi") - F.col("_rn")
@@ -303,7 +299,7 @@ def dedup_frames(frames: DataFrame, threshold: float = 0.95, block: int = 1024)
     base = frames.select("video_id", "frame_idx", F.col("hist").cast("array<double>").alias("hist"), "show_ms")
     owned = block_fold(
         base, ["video_id"], ["frame_idx"], B.index_block("frame_idx", block), ["frame_idx", "hist"], _dedup_step(threshold),
-        "struct<kept:bigint,hist:array<double>>", "kept_idx bigint",
+        "struct<kept:bigint,hist:array<double>>", "kept_idx bigint", added=(),
     )
     return owned.groupBy("video_id", F.col("kept_idx").alias("frame_idx")).agg(
         F.sum("show_ms").alias("show_ms"), F.count(F.lit(1)).alias("frames")
@@ -329,7 +325,7 @@ def sample_overlap(samples: DataFrame, block_s: float = 600.0) -> DataFrame:
     base = samples.withColumn("_rank", S.lookup(F.col("sample_type"), SAMPLE_RANK, 0))
     slots = block_fold(
         base, ["video_id"], ["start_s", "sample_id"], B.by_value("start_s", block_s), ["sample_id", "start_s", "end_s", "_rank"], _overlap_step,
-        "struct<slot:bigint,end:double,rank:bigint>", "slot bigint",
+        "struct<slot:bigint,end:double,rank:bigint>", "slot bigint", added=(), latest=("end", "rank"),
     )
     row = F.struct(*samples.columns)
     kept = slots.where("slot IS NOT NULL").groupBy("video_id", "slot").agg(F.max_by(row, F.struct("start_s", "sample_id")).alias("_r"))

@@ -226,7 +226,7 @@ def _(spark, sf):
     points = V.v_points(spark, sf)
     cuts = points.where("is_keyframe").select("video_id", F.col("ts_s").alias("cut_s"), "point_id")
     assets = cuts.select("video_id").distinct().withColumn("duration_s", F.lit(1706745600.0))
-    scenes = W.scene_intervals(cuts, assets, min_s=0.0, block_s=86400.0).select("video_id", "start_s", "end_s")
+    scenes = W.scene_intervals(cuts, assets, min_s=0.0).select("video_id", "start_s", "end_s")
     return J.assign_scenes(points.select("point_id", "video_id", "ts_s"), scenes, bin_s=86400.0).select("point_id", "video_id", "ts_s", "start_s")
 
 

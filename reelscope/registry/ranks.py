@@ -51,7 +51,7 @@ KEYED = "SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts_s, point
     "v_points", keyed=KEYED,
 )
 def _(spark, sf):
-    return R.keyframes(V.v_points(spark, sf), 6, block_s=86400.0).select("video_id", "point_id", "ts_s")
+    return R.keyframes(V.v_points(spark, sf), 6).select("video_id", "point_id", "ts_s")
 
 
 @query(
@@ -64,7 +64,7 @@ def _(spark, sf):
     "v_points", "complexity", keyed=KEYED,
 )
 def _(spark, sf):
-    return R.critical_frames(V.v_points(spark, sf), 12, block_s=86400.0)
+    return R.critical_frames(V.v_points(spark, sf), 12)
 
 
 @query(
@@ -162,7 +162,7 @@ SCENE_SAMPLES = """SELECT video_id, point_id, sample_no, start_s + (sample_no +
     "v_points", "sample_start_s sample_end_s", 3, cuts=CUTS, scenes=SCENES, ss=SCENE_SAMPLES,
 )
 def _(spark, sf):
-    scenes = W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=0.0, block_s=86400.0)
+    scenes = W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=0.0)
     return G.scene_samples(scenes).select("video_id", "point_id", "sample_no", "sample_start_s", "sample_end_s")
 
 
@@ -217,7 +217,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tag = lambda df, kind, s, e: df.select(F.lit(kind).alias("kind"), F.col(s).alias("s"), F.col(e).alias("e"))
-    scenes = W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=0.0, block_s=86400.0)
+    scenes = W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=0.0)
     hot = V.v_points(spark, sf).where("complexity >= 0.6").withColumn("e", F.col("ts_s") + 3)
     every = R.all_samples(
         tag(G.temporal_samples(V.v_assets(spark, sf), every_s=7.0), "temporal", "start_s", "end_s"),
@@ -232,6 +232,6 @@ def _(spark, sf):
     "v_points", "avg_scene_s avg_spatial var_spatial", cuts=CUTS, scenes=SCENES,
 )
 def _(spark, sf):
-    scenes = W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=0.0, block_s=86400.0)
+    scenes = W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=0.0)
     s = scenes.select("video_id", "start_s", "end_s", (F.col("point_id") % 3 == 0).alias("is_critical"), (F.col("point_id") % 10).cast("double").alias("spatial"))
     return A.scene_stats(s)

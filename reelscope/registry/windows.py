@@ -105,7 +105,7 @@ def _(spark, sf):
     "v_points", "start_s end_s avg_complexity sample_end_s",
 )
 def _(spark, sf):
-    return W.regions(V.v_points(spark, sf), threshold=0.6, gap=43200.0, max_s=14400.0, block_s=86400.0)
+    return W.regions(V.v_points(spark, sf), threshold=0.6, gap=43200.0, max_s=14400.0)
 
 
 CUTS = "SELECT video_id, point_id, ts_s AS cut_s FROM v_points WHERE is_keyframe"
@@ -126,7 +126,7 @@ def ends(spark, sf):
     "v_points", "start_s end_s", cuts=CUTS,
 )
 def _(spark, sf):
-    return W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=3600.0, block_s=86400.0)
+    return W.scene_intervals(cuts(spark, sf), ends(spark, sf), min_s=3600.0)
 
 
 @query(
@@ -157,7 +157,7 @@ def samples(spark, sf):
     "v_points", "start_s duration_s end_s", 3, samples=SAMPLES,
 )
 def _(spark, sf):
-    return W.sample_budget(samples(spark, sf), 50000.0, block_s=86400.0)
+    return W.sample_budget(samples(spark, sf), 50000.0)
 
 
 @query(

@@ -44,9 +44,8 @@ STEP_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_qu
 
 
 def with_step(lines: DataFrame) -> DataFrame:
-    """Number the lines of an order, cutting a very large order along (line number, part)."""
-    block = F.col("l_linenumber").cast("bigint") * (1 << 40) + F.floor(F.col("l_partkey") / 4096)
-    return blocks.carried(lines, ["l_orderkey"], STEP_ORDER, block, number="step")
+    """Number the lines of an order."""
+    return blocks.carried(lines, ["l_orderkey"], STEP_ORDER, number="step")
 
 
 def v_encodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +113,7 @@ def v_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127.5))).cast("int")
     numbered = blocks.carried(
-        table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 4096), number="n"
+        table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"], number="n"
     )
     return (
         numbered.select(

@@ -109,7 +109,7 @@ def session_spans(events: DataFrame, gap_s: int, starts: Column, ends: Column) -
     """
     turns = events.withColumns({"_end": F.coalesce(ends, F.lit(False)), "_start": F.coalesce(starts, F.lit(False))})
     turns = turns.withColumn("_turn", F.col("_start").cast("bigint") + F.col("_end").cast("bigint"))
-    tagged = B.carried(turns, ["session_id"], ["ts", "op_id"], B.time_block("ts", 3600), sums={"_turns": F.col("_turn")})
+    tagged = B.carried(turns, ["session_id"], ["ts", "op_id"], sums={"_turns": F.col("_turn")})
     part = F.col("_turns") - F.col("_end").cast("bigint")
     slot = F.floor(F.unix_micros("ts") / (gap_s * 1_000_000))
     return tagged.groupBy("session_id", part.alias("part"), slot.alias("slot")).agg(
@@ -197,7 +197,7 @@ def quarantine(failed: DataFrame, existing: DataFrame, buckets: int = 64) -> Dat
     """
     spread = F.pmod(F.xxhash64("path"), F.lit(buckets))
     tagged = failed.withColumn("_h", spread)
-    numbered = B.carried(tagged, ["folder", "name"], ["_h", "path"], F.col("_h"), number="_n").drop("_h")
+    numbered = B.carried(tagged, ["folder", "name"], ["_h", "path"], number="_n").drop("_h")
     j = numbered.join(existing.select("folder", "name", "taken"), ["folder", "name"], "left")
     n = F.col("_n") - 1 + F.coalesce("taken", F.lit(0))
     stem, ext = F.regexp_replace("name", r"(.)\.[^.]*$", "$1"), F.regexp_extract("name", r".(\.[^.]*)$", 1)

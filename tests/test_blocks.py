@@ -152,3 +152,74 @@ def test_motion_segments_merge(spark):
     got = [(round(r.start_s, 3), round(r.end_s, 3), round(r.avg_motion, 6)) for r in
            W.motion_segments(df, F.lit(18.0), length, block=3).orderBy("start_s").collect()]
     assert got == [(0.0, 0.8, 0.26), (0.8, 1.8, 0.02), (1.8, 2.4, 0.9)]
+
+
+@pytest.mark.parametrize("group", [["g"], []])
+def test_carried_at_sampled_borders(spark, group):
+    """The hot group is cut (its rows exceed a share of the sample), null groups and keys are groups and keys."""
+    rnd = random.Random(8)
+    data = [(None if rnd.random() < 0.1 else 0 if rnd.random() < 0.7 else rnd.randrange(1, 300), None if i % 97 == 0 else rnd.randrange(700), i, float(rnd.randrange(100)), rnd.random() < 0.01) for i in range(4000)]
+    df = spark.createDataFrame(data, "g int, t long, id long, v double, ok boolean").withColumn("ts", F.timestamp_seconds(F.col("t") * 86400))
+    for order in (["ts", "id"], ["t", "id"]):
+        assert B.borders(df, group, order).count() > 8
+        got = B.carried(
+            df, group, order, number="n", sums={"s": F.col("v"), "z": F.when(F.col("ok"), F.col("v"))}, previous={"p": "id"}, following={"f": "id"},
+            maxima={"m": F.col("id")}, last={"l": F.col("ok")},
+        ).select("id", "n", "s", "z", "p", "f", "m", "l")
+        seen: dict = {}
+        want = []
+        for g, t, i, v, ok in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            at = seen.setdefault(g if group else 0, {"n": 0, "s": 0.0, "z": None, "p": None, "m": 0, "l": None, "rows": []})
+            at["n"], at["s"], at["m"] = at["n"] + 1, at["s"] + v, max(at["m"], i)
+            if ok:
+                at["z"], at["l"] = (at["z"] or 0.0) + v, at["n"]
+            row = [i, at["n"], at["s"], at["z"], at["p"], None, at["m"], at["l"]]
+            if at["rows"]:
+                at["rows"][-1][5] = i
+            at["rows"].append(row)
+            at["p"] = i
+            want.append(row)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want)
+
+
+def test_small_groups_are_not_cut(spark):
+    df = spark.range(3000).select((F.col("id") % 1000).alias("g"), "id")
+    assert B.borders(df, ["g"], ["id"]) is None
+    assert B.borders(df.limit(0), [], ["id"]) is None
+    assert B.carried(df.limit(0), ["g"], ["id"], number="n", previous={"p": "id"}).collect() == []
+    plan = B.carried(df, ["g"], ["id"], number="n", previous={"p": "id"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def still(rounds, monkeypatch):
+    real = folds.checkpointed
+    monkeypatch.setattr(folds, "checkpointed", lambda df: rounds.append(1) or real(df))
+
+
+@pytest.mark.parametrize("frames", [200, 3200])
+def test_still_videos_take_the_same_rounds_at_any_length(spark, monkeypatch, frames):
+    """Maps of blocks compose, so the number of rounds does not depend on the number of blocks."""
+    rounds = []
+    still(rounds, monkeypatch)
+    df = spark.createDataFrame([(v, i, 0.25) for v in (1, 2) for i in range(frames)], "video_id long, frame_idx long, motion double")
+    kinds = "struct<run:bigint,n:bigint,total:double>"
+    out = folds.block_fold(df, ["video_id"], ["frame_idx"], B.index_block("frame_idx", 10), ["frame_idx", "motion"], W._run_step(0.3), kinds, "run bigint", added=("n", "total"))
+    assert out.groupBy("video_id", "run").count().collect() and {r.run for r in out.collect()} == {0}
+    assert len(rounds) == 5  # rows, states, what changed, states, nothing changed
+
+
+@pytest.mark.parametrize("size,seed", [(2, 1), (5, 2), (16, 3)])
+def test_slow_drifts_match_a_loop(spark, size, seed):
+    """Means that creep over many blocks before they break: maps assumed at first are wrong, the result is not."""
+    rnd = random.Random(seed)
+    xs, x = [], 0.5
+    for i in range(240):
+        x = rnd.random() if rnd.random() < 0.03 else x + 0.012 * rnd.random()
+        xs.append(x)
+    df = spark.createDataFrame([(v, i, xs[i]) for v in (1, 2) for i in range(240)], "video_id long, frame_idx long, motion double")
+    out = folds.block_fold(
+        df, ["video_id"], ["frame_idx"], B.index_block("frame_idx", size), ["frame_idx", "motion"], W._run_step(0.2),
+        "struct<run:bigint,n:bigint,total:double>", "run bigint", added=("n", "total"),
+    )
+    want = greedy_runs(xs, 0.2)
+    assert all(r.run == want[r.frame_idx] for r in out.collect())
