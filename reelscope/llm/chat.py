@@ -3,7 +3,9 @@
 A message holds parts (kind, text, ref, tokens).  The visitor turns text parts into escaped text and image,
 audio and document parts into placeholders ``<|kind:turn.part|>`` in their order, and records what they
 refer to and how many tokens each stands for.  The template of a turn is
-``<|turn|>role<|body|>parts<|end|>``; roles and texts are escaped, so no control string in them is one.
+``<|turn|>role<|body|>parts<|end|>``; roles and texts are escaped, so no control string in them is one.  Text parts that
+follow one another are escaped as one text, as a control string may begin in one and end in the next; they
+share one loss span.
 """
 
 from __future__ import annotations
@@ -33,19 +35,34 @@ def text_part(text: Column) -> Column:
 
 
 def visited(parts: Column, turn: Column, loss: Column) -> Column:
-    """Each part as (s, loss): escaped text, or a placeholder; parts of other kinds and null parts are empty."""
+    """The parts as (s, loss): escaped text, or a placeholder; parts of other kinds and null parts are empty.
+
+    Neighbouring text parts (empty ones between them do not part them) become one piece.
+    """
+    blank = lambda kind: F.struct(F.lit(kind).alias("kind"), F.lit("").alias("s"))
+
     def one(p: Column, i: Column) -> Column:
-        media = p["kind"].isin(*MEDIA)
         mark = F.concat(F.lit("<|"), p["kind"], F.lit(":"), turn.cast("string"), F.lit("."), (i + 1).cast("string"), F.lit("|>"))
-        s = F.when(p["kind"] == "text", escaped(F.coalesce(p["text"], F.lit("")))).when(media, mark).otherwise("")
-        return F.struct(F.coalesce(s, F.lit("")).alias("s"), F.coalesce(loss & (p["kind"] == "text"), F.lit(False)).alias("loss"))
+        media = F.struct(F.lit("media").alias("kind"), mark.alias("s"))
+        text = F.struct(F.lit("text").alias("kind"), F.coalesce(p["text"], F.lit("")).alias("s"))
+        return F.when(p["kind"] == "text", text).when(p["kind"].isin(*MEDIA), media).otherwise(blank("none"))
+
+    said = F.filter(F.transform(parts, one), lambda p: p["kind"] != "none")
+    kind = "array<struct<kind:string,s:string>>"
+
+    def joined(acc: Column, p: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        merged = F.array(F.struct(F.lit("text").alias("kind"), F.concat(last["s"], p["s"]).alias("s")))
+        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), merged)
+        return F.when((F.size(acc) > 0) & (last["kind"] == "text") & (p["kind"] == "text"), grown).otherwise(F.concat(acc, F.array(p)))
 
-    return F.transform(parts, one)
+    runs = F.aggregate(said, F.array().cast(kind), joined)
+    return F.transform(runs, lambda p: F.struct(F.when(p["kind"] == "text", escaped(p["s"])).otherwise(p["s"]).alias("s"), F.coalesce(loss & (p["kind"] == "text"), F.lit(False)).alias("loss")))
 
 
 def formatted(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: Column | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (start from 0 and length, in code points, one per
-    text part of a learned role, in order), attachments (turn, part, kind, ref, tokens), expanded_tokens.
+    run of text parts of a learned role, in order), attachments (turn, part, kind, ref, tokens), expanded_tokens.
 
     Turns are ordered by (turn, role, parts): a null turn comes first, repeated rows are separate turns.  Null roles,
     texts and part lists are empty.  Null conversation ids form one conversation.  A conversation is one row, so
@@ -83,7 +100,7 @@ def read_back(output: DataFrame) -> DataFrame:
     """(conv_id, turns of (role, body), loss_text, formatted_chars) from formatted rows alone; bodies are unescaped, with placeholders."""
     def one(segment: Column) -> Column:
         halves = F.split(F.substring(segment, len(TURN) + 1, 2**31 - 1), r"<\|body\|>", 2)
-        return F.struct(unescaped(halves[0]).alias("role"), unescaped(halves[1]).alias("body"))
+        return F.struct(unescaped(F.get(halves, F.lit(0))).alias("role"), unescaped(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("body"))
 
     segments = F.split("formatted", r"<\|end\|>")
     whole = F.transform(F.slice(segments, F.lit(1), F.size(segments) - 1), one)
