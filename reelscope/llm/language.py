@@ -21,8 +21,12 @@ BUCKETS = 1 << 15
 BACKGROUND = "?"
 #: Of the background; with much more, texts in two languages of the model would be in none.
 MIXED = 0.1
-DROPPED = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b|http-equiv\s*=\s*[\"']?content-language[\"']?\s+content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
+#: What begins a piece of markup, what ends a script or style, and the two ways in which a tag declares a language.
+OPENS = re.compile(r"<(?:(!--)|(script|style)\b)?", re.IGNORECASE)
+CLOSES = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
+META = re.compile(r"http-equiv\s*=\s*[\"']?content-language[\"']?\s+content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
+HTML = re.compile(r"<html\b", re.IGNORECASE)
 #: Letters as they are, all other ASCII as one blank.
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[:128] = 32
@@ -35,7 +39,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     c = LETTERS[np.frombuffer(b"".join(parts), np.uint8)]
     owner = np.repeat(np.arange(len(parts)), sizes)
-    keep = np.r_[True, (c[1:] != 32) | (c[:-1] != 32)] if len(c) else np.zeros(0, bool)
+    keep = np.r_[True, (c[1:] != 32) | (c[:-1] != 32) | (owner[1:] != owner[:-1])] if len(c) else np.zeros(0, bool)
     c, owner = c[keep].astype(np.uint32), owner[keep]
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(len(parts), np.int64)
@@ -65,10 +69,12 @@ class TextModel:
         return out, sizes
 
 
-def fit_text_model(docs: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 20_000, least_share: float = 0.002, least_rows: int = 50) -> TextModel:
+def fit_text_model(docs: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = 20_000, least_share: float = 0.002, least_rows: int = 50, most: int = 64) -> TextModel:
     """Trigram counts of about ``sample_rows`` rows of every language, and a background for texts in none of them.
 
     A language is kept if it has ``least_rows`` rows; in a small table ``least_share`` of the rows with a language is enough.
+    At most ``most`` languages are, those with the most rows (equal ones by name): the model has 256 KB for each of them
+    and goes to every task, and a column of free text must not end the driver.  Texts of the others fall to the background.
     The background is a share MIXED of all sampled trigrams, the rest uniform: a text that no language explains better
     belongs to none.
     """
@@ -76,8 +82,9 @@ def fit_text_model(docs: DataFrame, lang: str = "lang", text: str = "text", samp
     rows = docs.where(named.isNotNull() & (named != "") & F.col(f"`{text}`").isNotNull()).select(named.alias("lang"), F.col(f"`{text}`").alias("text"))
     shares = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-shares")
     total = shares.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = {r.lang: r.n for r in shares.where(F.col("n") >= max(1.0, min(float(least_rows), least_share * total))).collect()}
-    languages = sorted(set(found) - {BACKGROUND})
+    enough = shares.where((F.col("n") >= max(1.0, min(float(least_rows), least_share * total))) & (F.col("lang") != BACKGROUND))
+    found = {r.lang: r.n for r in enough.orderBy(F.desc("n"), "lang").limit(most).collect()}
+    languages = sorted(found)
     if not languages:
         return TextModel(["und"], np.zeros((1, BUCKETS)))
     number = {name: i for i, name in enumerate(languages)}
@@ -105,8 +112,51 @@ def fit_text_model(docs: DataFrame, lang: str = "lang", text: str = "text", samp
     return TextModel([*languages, BACKGROUND], np.log(np.vstack([likely, MIXED * mean + (1 - MIXED) / BUCKETS])))
 
 
+def page_parts(html: str | None) -> tuple[str, str]:
+    """(text outside of markup, language that the first declaring tag names or an empty string) in one pass.
+
+    Scripts, styles and comments go with what they hold, other tags from ``<`` to ``>``.  What is opened and never closed is
+    a plain tag if a ``>`` follows at all, and text otherwise; each kind of ending is looked for only once where there is none.
+    """
+    html, at, out, said = html or "", 0, [], ""
+    never: set[str] = set()
+
+    def end(kind: str, start: int) -> int:
+        if kind in never:
+            return -1
+        if kind in CLOSES:
+            found = CLOSES[kind].search(html, start)
+            stop = found.end() if found else -1
+        else:
+            stop = html.find(kind, start)
+            stop = stop + len(kind) if stop >= 0 else -1
+        if stop < 0:
+            never.add(kind)
+        return stop
+
+    while opened := OPENS.search(html, at):
+        start = opened.start()
+        out.append(html[at:start])
+        kind = "-->" if opened[1] else (opened[2] or "").lower()
+        stop = end(kind, opened.end()) if kind else -1
+        if stop < 0 or kind in CLOSES:
+            closed = end(">", start)
+            if closed < 0:
+                out.append(html[start:])
+                return "".join(out), said
+            if not said:
+                tag = html[start:closed]
+                found = (LANG.search(tag) if HTML.match(tag) else None) or META.search(tag)
+                said = found[1].lower() if found else ""
+            stop = max(stop, closed)
+        out.append(" ")
+        at = stop
+    out.append(html[at:])
+    return "".join(out), said
+
+
 def page_text(html: str | None) -> str:
-    return DROPPED.sub(" ", html or "")
+    return page_parts(html)[0]
 
 
 def with_evidence(rows: DataFrame, model: TextModel, text: str, markup: bool, declared: Column | None, address: Column | None, host: Column | None, keep: list[str] | None) -> DataFrame:
@@ -122,10 +172,11 @@ def with_evidence(rows: DataFrame, model: TextModel, text: str, markup: bool, de
         fitted = shared.value
 
         def work(texts: list) -> dict[str, pa.Array]:
-            logs, sizes = fitted.evidence([page_text(t) for t in texts] if markup else texts)
+            parts = [page_parts(t) for t in texts] if markup else [(t, "") for t in texts]
+            logs, sizes = fitted.evidence([t for t, _ in parts])
             p = np.exp(logs - logs.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            said = [((m[1] or m[2]).lower() if t and (m := DECLARED.search(t)) else "") for t in texts] if markup else [""] * len(texts)
+            said = [lang for _, lang in parts]
             kind = pa.list_(pa.float64())
             return {"_n": pa.array(sizes, pa.int64()), "_log": pa.array(list(logs), kind), "_p": pa.array(list(p), kind), "_said": pa.array(said)}
 
