@@ -2,8 +2,8 @@
 
 The neighbour graph of a bounded sample is cut into balanced partitions; a small network learns to tell a
 vector's partition (its target: where its neighbours lie).  Every vector is stored in its most probable
-partition; a query goes to the most probable ones until they hold ``mass`` of its probability, and is
-compared exactly with all their vectors.
+partition; a query goes to the most probable ones until they hold ``mass`` of its probability and some times k rows,
+and is compared exactly with all their vectors.
 """
 
 from __future__ import annotations
@@ -23,13 +23,10 @@ CELL = 2048
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, v): distinct rows with an id whose vector has only finite components, not all zero, and the commonest length
-    (of equally common ones the largest).  All others take no part."""
+    """(id, v): distinct rows with an id whose vector has only finite components, not all zero.  All others take no part."""
     v = F.col(f"`{vector}`").cast("array<double>")
     fine = F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id_column}`").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = rows.where(F.size("v") == (size.d if size else 0))
     return rows.dropDuplicates(["id", "v"])
 
 
@@ -139,8 +136,9 @@ def fit_router(sample: np.ndarray, parts: int, k: int = 10, hidden: int = 128, e
     return router
 
 
-def routed(rows: DataFrame, router: Router, mass: float | None) -> DataFrame:
-    """Add ``parts``: the most probable partition, or with ``mass`` the most probable ones that together hold so much."""
+def routed(rows: DataFrame, router: Router, mass: float | None, held: dict[int, int] | None = None, least: int = 0) -> DataFrame:
+    """Add ``parts``: the most probable partition, or with ``mass`` the most probable ones that together hold so much of the
+    probability and, going by the rows that each has (``held``), at least ``least`` rows."""
     weights = rows.sparkSession.sparkContext.broadcast(router)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +153,8 @@ def routed(rows: DataFrame, router: Router, mass: float | None) -> DataFrame:
                 wanted = np.ones(len(p), np.int64)
             else:
                 wanted = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < mass).sum(axis=1) + 1
+                sizes = np.array([(held or {}).get(i, 0) for i in range(p.shape[1])])
+                wanted = np.maximum(wanted, (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1)
             lists = [o[:w].tolist() for o, w in zip(order, np.minimum(wanted, p.shape[1]))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
@@ -185,20 +185,36 @@ def search(
 
     ``sample_rows`` bounds what the router is fitted on; every usable row is indexed and every query searched.
     There is a partition per ``part_rows`` rows, at most ``most_parts``.  A row with the query's id is the
-    query's own.  Partitions are compared in cells of about CELL rows by CELL queries, so neither a crowded
+    query's own.  A query goes on to further partitions until they hold 4 k rows that are not its own, so it finds k
+    rows wherever there are so many.  Vectors of different lengths have no cosine; each length is searched by itself.
+    Partitions are compared in cells of about CELL rows by CELL queries, so neither a crowded
     partition nor a popular one lands in one task.  Scores are cosines in double precision; ties go to the
     smaller id.
     """
-    usable_rows = staged(usable(vectors, id_column, vector), "vectors")
-    total = usable_rows.count()
+    every = staged(usable(vectors, id_column, vector), "vectors")
+    lengths = every.groupBy(F.size("v").alias("d"), "id").count().groupBy("d").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    found = None
+    for row in sorted(lengths.collect()):  # a row for each length
+        here = every.where(F.size("v") == row.d)
+        part = _search(here, row.n, is_query, k, sample_rows, part_rows, most_parts, mass, 4 * k + row.most)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return every.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    return found
+
+
+def _search(usable_rows: DataFrame, total: int, is_query, k: int, sample_rows: int, part_rows: int, most_parts: int, mass: float, least: int) -> DataFrame:
+    """``search`` among vectors of one length."""
     sample = usable_rows.where(hash_share(sample_rows, total, "id", "v")).select("v").toPandas()
     points = np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, 1))
     router = fit_router(points, min(most_parts, -(-total // part_rows)))
     rows = staged(routed(usable_rows, router, None).select("id", "v", F.col("parts")[0].alias("part")), "indexed")
-    asked = routed(usable_rows.where(is_query(F.col("id"))), router, mass)
+    sizes = lambda df: {r.part: r.n for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = lambda held: {part: -(-n // CELL) for part, n in held.items()}
+    held = sizes(rows)
+    asked = routed(usable_rows.where(is_query(F.col("id"))), router, mass, held, least)
     queries = staged(asked.select("id", "v", F.xxhash64("v").alias("h"), F.explode("parts").alias("part")), "routed")
-    cells = lambda df: {r.part: -(-r.n // CELL) for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    row_cells, query_cells = cells(rows), cells(queries)
+    row_cells, query_cells = cells(held), cells(sizes(queries))
     number = lambda counts: F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(counts.items()) for x in kv])[F.col("part")], F.lit(1)) if counts else F.lit(1)
     deal = lambda counts: F.pmod(F.xxhash64("id", "v"), number(counts)).cast("int")
     spread = lambda counts: F.explode(F.sequence(F.lit(0), (number(counts) - 1).cast("int")))
