@@ -40,7 +40,6 @@ HOT = 4096
 P = np.uint64(0x9E3779B97F4A7C15)
 Q = np.uint64(0xC2B2AE3D27D4EB4F)
 SIEVE_BITS = 23
-BITS = 1024
 INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
 #: A random number per byte (A-Z as a-z), and what parts words.
 LETTER = np.random.default_rng(13).integers(1, 1 << 63, 256, np.uint64)
@@ -236,13 +235,15 @@ def frequent_tokens(source: DataFrame, words: int, frequent: int = FREQUENT, mos
     return Order(rows["token"].to_numpy(np.int64).view(np.uint64), 1 + rows["very"].to_numpy(bool))
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """For each of BITS places whether an odd number of tokens falls there.
+def parities(tokens: np.ndarray, size: int) -> np.ndarray:
+    """For each of at least 2 * size places whether an odd number of tokens falls there, in longs.
 
-    Sets whose parities differ in d places differ in d tokens at least.
+    Sets whose parities differ in d places differ in d tokens at least.  The longs are a power of two, and the place is
+    the token's hash modulo their bits, so parities of fewer places are those of more, folded.
     """
-    odd = np.bincount((tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    bits = 64 * max(4, 1 << max(0, (size - 1) // 32).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def keyed(words: int, share: tuple[int, int], order):
@@ -260,7 +261,7 @@ def keyed(words: int, share: tuple[int, int], order):
             return {
                 "fp": pa.array([digest(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()),
                 "rare": pa.array([int((c == 0).sum()) for c in classes], pa.int64()),
-                "odd": longs([parities(s) for s in sets]), "odd_frequent": longs([parities(s[c > 0]) for s, c in zip(sets, classes)]),
+                "odd": longs([parities(s, len(s)) for s in sets]), "odd_frequent": longs([parities(s[c > 0], len(s)) for s, c in zip(sets, classes)]),
                 "rare_keys": longs([a for a, _ in keys]), "frequent_keys": longs([b for _, b in keys]),
             }
 
@@ -301,9 +302,17 @@ def salted(name: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("salt"), F.col(name)), F.lit(SALTS)).cast("int")
 
 
+def folded(odd: Column, longs: Column) -> Column:
+    """Parities of ``longs`` longs from those of as many or more."""
+    xor = lambda acc, x: acc.bitwiseXOR(x)
+    one = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.floor(F.size(odd) / longs).cast("int") - 1), lambda j: F.get(odd, i + j * longs)), F.lit(0).cast("bigint"), xor)
+    return F.when(F.size(odd) == longs, odd).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), one))
+
+
 def differing(a: Column, b: Column) -> Column:
-    """In how many places two parities differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d).cast("bigint")
+    """In how many places two parities differ, taken to the fewer places of both."""
+    longs = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, longs), folded(b, longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d).cast("bigint")
 
 
 def may_differ(differ: Column, total: Column, share: tuple[int, int]) -> Column:

@@ -165,3 +165,17 @@ def test_linked_sets_share_a_key(size, missing, share, frequent, seed):
         assert len(np.intersect1d(first[0], second[0])) or len(np.intersect1d(first[1], second[1]))
         if len(first[1]) and len(second[1]):  # all rare tokens are keys then
             assert set(pool[a][classes[a] == 0]) <= set(first[0]) and set(pool[b][classes[b] == 0]) <= set(second[0])
+
+
+def test_parities_never_differ_in_more_places_than_sets_in_tokens(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], []
+    for i in range(200):
+        n = int(rng.integers(0, 900))
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.r_[a[int(rng.integers(0, 9)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 200)), np.uint64)])
+        rows.append((i, jaccard.parities(a, len(a)).tolist(), jaccard.parities(b, len(b)).tolist()))
+        want.append(len(np.setxor1d(a, b)))
+    frame = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    for r in frame.select("i", jaccard.differing(frame.a, frame.b).alias("d"), jaccard.differing(frame.b, frame.a).alias("e")).collect():
+        assert r.d == r.e and r.d <= want[r.i] and (want[r.i] - r.d) % 2 == 0 and (r.d > 0.2 * want[r.i] or want[r.i] < 4)
