@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelscope.functions import scalars as S
-from reelscope.operators import frames as FR, joins as J
+from reelscope.operators import assets as A, frames as FR, joins as J
 from reelscope.registry.base import query
 from reelscope.registry.sqlviews import _pick, _q
 from reelscope.sources import dims, stores, views as V
@@ -141,7 +141,7 @@ def hashes(spark, sf):
 
 
 @query(
-    "similar_assets",
+    "similar_frames",
     """SELECT a.bits AS bits_a, b.bits AS bits_b, a.n AS copies_a, b.n AS copies_b, 1 - hamming(a.bits, b.bits) / 64.0e0 AS similarity
       FROM g a JOIN g b ON a.bits < b.bits AND hamming(a.bits, b.bits) <= 16
     UNION ALL SELECT bits, bits, n, n, 1.0e0 FROM g WHERE n > 1""",
@@ -158,6 +158,69 @@ def _(spark, sf):
     )
 
 
+def clips(spark, sf):
+    """Eight frames of a video are an asset; requests are re-encoded clips that begin four frames later."""
+    frames = V.v_frames(spark, sf)
+    number = lambda shift: (F.col("video_id") + 10 * F.floor((F.col("frame_idx") + shift) / 8)).cast("bigint")
+    coarse = frames.withColumn("pixels", F.transform("pixels", lambda x: (F.floor(x / 4) * 4).cast("int")))
+    held = FR.average_hash(frames).select(number(0).alias("asset_id"), "hash")
+    return FR.average_hash(coarse).select(number(4).alias("request_id"), "hash"), held
+
+
+def clip_results(spark, sf):
+    """Attempts as cached results of the asset with the same number; slow presets expire a month on."""
+    expires = F.when(F.col("preset") == "slow", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
+    return V.v_encodes(spark, sf).select("asset_id", (F.col("job_id") * 1000 + F.col("step")).alias("result_id"), "ts", expires.alias("expires_at"), "vmaf", "ssim")
+
+
+CLIP_BITS = "list_reduce(list_transform({0}, lambda x: CASE WHEN x > list_avg({0}) THEN '1' ELSE '0' END), lambda a, b: a || b)"
+CLIPS = dict(
+    held=f"SELECT DISTINCT video_id + 10 * (frame_idx // 8) AS asset_id, {CLIP_BITS.format('pixels')} AS bits FROM v_frames",
+    asked=f"SELECT DISTINCT video_id + 10 * ((frame_idx + 4) // 8) AS request_id, {CLIP_BITS.format('p4')} AS bits FROM (SELECT *, list_transform(pixels, lambda x: (x // 4) * 4) AS p4 FROM v_frames)",
+    held_sets="SELECT asset_id, list_sort(list(bits)) AS s FROM held GROUP BY asset_id",
+    asked_sets="SELECT request_id, list_sort(list(bits)) AS s FROM asked GROUP BY request_id",
+    c="SELECT min(asset_id) AS asset_id, count(*) AS copies, s FROM held_sets GROUP BY s",
+    r="SELECT min(request_id) AS request_id, count(*) AS request_copies, s FROM asked_sets GROUP BY s",
+    near="SELECT DISTINCT a.request_id, a.bits, h.asset_id FROM asked a JOIN held h ON hamming(a.bits, h.bits) <= 3",
+    found="""SELECT request_id, request_copies, asset_id, copies, count(*) AS votes, max(len(r.s)) AS frames, count(*) / max(len(r.s))::DOUBLE AS similarity
+      FROM near JOIN r USING (request_id) JOIN c USING (asset_id) GROUP BY request_id, request_copies, asset_id, copies HAVING count(*) >= 0.5 * max(len(r.s))""",
+)
+
+
+@query("similar_assets", "SELECT * FROM found", "v_frames", "similarity", **CLIPS)
+def _(spark, sf):
+    return A.similar(*clips(spark, sf), threshold=0.5)
+
+
+ATTACHED = """SELECT f.*, n.result_id, n.vmaf, n.ssim FROM found f JOIN (
+    SELECT class_id, arg_max({result_id: result_id, vmaf: vmaf, ssim: ssim}, (ts, result_id)) AS x FROM (
+      SELECT k.asset_id AS class_id, e.job_id * 1000 + e.step AS result_id, e.ts, e.vmaf, e.ssim FROM v_encodes e JOIN held_sets m ON m.asset_id = e.asset_id JOIN c k ON k.s = m.s
+      WHERE e.preset <> 'slow' OR e.ts + INTERVAL 30 DAY > TIMESTAMP '1997-01-01') GROUP BY class_id) g ON g.class_id = f.asset_id, LATERAL (SELECT x.result_id, x.vmaf, x.ssim) n"""
+
+
+def attached(spark, sf):
+    asked, held = clips(spark, sf)
+    return A.cached_results(A.similar(asked, held, threshold=0.5), held, clip_results(spark, sf), F.lit("1997-01-01").cast("timestamp"))
+
+
+@query("similar_results", "SELECT * FROM attached", "v_frames v_encodes", "similarity vmaf ssim", **CLIPS, attached=ATTACHED)
+def _(spark, sf):
+    return attached(spark, sf)
+
+
+@query(
+    "cached_quality",
+    """SELECT request_id, results, vmaf, ssim, least(0.9, results * 0.15 + top * 0.5)::DOUBLE AS confidence FROM (
+      SELECT request_id, max(results) AS results, sum(vmaf * similarity) / sum(CASE WHEN vmaf IS NOT NULL THEN similarity END) AS vmaf,
+        sum(ssim * similarity) / sum(CASE WHEN ssim IS NOT NULL THEN similarity END) AS ssim, max(similarity) AS top
+      FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, asset_id) AS k, count(*) OVER (PARTITION BY request_id) AS results FROM attached)
+      WHERE k <= 5 GROUP BY request_id) WHERE results >= 2 AND (vmaf IS NOT NULL OR ssim IS NOT NULL)""",
+    "v_frames v_encodes", "vmaf ssim confidence", **CLIPS, attached=ATTACHED,
+)
+def _(spark, sf):
+    return A.predicted_quality(attached(spark, sf))
+
+
 def history(spark, sf):
     return V.v_encodes(spark, sf).join(V.v_assets(spark, sf), "asset_id").select(
         (F.col("job_id") * 1000 + F.col("step")).alias("history_id"), "ts", S.pixels(F.col("width"), F.col("height")).alias("pixels"),
