@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reelscope.functions import scalars as S
 from reelscope.operators import aggregates as A, blocks as B
@@ -183,6 +183,25 @@ def build_report(sessions: DataFrame, ops: DataFrame, lookups: DataFrame, now: C
     })
 
 
+def report_rows(report: DataFrame, items: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The numbers of a report as rows: report_ts, section, item, metric, value (null numbers have no row).
+
+    ``items``: the sections wanted, each with the fields that name an item (none for a section that is one struct); they are
+    joined by ``/``.  Fields that are neither numbers nor booleans name nothing and are left out.
+    """
+    parts = None
+    for section, names in items.items():
+        kind = report.schema[section].dataType
+        rows = report.select("report_ts", F.explode(section).alias("r") if isinstance(kind, T.ArrayType) else F.col(section).alias("r"))
+        fields = kind.elementType.fields if isinstance(kind, T.ArrayType) else kind.fields
+        numbers = [f.name for f in fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col("r")[n].cast("double").alias("value")) for n in numbers])
+        item = F.concat_ws("/", *[F.col("r")[n].cast("string") for n in names]) if names else F.lit(None).cast("string")
+        flat = rows.select("report_ts", F.lit(section).alias("section"), item.alias("item"), F.explode(pairs).alias("p")).select("report_ts", "section", "item", "p.metric", "p.value")
+        parts = flat if parts is None else parts.unionByName(flat)
+    return parts.where(F.col("value").isNotNull())
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("append").json(path)
 

@@ -23,14 +23,17 @@ def _(spark, sf):
     return A.op_stats(V.v_ops(spark, sf))
 
 
-@query(
-    "session_summary",
-    """SELECT count(*) AS total_sessions, count(*) FILTER (success) AS successful_sessions, 100.0e0 * count(*) FILTER (success) / count(*) AS success_rate,
+SESSION_SUMMARY = """SELECT count(*) AS total_sessions, count(*) FILTER (success) AS successful_sessions, 100.0e0 * count(*) FILTER (success) / count(*) AS success_rate,
       avg(duration) FILTER (success AND duration <> 0) AS avg_duration, coalesce(stddev_samp(duration) FILTER (success AND duration <> 0), 0) AS std_duration,
       min(duration) FILTER (success AND duration <> 0) AS min_duration, max(duration) FILTER (success AND duration <> 0) AS max_duration,
       avg(final_mb / target_mb * 100) FILTER (success AND final_mb <> 0) AS avg_utilisation, min(final_mb / target_mb * 100) FILTER (success AND final_mb <> 0) AS min_utilisation,
       max(final_mb / target_mb * 100) FILTER (success AND final_mb <> 0) AS max_utilisation, median(duration) FILTER (success AND duration <> 0) AS median_duration
-    FROM v_sessions""",
+    FROM v_sessions"""
+
+
+@query(
+    "session_summary",
+    SESSION_SUMMARY,
     "v_sessions",
     "success_rate avg_duration std_duration min_duration max_duration avg_utilisation min_utilisation max_utilisation median_duration",
 )

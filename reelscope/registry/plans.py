@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelscope.functions import scalars as S
 from reelscope.operators import aggregates as A, windows as W
 from reelscope.plans import content as C, gates as Q, ladders as L, planning as P, predict as PR, reports as R, router as RT
-from reelscope.registry.aggregates import LOOKUP_STATS, LOOKUPS, OP_STATS, lookups
+from reelscope.registry.aggregates import LOOKUP_STATS, LOOKUPS, OP_STATS, SESSION_SUMMARY, lookups
 from reelscope.registry.base import query
 from reelscope.registry.joins import HISTORY, NEIGHBOURS, history
 from reelscope.registry.scalars import LEVEL, MIB
@@ -644,26 +644,54 @@ def _(spark, sf):
     return R.recommend(found(spark, sf)).select("kind", "op_name", "severity", "advice", "expected_impact")
 
 
-@query(
-    "potential",
-    """SELECT reliability_gain, memory_saved_mb, bottlenecks, critical, least(s, 3.0e0) AS speedup, CASE WHEN s > 2 OR reliability_gain > 30 OR memory_saved_mb > 300 THEN 'high' WHEN s > 1.5e0 OR reliability_gain > 15 OR memory_saved_mb > 150 THEN 'medium' WHEN s > 1.2e0 OR reliability_gain > 5 OR memory_saved_mb > 50 THEN 'low' ELSE 'minimal' END AS overall
+POTENTIAL = """SELECT reliability_gain, memory_saved_mb, bottlenecks, critical, least(s, 3.0e0) AS speedup, CASE WHEN s > 2 OR reliability_gain > 30 OR memory_saved_mb > 300 THEN 'high' WHEN s > 1.5e0 OR reliability_gain > 15 OR memory_saved_mb > 150 THEN 'medium' WHEN s > 1.2e0 OR reliability_gain > 5 OR memory_saved_mb > 50 THEN 'low' ELSE 'minimal' END AS overall
     FROM (SELECT coalesce(product(CASE WHEN kind = 'slow_operation' AND metric > 60 THEN 1.5e0 WHEN kind = 'slow_operation' AND metric > 30 THEN 1.3e0 WHEN kind = 'poor_cache_performance' AND metric < 30 THEN 2.0e0 END), 1) AS s,
       coalesce(max(CASE WHEN kind = 'high_failure_rate' THEN greatest(0.0e0, least(95 - metric, 50.0e0)) END), 0) AS reliability_gain, coalesce(max(CASE WHEN kind = 'high_memory_usage' THEN least(metric * 0.5e0, 500.0e0) END), 0) AS memory_saved_mb,
-      count(*) AS bottlenecks, count(*) FILTER (severity = 'critical') AS critical FROM found)""",
+      count(*) AS bottlenecks, count(*) FILTER (severity = 'critical') AS critical FROM found)"""
+
+
+@query(
+    "potential",
+    POTENTIAL,
     "v_ops", "reliability_gain memory_saved_mb speedup", **REPORT,
 )
 def _(spark, sf):
     return R.potential(found(spark, sf))
 
 
-@query("report_export")
-def _(spark, sf):
+def whole_report(spark, sf):
     now = F.lit("2024-01-31").cast("timestamp")
     sessions = V.v_sessions(spark, sf).withColumn("start_ts", F.col("start_ts") + F.expr("INTERVAL 24 YEARS"))
-    report = R.build_report(sessions, report_ops(spark, sf), inverted_lookups(spark, sf), now)
+    return R.build_report(sessions, report_ops(spark, sf), inverted_lookups(spark, sf), now)
+
+
+@query("report_export")
+def _(spark, sf):
+    report = whole_report(spark, sf)
     return report.select(F.to_json(F.struct(*report.columns)).alias("report"))
 
 
+@query(
+    "report_rows",
+    """SELECT section, item, metric, value FROM (
+      SELECT 'summary' AS section, NULL::VARCHAR AS item, metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM summary) ON * INTO NAME metric VALUE value)
+      UNION ALL SELECT 'daily', item, metric, value FROM (UNPIVOT (SELECT item, COLUMNS(* EXCLUDE (item))::DOUBLE FROM daily) ON COLUMNS(* EXCLUDE (item)) INTO NAME metric VALUE value)
+      UNION ALL SELECT 'platforms', item, metric, value FROM (UNPIVOT (SELECT item, COLUMNS(* EXCLUDE (item))::DOUBLE FROM platforms) ON COLUMNS(* EXCLUDE (item)) INTO NAME metric VALUE value)
+      UNION ALL SELECT 'bottlenecks', concat_ws('/', kind, op_name), 'metric', metric FROM found
+      UNION ALL SELECT 'potential', NULL, metric, value FROM (UNPIVOT (SELECT COLUMNS(* EXCLUDE (overall))::DOUBLE FROM potential) ON * INTO NAME metric VALUE value))
+    WHERE value IS NOT NULL""",
+    "v_ops v_sessions", "value", **REPORT, summary=SESSION_SUMMARY, potential=POTENTIAL,
+    daily="""SELECT CAST(CAST(start_ts + INTERVAL 24 YEAR AS DATE) AS VARCHAR) AS item, count(*) AS sessions, coalesce(avg(nullif(duration, 0)), 0) AS avg_duration, coalesce(sum(duration), 0) AS total_time,
+      100.0e0 * count(*) FILTER (success) / count(*) AS success_rate FROM v_sessions WHERE success GROUP BY 1""",
+    platforms="""SELECT coalesce(platform, 'unknown') AS item, count(*) AS sessions, coalesce(avg(nullif(duration, 0)), 0) AS avg_duration,
+      coalesce(avg(CASE WHEN final_mb <> 0 AND target_mb > 0 THEN final_mb / target_mb * 100 END), 0) AS avg_utilisation, 100.0e0 * count(*) FILTER (success) / count(*) AS success_rate
+      FROM v_sessions WHERE success GROUP BY 1""",
+)
+def _(spark, sf):
+    items = {"summary": (), "daily": ("day",), "platforms": ("platform",), "bottlenecks": ("kind", "op_name"), "potential": ()}
+    return R.report_rows(whole_report(spark, sf), items).drop("report_ts")
+
+
 ROUTE_NEAR = dict(**DEC, runs=RUNS.format(us=60 * 1000000))
 
 
