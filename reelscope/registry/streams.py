@@ -159,7 +159,9 @@ def _(spark, sf):
         pick(F.col("k"), *METRICS).alias("metric"), F.col("event_id").alias("seq"), (F.col("k") % 4).alias("amount"),
         F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("label"),
     )
-    return run_keyed(spark, ST.ring(events), "ring", ["metric"])
+    path = scratch(spark, "recent")
+    sinks.run_available(events, f"{path}-checkpoint", ST.recent_folder(path))
+    return ST.recent_events(spark, path).select("metric", "total", F.reverse(F.transform("recent", lambda r: r["label"])).alias("recent"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.window import Window
 
 from reelscope.functions import constants as K
 from reelscope.operators import blocks as B, joins as J
@@ -73,13 +74,54 @@ def limiter(attempts: DataFrame, **limits) -> DataFrame:
 
 
 def ring(events: DataFrame, keep: int = 20) -> DataFrame:
-    """Events (metric, seq, label, amount) to a running counter and the last ``keep`` labels per metric."""
+    """Events (metric, seq, label, amount) to a running counter and the last ``keep`` labels per metric, as keyed state.
+
+    A metric goes through one task; ``recent_folder`` deals a busy one over pieces.
+    """
     need_rocksdb(events.sparkSession)
     return events.groupBy("metric").transformWithStateInPandas(
         statefulProcessor=P.RecentEvents(keep), outputStructType="metric string, total long, recent array<string>", outputMode="Update", timeMode="None",
     )
 
 
+RECENT = "metric string, total long, recent array<struct<seq:long,label:string>>"
+
+
+def recent_folder(path: str, keep: int = 20, salts: int = 32):
+    """Batch handler: events (metric, seq, label, amount) to a running total and the last ``keep`` labels per metric, in ``path``.
+
+    Amounts below 0 and null count as 0.  A metric may hold most of the stream: sums are merged before the shuffle, and the last events are taken among (metric, piece)
+    first, so what meets in one task is ``salts`` times ``keep`` rows.  An epoch writes the metrics it has seen, from the newest
+    rows of the epochs before it, so an epoch that is run again gives the same rows.
+    """
+    newest = lambda *by: F.row_number().over(Window.partitionBy("metric", *by).orderBy(F.desc_nulls_last("seq"), F.desc_nulls_last("label")))
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        dealt = batch.withColumn("_piece", F.pmod(F.xxhash64("seq", "label"), F.lit(salts)))
+        some = dealt.withColumn("_n", newest("_piece")).where(F.col("_n") <= keep)
+        last = some.withColumn("_n", newest()).where(F.col("_n") <= keep).groupBy("metric").agg(F.collect_list(F.struct("seq", "label")).alias("recent"))
+        seen = batch.groupBy("metric").agg(F.coalesce(F.sum(F.greatest("amount", F.lit(0))), F.lit(0)).cast("long").alias("total")).join(last.withColumnRenamed("metric", "_m"), F.col("metric").eqNullSafe(F.col("_m"))).drop("_m")
+        if epoch > 0:
+            old = recent_events(spark, path, before=epoch)
+            old = old.select(F.col("metric").alias("_m"), F.col("total").alias("_total"), F.col("recent").alias("_recent"))
+            seen = seen.join(old, F.col("metric").eqNullSafe(F.col("_m")), "left")
+            both = F.slice(F.sort_array(F.concat("recent", F.coalesce("_recent", F.array())), asc=False), 1, keep)
+            seen = seen.select("metric", (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"), both.alias("recent"))
+        sinks.epoch_writer(path)(seen.withColumn("recent", F.sort_array("recent", asc=False)), epoch)
+
+    return handle
+
+
+def recent_events(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(metric, total, recent: newest first) as of the last epoch, or as of the epochs before one."""
+    rows = spark.read.schema(f"{RECENT}, {sinks.EPOCH} long").option("basePath", path).parquet(f"{path}/{sinks.EPOCH}=*")
+    if before is not None:
+        rows = rows.where(F.col(sinks.EPOCH) < before)
+    last = rows.groupBy("metric").agg(F.max_by(F.struct("total", "recent"), sinks.EPOCH).alias("_r"))
+    return last.select("metric", "_r.total", "_r.recent")
+
+
 def _with_watermark(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withWatermark(ts, delay) if df.isStreaming else df
 

@@ -143,3 +143,25 @@ def test_one_file_per_trigger_gives_the_same_table(spark, sf_dir, tmp_path, monk
     got = query(spark, str(tmp_path))
     approx = lambda rows: [__import__("re").sub(r"(\d+\.\d{6})\d+", r"\1", r) for r in rows]
     assert approx(key(got)) == approx(key(want))
+
+
+def test_recent_events_merge_over_epochs(spark, folder):
+    """Out of order over three epochs, one metric most of the rows; a replayed epoch changes nothing."""
+    import random
+
+    rng = random.Random(4)
+    data = [(None if rng.random() < 0.05 else "hot" if rng.random() < 0.7 else f"m{rng.randrange(3)}", i, f"l{i}", rng.choice([None, -2, 1, 3])) for i in range(600)]
+    rng.shuffle(data)
+    kind, src, out = "metric string, seq long, label string, amount long", f"{folder}/in", f"{folder}/out"
+    for part in range(3):
+        write(spark, src, data[part * 200 : part * 200 + 200], kind, f"p{part}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(src)
+        sinks.run_available(stream, f"{folder}/ck", ST.recent_folder(out, keep=7, salts=3))
+    ST.recent_folder(out, keep=7, salts=3)(spark.createDataFrame(data[400:], kind), 2)
+    want = {}
+    for metric, seq, label, amount in sorted(data, key=lambda r: -r[1]):
+        at = want.setdefault(metric, [0, []])
+        at[0] += max(amount or 0, 0)
+        at[1] = (at[1] + [(seq, label)])[:7]
+    got = {r.metric: [r.total, [(x.seq, x.label) for x in r.recent]] for r in ST.recent_events(spark, out).collect()}
+    assert got == want
