@@ -64,14 +64,20 @@ def borders(df: DataFrame, group: list[str], order: list[str]) -> DataFrame | No
     cut = cut.where((F.size("_os") >= 2 * SHARE) & ~F.col("_whole"))
     step = F.greatest(F.lit(SHARE), F.ceil(F.size("_os") / MOST_BLOCKS).cast("int"))
     inner = F.filter(F.array_distinct(F.filter("_os", lambda o, i: (i > 0) & (i % step == 0))), lambda o: o.isNotNull())
-    ends = F.concat(F.array(F.lit(None).cast(keys.schema["_o"].dataType)), F.col("_in"))
+    ends = F.concat(F.array(F.lit(None).cast(_key_type(keys))), F.col("_in"))
     table = cut.select(*group, inner.alias("_in")).select(*group, F.posexplode(F.arrays_zip(ends.alias("lo"), F.col("_in").alias("hi"))).alias(BLOCK, "_b"))
-    found = table.select(*group, F.col(BLOCK).cast("bigint").alias(BLOCK), F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi")).toArrow()
+    low, high = (F.col(f"_b.{end}").cast(_key_type(keys)).alias(f"_{end}") for end in ("lo", "hi"))
+    found = table.select(*group, F.col(BLOCK).cast("bigint").alias(BLOCK), low, high).toArrow()
     return spark.createDataFrame(found, schema=_schema(df, group, keys)) if found.num_rows else None
 
 
+def _key_type(keys: DataFrame) -> T.StructType:
+    """Type of a border, whose fields may be null even where the order keys never are: the first and last end are open."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in keys.schema["_o"].dataType.fields])
+
+
 def _schema(df: DataFrame, group: list[str], keys: DataFrame) -> T.StructType:
-    kind = keys.schema["_o"].dataType
+    kind = _key_type(keys)
     fields = [T.StructField(c, df.schema[c].dataType) for c in group]
     return T.StructType([*fields, T.StructField(BLOCK, T.LongType()), T.StructField("_lo", kind), T.StructField("_hi", kind)])
 

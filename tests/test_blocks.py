@@ -223,3 +223,12 @@ def test_slow_drifts_match_a_loop(spark, size, seed):
     )
     want = greedy_runs(xs, 0.2)
     assert all(r.run == want[r.frame_idx] for r in out.collect())
+
+
+@pytest.mark.parametrize("group", [["g"], []])
+def test_cut_groups_with_order_keys_that_are_never_null(spark, group):
+    df = spark.range(20000).select(F.lit(1).alias("g"), F.coalesce("id", F.lit(0)).alias("t"), (F.col("id") % 7).alias("v"))
+    assert not df.schema["t"].nullable and B.borders(df, group, ["t"]).count() > 1
+    got = B.carried(df, group, ["t"], number="n", sums={"s": F.col("v")}, previous={"p": "v"})
+    assert got.where((F.col("n") != F.col("t") + 1) | (F.coalesce("p", F.lit(-1)) != F.when(F.col("t") > 0, (F.col("t") - 1) % 7).otherwise(-1))).isEmpty()
+    assert got.agg(F.max("s")).first()[0] == sum(i % 7 for i in range(20000))
