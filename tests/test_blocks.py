@@ -232,3 +232,11 @@ def test_cut_groups_with_order_keys_that_are_never_null(spark, group):
     got = B.carried(df, group, ["t"], number="n", sums={"s": F.col("v")}, previous={"p": "v"})
     assert got.where((F.col("n") != F.col("t") + 1) | (F.coalesce("p", F.lit(-1)) != F.when(F.col("t") > 0, (F.col("t") - 1) % 7).otherwise(-1))).isEmpty()
     assert got.agg(F.max("s")).first()[0] == sum(i % 7 for i in range(20000))
+
+
+def test_lru_evict_with_very_many_rows_of_one_time(spark):
+    """The rows of the one time at the limit are ordered by a key that is never null, and cut."""
+    cache = spark.range(20000).select(F.md5(F.col("id").cast("string")).alias("cache_key"), F.lit(1.0).alias("data_size"), F.lit(7).alias("last_accessed"))
+    assert not cache.schema["cache_key"].nullable
+    got = {r.cache_key for r in W.lru_evict(cache, 1000.0).select("cache_key").collect()}
+    assert got == {r.cache_key for r in cache.orderBy("cache_key").limit(20000 - 800).collect()}
