@@ -19,6 +19,10 @@ from reelscope.sources.views import pick
 # ------------------------------------------------------------------ ladders
 
 
+def spread_assets(spark, sf):
+    return V.spread(content_assets(spark, sf), "asset_id")
+
+
 def content_assets(spark, sf):
     return V.v_assets(spark, sf).withColumns({
         "spatial": F.col("complexity"), "noise": (F.col("asset_id") % 9).cast("double"), "stability": (F.col("asset_id") % 7 + 3).cast("double"),
@@ -54,7 +58,7 @@ def _cut(c):
 
 @query("ladder", f"SELECT * REPLACE ({_cut('est_mb')}) FROM (SELECT {COLS} FROM opts)", "v_assets", "quality efficiency", 9, **LADDER)
 def _(spark, sf):
-    return micro(L.ladder(content_assets(spark, sf)), "est_mb")
+    return micro(L.ladder(spread_assets(spark, sf)), "est_mb")
 
 
 @query("ladder_top8", f"SELECT * REPLACE ({_cut('est_mb')}, {_cut('size_over_smallest')}) FROM (SELECT {COLS}, rank, quality_loss, size_over_smallest FROM top)", "v_assets",
@@ -71,9 +75,8 @@ def _(spark, sf):
     "v_assets", **LADDER, top=TOP,
 )
 def _(spark, sf):
-    a = content_assets(spark, sf)
-    parts = [L.pick(a, s).select(F.lit(s).alias("strategy"), "asset_id", "option_no") for s in ("maximize_quality", "minimize_size", "balanced")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = L.picks(spread_assets(spark, sf), ("maximize_quality", "minimize_size", "balanced"))
+    return found.select("strategy", "asset_id", "option_no")
 
 
 def _when(test, code):
@@ -97,8 +100,8 @@ TIER = lambda m: "CASE tier " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.
     "v_assets", **LADDER,
 )
 def _(spark, sf):
-    a = content_assets(spark, sf)
-    opts = L.with_options(a).select("asset_id", "target_mb", "content_type", F.explode("options").alias("o")).select("asset_id", "target_mb", "content_type", "o.*")
+    a = spread_assets(spark, sf)
+    opts = L.option_rows(a, "asset_id", "target_mb", "content_type")
     return L.with_recommendations(L.with_pros_cons(opts)).select("asset_id", "option_no", "level", "pros", "cons")
 
 
@@ -197,7 +200,7 @@ DEC = dict(chars=CHARS, pred=PRED, history=HISTORY, near=NEAR, decision=DECISION
 @query("predict_decision", "SELECT asset_id, similar_results, confidence, skip, eval_cost_s, risk_factors FROM decision", "v_assets v_encodes",
        "confidence eval_cost_s", 9, **DEC)
 def _(spark, sf):
-    out = PR.predict_decision(chars(spark, sf), history(spark, sf), threshold=0.7)
+    out = PR.predict_decision(V.spread(chars(spark, sf), "asset_id"), history(spark, sf), threshold=0.7)
     return out.select("asset_id", "similar_results", "confidence", "skip", "eval_cost_s", "risk_factors")
 
 
@@ -713,6 +716,6 @@ def _(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session_id"), (F.col("o_orderkey") % last).alias("asset_id"))
     requests = o.join(assets.select("asset_id", "duration_s", "height"), "asset_id")
     state = RT.limiter_state(W.failure_runs(V.v_attempts(spark, sf)))
-    pred = PR.predict_decision(chars(spark, sf), history(spark, sf), threshold=0.7).select(
+    pred = PR.predict_decision(V.spread(chars(spark, sf), "asset_id"), history(spark, sf), threshold=0.7).select(
         "asset_id", "pred_vmaf", "pred_ssim", "confidence", "skip", "eval_cost_s", "risk_factors")
     return RT.route_evals(requests, state, pred)

@@ -89,3 +89,12 @@ def test_cache_notices(spark):
                                   "kind string, op_name string, severity string, metric double, n long, variability double, max_memory double")
     kinds = [r.kind for r in R.recommend(found, lookups=df.where("total_lookups = 21")).collect()]
     assert "cache_optimization" in kinds and "poor_cache_performance" in kinds
+
+
+def test_heavy_work_on_small_tables_is_spread(spark, sf_dir):
+    """A small file is one task, so what costs much per row is dealt over the cores; options are chosen within the row."""
+    for name in ("ladder", "ladder_quality", "pick_option"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf_dir)), name
+    assert "lambda" not in plan(QUERIES["ladder"](spark, sf_dir))
+    text = plan(QUERIES["pick_option"](spark, sf_dir))
+    assert "Join" not in text and "Aggregate" not in text
