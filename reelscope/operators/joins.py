@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import floor
+from math import comb, floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelscope.functions import constants as K, scalars as S
+from reelscope.session import checkpointed
 from reelscope.sources import files
 
 
@@ -137,18 +138,67 @@ def similar_hashes(groups: DataFrame, threshold: float = 0.8, agree: int = 1, bi
     )
 
 
+#: Hashes of one side that a task compares with those of another at a time.
+FACED = 1 << 14
+
+
+def similar_everywhere(groups: DataFrame, threshold: float, bits: int = 64) -> DataFrame:
+    """As ``similar_hashes``, for thresholds at which its pieces tell too little apart: all pairs are compared.
+
+    The hashes are dealt over blocks of some ``FACED``, each pair of blocks is one group of rows, and a task compares a group
+    in slices, so its memory is fixed.  The number of comparisons is the square of the number of distinct hashes.
+    """
+    import numpy as np
+    import pandas as pd
+
+    d = floor(bits * (1 - threshold) + 1e-9)
+    count = F.greatest(F.lit(1), F.ceil(groups.agg(F.count(F.lit(1)).alias("n")).scalar() / FACED)).cast("int")
+    dealt = groups.select("hash", "copies", "first_asset").withColumn("_n", count)
+    dealt = dealt.withColumn("_at", F.pmod(F.xxhash64("hash"), F.col("_n")).cast("int"))
+    met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    met = met.select("hash", "copies", "first_asset", "_at", F.least("_at", "_with").alias("_lo"), F.greatest("_at", "_with").alias("_hi"))
+    met = met.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism, "_lo", "_hi")
+    names = [f"{c}_{side}" for c in ("hash", "copies", "first_asset") for side in "ab"]
+
+    def compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["_at"] == key[0]].reset_index(drop=True)
+        right = left if key[0] == key[1] else pdf[pdf["_at"] == key[1]].reset_index(drop=True)
+        x, y = left["hash"].to_numpy(np.int64), right["hash"].to_numpy(np.int64)
+        found = []
+        for start in range(0, len(x), 128):
+            apart = np.bitwise_count((x[start : start + 128, None] ^ y[None, :]).view(np.uint64))
+            i, j = np.divmod(np.flatnonzero(apart <= d), len(y))
+            near = np.column_stack([i + start, j, apart[i, j]])
+            found.append(near[x[near[:, 0]] < y[near[:, 1]]] if key[0] == key[1] else near)
+        i, j, apart = np.concatenate(found).T if found else np.zeros((3, 0), int)
+        swapped = x[i] > y[j]
+        out = {"differ": apart.astype(np.int64)}
+        for c in ("hash", "copies", "first_asset"):
+            a, b = left[c].to_numpy()[i], right[c].to_numpy()[j]
+            out[f"{c}_a"], out[f"{c}_b"] = np.where(swapped, b, a), np.where(swapped, a, b)
+        return pd.DataFrame(out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    schema = "differ bigint, " + ", ".join(f"{n} {kinds[n[:-2]]}" for n in names)
+    near = met.groupBy("_lo", "_hi").applyInPandas(compared, schema)
+    return near.select(*names, (1 - F.col("differ") / float(bits)).alias("similarity"))
+
+
 def similar_assets(hashes: DataFrame, threshold: float = 0.8, agree: int = 1) -> DataFrame:
     """Similar groups of assets: pairs of distinct hashes, plus one row per hash shared by copies.
 
     Equal copies are reported as one row (similarity 1) with their number, never as all pairs;
     the members of a hash are the rows of ``hashes`` with that value.
     """
-    groups = hash_groups(hashes)
+    groups = checkpointed(hash_groups(hashes))  # read several times
+    pieces = floor(64 * (1 - threshold) + 1e-9) + agree
+    telling = comb(pieces, agree) / 2 ** (64 / pieces * agree)  # the share of all pairs that meet in some combination of pieces
+    find = similar_everywhere(groups.where("hash IS NOT NULL"), threshold) if telling > 0.25 else similar_hashes(groups, threshold, agree)
     equal = groups.where("copies > 1").select(
         F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"),
         F.col("first_asset").alias("first_asset_a"), F.col("first_asset").alias("first_asset_b"), F.lit(1.0).alias("similarity"),
     )
-    return similar_hashes(groups, threshold, agree).unionByName(equal)
+    return find.unionByName(equal)
 
 
 # ---------------------------------------------------------------- history and sessions

@@ -283,3 +283,14 @@ def test_lru_evict_brute_force(spark, limit):
             want.add(key)
             removed += size
     assert {r.cache_key for r in W.lru_evict(df, limit).collect()} == want
+
+
+def test_similar_hashes_at_a_low_threshold_make_no_row_per_candidate(spark):
+    """At 0.75 the pieces have under four bits, so more candidates than pairs would meet in a join."""
+    df = spark.range(3000).select(F.col("id").alias("asset_id"), F.xxhash64("id").alias("hash")).cache()
+    found = J.similar_assets(df, 0.75)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = df.select(F.col("hash").alias("a")).crossJoin(df.select(F.col("hash").alias("b"))).where("a < b AND bit_count(a ^ b) <= 16")
+    want = sorted((r.a, r.b) for r in plain.collect())
+    assert want and sorted((r.hash_a, r.hash_b) for r in found.collect()) == want
+    assert found.where("round((1 - similarity) * 64) != bit_count(hash_a ^ hash_b)").isEmpty()
