@@ -221,15 +221,16 @@ def length_check(pairs: DataFrame) -> DataFrame:
 
 def sanitize(name: Column, fallback: str = "segments_summary", limit: int = 180) -> Column:
     """A file-system-safe base name."""
-    ends = lambda c, chars: F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
-    text = ends(F.coalesce(name, F.lit("")), r"\s")
-    text = F.when(text == "", F.lit(fallback)).otherwise(text)
+    # Each step uses the one before once (a text named twice is cleaned twice), and a run that does not end the text is tried at its start only.
+    tail = lambda c, chars: F.regexp_replace(c, rf"(?<![{chars}])[{chars}]++\z", "")
+    ends = lambda c, chars: tail(F.regexp_replace(c, f"^[{chars}]+", ""), chars)
+    given = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(fallback))
+    text = given(ends(F.coalesce(name, F.lit("")), r"\s"))
     text = F.regexp_replace(text, r"[\x00-\x1f]", "")
     text = F.regexp_replace(text, r'[<>:"/\\|?*]|[^\x00-\x7f]', "_")
-    text = ends(ends(text, r"\s"), "._ ")
-    text = F.when(text == "", F.lit(fallback)).otherwise(text)
-    cut = F.regexp_replace(F.substring(text, 1, limit), r"[._ ]+$", "")
-    return F.when(F.length(text) > limit, F.coalesce(F.nullif(cut, F.lit("")), F.lit(fallback))).otherwise(text)
+    text = given(ends(ends(text, r"\s"), "._ "))
+    cut = lambda t: F.when(F.length(t) > limit, given(tail(F.substring(t, 1, limit), "._ "))).otherwise(t)
+    return F.get(F.transform(F.array(text), cut), F.lit(0))
 
 
 def summary_name(folder: Column) -> Column:
