@@ -57,8 +57,12 @@ def quality_gate(results: DataFrame, mode: str = "conservative", vmaf_min: float
 
 
 def listed(flags: dict[str, Column]) -> Column:
-    """Names of the flags that hold, in their given order."""
-    return F.array_except(F.array(*[F.when(test, F.lit(name)) for name, test in flags.items()]), F.array(F.lit(None).cast("string")))
+    """Names of the flags that hold, in their given order.
+
+    The filter also keeps many rules apart: Spark writes rules that follow each other into one method, and the JVM never
+    compiles a method of more than 8,000 bytes, so ``failure_analysis`` as one method is interpreted, some four times slower.
+    """
+    return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in flags.items()]), lambda name: name.isNotNull())
 
 
 def yes(test: Column) -> Column:
