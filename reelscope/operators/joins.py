@@ -235,12 +235,48 @@ def neighbours(assets: DataFrame, history: DataFrame, key: str = "asset_id", new
     return near.select(key, F.col("_r.history_id").alias("history_id"), "similarity")
 
 
+def close_counts(held: list[tuple], above: float):
+    """Task-side function: columns of traits to the number of ``held`` rows closer than ``above``, as ``closeness`` has it for doubles."""
+
+    def counted(*columns):
+        import numpy as np
+        import pyarrow as pa
+
+        missing = [c.is_null().to_numpy(zero_copy_only=False)[:, None] for c in columns]
+        values = [c.to_numpy(zero_copy_only=False).astype(float)[:, None] for c in columns]
+        theirs = [np.array([np.nan if r[i] is None else r[i] for r in held], float)[None, :] for i in range(len(TRAITS))]
+        unknown = [np.array([r[i] is None for r in held], bool)[None, :] for i in range(len(TRAITS))]
+        out = np.zeros(len(columns[0]), np.int64)
+        for at in range(0, len(out) if held else 0, 1024):
+            here = slice(at, at + 1024)
+            total, counts = 0.0, True
+            with np.errstate(all="ignore"):
+                for i, name in enumerate(TRAITS):
+                    x, y, null = values[i][here], theirs[i], missing[i][here] | unknown[i]
+                    apart = np.abs(x - y)
+                    if name in ("complexity", "motion"):
+                        counts = counts & ~null
+                    else:
+                        top = np.maximum(x, y)
+                        apart = np.where(null | (top == 0), 0.0, apart / top)
+                    total = total + (1 - apart)
+                near = total / 5
+            out[here] = (counts & ((near > above) | np.isnan(near))).sum(axis=1)  # Spark has NaN above every number
+        return pa.array(out)
+
+    return counted
+
+
 def with_neighbour_count(assets: DataFrame, history: DataFrame, newest: int = 100, above: float = 0.7) -> DataFrame:
-    """Assets plus ``similar_results``, the number of close history rows, counted within the row: nothing is shuffled."""
-    held = assets.withColumn("_h", newest_history(history, newest).scalar())
-    mine = {t: F.col(t) for t in TRAITS}
-    near = F.filter("_h", lambda r: closeness(mine, {t: r[t] for t in TRAITS}) > above)
-    return held.withColumn("similar_results", F.coalesce(F.size(near), F.lit(0)).cast("bigint")).drop("_h")
+    """Assets plus ``similar_results``, the number of close history rows.
+
+    The history's traits (at most ``newest`` rows, by definition) are read when the plan is built and go along with the
+    function; assets are compared in column batches, neither shuffled nor joined.
+    """
+    rows = history.orderBy(F.col("ts").desc(), F.col("history_id").desc()).limit(newest)
+    held = [tuple(r) for r in rows.select(*[F.col(t).cast("double").alias(t) for t in TRAITS]).collect()]
+    count = F.arrow_udf(close_counts(held, above), "bigint")
+    return assets.withColumn("similar_results", count(*[F.col(t).cast("double") for t in TRAITS]))
 
 
 LEAF_BITS = 16
