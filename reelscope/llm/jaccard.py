@@ -146,7 +146,17 @@ def levels(size: int, share: tuple[int, int]) -> range:
     return range(needed(size, share).bit_length() - 1, size.bit_length())
 
 
-def level_keys(tokens: np.ndarray, classes: np.ndarray, missing: int, level: int) -> list[np.ndarray]:
+def parts_of(level: int, k: int, share: tuple[int, int]) -> int:
+    """Into how many parts a class of combinations of ``k`` is cut at a level.
+
+    The more parts, the fewer combinations each holds; but each costs k - 1 tokens, and what the parts of both classes cost
+    must leave more tokens than a linked set can lack: 3/8 of the set from a share of 1/2 on, 1/8 below.
+    """
+    fine = 2 * share[0] >= share[1]
+    return max(1, (1 << level) >> (3 if fine else k + 2))
+
+
+def level_keys(tokens: np.ndarray, classes: np.ndarray, missing: int, level: int, share: tuple[int, int]) -> list[np.ndarray]:
     """Keys of a set at one level: single rare tokens, then combinations in the parts of the frequent classes.
 
     ``missing``: how many tokens of the set a linked one can lack.  ``tokens`` stand in the order of hashes.  A set with
@@ -162,7 +172,7 @@ def level_keys(tokens: np.ndarray, classes: np.ndarray, missing: int, level: int
             out.append(here[:left])
             left -= len(out[-1])
         elif len(here):
-            parts = ((here * Q) >> np.uint64(33)) % np.uint64(max(1, (1 << level) >> (k + 2)))
+            parts = ((here * Q) >> np.uint64(33)) % np.uint64(parts_of(level, k, share))
             by_part = np.argsort(parts, kind="stable")
             first = np.r_[True, np.diff(parts[by_part].astype(np.int64)) != 0]
             rank = np.empty(len(here), np.int64)
@@ -187,7 +197,7 @@ def prefix_keys(tokens: np.ndarray, classes: np.ndarray, share: tuple[int, int])
     if not len(tokens):
         return tokens, tokens
     missing = len(tokens) - needed(len(tokens), share)
-    found = [level_keys(tokens, classes, missing, level) for level in levels(len(tokens), share)]
+    found = [level_keys(tokens, classes, missing, level, share) for level in levels(len(tokens), share)]
     frequent = [k for keys in found for k in keys[1:]]
     return found[0][0], np.unique(np.concatenate(frequent)) if frequent else tokens[:0]
 
