@@ -23,8 +23,11 @@ def qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
-    return simhash.representatives(docs, find=partial(jaccard.near_copies, words=5, share=(4, 5), empty_alike=True))
+    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays.
+
+    SimHash blocks find the closest copies; the exact join begins with what they link and finds the rest.
+    """
+    return simhash.representatives(docs, find=partial(jaccard.near_copies, words=5, share=(4, 5), empty_alike=True, simhash_first=True))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelscope.llm.common import SALTS, map_texts, matched, slices, staged
-from reelscope.llm.simhash import components, named
+from reelscope.llm.simhash import close_pairs, components, fingerprint_texts, named
 
 #: Tokens counted together in a task, and the most frequent tokens the classes hold (4 MB of hashes).
 COUNTED, MOST_FREQUENT = 4_000_000, 1 << 19
@@ -256,12 +256,13 @@ def parities(tokens: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def keyed(words: int, share: tuple[int, int], order):
-    """Task-side function: texts to the digests, sizes, numbers of rare tokens, parities and index keys of their sets."""
+def keyed(words: int, share: tuple[int, int], order, prints: bool = False):
+    """Task-side function: texts to the digests, sizes, numbers of rare tokens, parities and index keys of their sets (and SimHash fingerprints)."""
 
     def make():
         known = order.value
         sieve = known.sieve()
+        printed = fingerprint_texts(words) if prints else None
 
         def work(column: pa.Array) -> dict[str, pa.Array]:
             sets = shingle_sets(column, words)
@@ -273,6 +274,7 @@ def keyed(words: int, share: tuple[int, int], order):
                 "rare": pa.array([int((c == 0).sum()) for c in classes], pa.int64()),
                 "odd": longs([parities(s, len(s)) for s in sets]), "odd_frequent": longs([parities(s[c > 0], len(s)) for s, c in zip(sets, classes)]),
                 "rare_keys": longs([a for a, _ in keys]), "frequent_keys": longs([b for _, b in keys]),
+                **({"print": printed(column.to_pylist())["fp"]} if prints else {}),
             }
 
         return work
@@ -395,9 +397,11 @@ def left_over(live: DataFrame, tops: DataFrame, share: tuple[int, int]) -> DataF
     return wanted.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct()
 
 
-def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int], rounds: int = 8) -> DataFrame:
+def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int], rounds: int = 8, hints: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that span the components of the join; all of them verified.
 
+    ``hints``: pairs (u, v) that are compared first; nodes that they link begin the rounds in one cluster.
+
     ``index``: (key, frequent, fp); ``nodes``: (fp, size, rare, odd, odd_frequent).  Keys of the same nodes
     are one.  Sets that share no rare token differ in the rare tokens of both, and in their frequent ones at least
     by as much as their distances to the pivot differ (parities obey the triangle inequality).  Pairs that do share one meet on
@@ -411,11 +415,16 @@ def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int],
     marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")]
     kept = shared.groupBy("key").agg(F.min("frequent").alias("frequent"), *marks).groupBy("n", "x", "y", "frequent").agg(F.min("key").alias("key"))
     kept = staged(kept.groupBy("key").agg(F.max("n").alias("n")), "jaccard-distinct-keys")
-    live = matched(dealt(shared, kept), nodes.select("fp", "size", "rare"), ["fp"])
-    live = live.select("key", "frequent", "fp", "size", "rare", F.col("fp").alias("label"), F.lit(False).alias("met"), F.lit(0).cast("bigint").alias("away"))
+    found = before = None
+    known = nodes.select("fp", "size", "rare", F.col("fp").alias("label"))
+    if hints is not None:
+        hopeful = compared(hints, nodes).where(may_differ(F.col("apart"), F.col("total"), share))
+        found = staged(verified(hopeful, sets_for, share), "jaccard-links")
+        known = nodes.select("fp", "size", "rare").join(labelled(found, nodes), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    live = matched(dealt(shared, kept), known, ["fp"])
+    live = live.select("key", "frequent", "fp", "size", "rare", "label", F.lit(False).alias("met"), F.lit(0).cast("bigint").alias("away"))
     live = staged(live, "jaccard-live")
     linear = 2 * live.count()
-    found = before = None
     while True:
         counts = live.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         tops = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.count(F.lit(1)).alias("labels"))
@@ -456,7 +465,7 @@ def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int],
 
 def near_copies(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, share: tuple[int, int] = (85, 100), empty_alike: bool = False,
-    frequent: int = FREQUENT, most: int = MOST_FREQUENT,
+    frequent: int = FREQUENT, most: int = MOST_FREQUENT, simhash_first: bool = False,
 ) -> DataFrame:
     """(id, fp, n_shingles, component): one row per row of ``docs``; component is the smallest id reachable over links.
 
@@ -464,14 +473,17 @@ def near_copies(
     or with the others of its kind if ``empty_alike``.  Repeated rows stay and are linked (empty ones with the same id
     have the same component either way); a null id keeps its row and names a component only where there is no other
     id.  Extra columns are not read.  An empty table gives an empty result.
+
+    ``simhash_first``: texts whose SimHash fingerprints agree on two of four blocks and are within two bits are compared
+    first; what they link is a cluster when the rounds begin.  The result is the same.
     """
     source = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     order = source.sparkSession.sparkContext.broadcast(frequent_tokens(source, words, frequent, most))
     lists = ("odd", "odd_frequent", "rare_keys", "frequent_keys")
-    added = "fp bigint, size bigint, rare bigint, " + ", ".join(f"{c} array<bigint>" for c in lists)
-    prints = map_texts(source, "text", keyed(words, share, order), added, keep=["id"], arrow=True)
+    added = "fp bigint, size bigint, rare bigint, " + ", ".join(f"{c} array<bigint>" for c in lists) + (", print bigint" if simhash_first else "")
+    prints = map_texts(source, "text", keyed(words, share, order, simhash_first), added, keep=["id"], arrow=True)
     prints = staged(prints.withColumn("_salt", salted("id")), "jaccard-prints")
-    firsts = [F.first(c).alias(c) for c in ("size", "rare", *lists)]
+    firsts = [F.first(c).alias(c) for c in ("size", "rare", *lists, *["print"] * simhash_first)]
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), *firsts), "jaccard-nodes")
     keys = lambda name, frequent: nodes.select(F.explode(name).alias("key"), F.lit(frequent).alias("frequent"), "fp")
     index = keys("rare_keys", False).unionByName(keys("frequent_keys", True))
@@ -482,7 +494,8 @@ def near_copies(
         sets = map_texts(texts, "text", lambda: sets_of(words), "fp bigint, tokens array<bigint>", keep=[], arrow=True)
         return matched(sets, wanted, ["fp"], "left_semi").dropDuplicates(["fp"])
 
-    found = links(index, nodes.select("fp", "size", "rare", "odd", "odd_frequent"), sets_for, share)
+    hints = close_pairs(nodes.select(F.col("fp").alias("id"), F.col("print").alias("fp"))) if simhash_first else None
+    found = links(index, nodes.select("fp", "size", "rare", "odd", "odd_frequent"), sets_for, share, hints=hints)
     out = named(prints, nodes, components(found))
     sized = matched(out.withColumn("_salt", salted("id")), prints.select("fp", "_salt", "size").distinct(), ["fp", "_salt"]).drop("_salt")
     component = F.col("component") if empty_alike else F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component"))

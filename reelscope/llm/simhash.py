@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reelscope.llm.common import map_texts, matched, salt, staged
+from reelscope.llm.common import map_texts, matched, per_group, salt, staged
 from reelscope.session import checkpointed
 
 BLOCKS = 4
@@ -99,6 +99,20 @@ def crowded_links(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("us").alias("u"), "v").where("u > v").distinct()
 
 
+def close_pairs(prints: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
+    """Pairs (u, v) of ids that join the rows of ``prints`` (id, fp) whose fingerprints are within ``distance`` bits of each other.
+
+    Rows of one fingerprint are paired with that of the smallest id only, fingerprints as ``links`` joins them.
+    """
+    least = F.min("id").alias("least")
+    nodes = staged(prints.groupBy("fp").agg(least), "simhash-nodes")
+    of = lambda name: nodes.select(F.col("fp").alias(f"_{name}"), F.col("least").alias(name))
+    edges = links(nodes.select("fp"), distance, crowd).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    near = matched(matched(edges, of("u"), ["_u"]), of("v"), ["_v"]).select("u", "v")
+    same = per_group(prints, ["fp"], ["id"], [least]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    return near.unionByName(same)
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 

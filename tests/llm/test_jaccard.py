@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 
-from reelscope.llm import jaccard, queries  # noqa: E402
+from reelscope.llm import jaccard, queries, simhash  # noqa: E402
 
 
 def shingle_set(text, words):
@@ -189,3 +189,46 @@ def test_a_set_of_frequent_tokens_has_few_keys(size, rare):
     for k in (1, 2):
         classes = np.where(rng.permutation(size) < rare, 0, k).astype(np.int8)
         assert len(jaccard.prefix_keys(tokens, classes, (4, 5))[1]) <= 1.6 * size
+
+
+def test_simhash_blocks_find_the_first_links(spark, monkeypatch):
+    """The pipeline's near copies pass through the blocks of fingerprints, and the exact join gives the same result as without them."""
+    called = []
+    keys = simhash.block_keys
+    monkeypatch.setattr(simhash, "block_keys", lambda fp: called.append(1) or keys(fp))
+    rng = random.Random(4)
+    rows = [t for _ in range(12) for t in edited(rng, rng.randrange(200, 700), 5)] + list(star(rng, 80, 5)) + ["", None, "one two", "ONE two", "one " * 40]
+    compared(spark, list(enumerate(rows)), 5, (4, 5), empty_alike=True, simhash_first=True)
+    assert called
+    called.clear()
+    docs = spark.createDataFrame([(2, rows[0]), (5, rows[0] + " more"), (7, "quite another text of several words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [2, 7]
+    assert called
+
+
+def test_close_pairs_against_brute_force(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(63) for _ in range(40)]
+    for base in list(prints):
+        for n in (0, 1, 2, 3, 4):
+            prints.append(base ^ sum(1 << b for b in rng.sample(range(63), n)))
+    rows = list(enumerate(prints))
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def groups(pairs):
+        for i in root:
+            root[i] = i
+        for i, j in pairs:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i, _ in rows]
+
+    want = groups([(i, j) for i, a in rows for j, b in rows[:i] if (a ^ b).bit_count() <= 2])
+    for crowd in (64, 1):
+        got = simhash.close_pairs(spark.createDataFrame(rows, "id long, fp long"), crowd=crowd).collect()
+        assert groups([(r.u, r.v) for r in got]) == want
