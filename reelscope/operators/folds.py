@@ -8,7 +8,7 @@ Blocks run again from the entry found, all in parallel; where that shows another
 blocks are repeated.  At the end every block began with the state that the scan gives it, which is the sequential
 result (sums of doubles may differ in their last bits).  The first blocks run from nothing, so a still video of any length
 takes two passes; decisions that hang together over very many blocks in a way that no map foresees are walked in spans of consecutive blocks
-that grow fourfold from the second repetition on.  The rows are kept once in slim form, and the table of block states is checkpointed.
+that grow fourfold from the second repetition on.  The rows are kept once in slim form, and the table of block states is stored after each round.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reelscope.operators.blocks import BLOCK, borders, carried
-from reelscope.session import checkpointed
+from reelscope.session import stored as checkpointed  # kept as files; see there
 
 #: Number of a run of consecutive blocks that one task walks through.
 SPAN = "_span"
