@@ -64,7 +64,8 @@ def stored(df):
     A checkpointed table keeps statistics and constraints of its plan; in a loop that derives each table from the one
     before it, single tasks over few rows took longer from round to round.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    folder = df.sparkSession.sparkContext.getCheckpointDir() or shared_folder(df.sparkSession)
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
