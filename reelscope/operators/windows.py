@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from reelscope.functions import scalars as S
 from reelscope.operators import blocks as B
+from reelscope.session import stored
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -110,19 +111,20 @@ def lru_evict(cache: DataFrame, limit: float, keep: float = 0.8) -> DataFrame:
     Rows go, oldest first and by key within one time, until what is removed reaches
     total - keep*limit.  Sizes are summed per access time; the running sum over those times finds
     the one time at which the target is reached.  Everything older goes by a plain filter, and only
-    the rows of that time are ordered, in blocks along their key where they are many.
+    the rows of that time are ordered, in blocks along their key where they are many.  The sums, the time
+    found and its rows are kept in the shared folder, so the cache is read three times.
     """
-    total = cache.agg(F.coalesce(F.sum("data_size"), F.lit(0.0)).alias("t")).scalar()
-    per_time = cache.groupBy("last_accessed").agg(F.sum("data_size").alias("_s"))
+    per_time = stored(cache.groupBy("last_accessed").agg(F.sum("data_size").alias("_s")))
+    total = per_time.agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("t")).scalar()
     run = B.carried(per_time, [], ["last_accessed"], sums={"_run": F.col("_s")})
     need = F.when(F.col("_total") > limit, F.col("_total") - float(int(limit * keep))).otherwise(0.0)
     reached = run.withColumn("_total", total).withColumn("_before", F.col("_run") - F.col("_s")).where(F.col("_before") < need)
     last = F.max_by(F.struct("last_accessed", "_before", need.alias("_need")), "last_accessed")
-    cut = reached.agg(last.alias("_c")).scalar()
+    cut = stored(reached.agg(last.alias("_c"))).scalar()
     marked = cache.withColumn("_c", cut)
     older = marked.where(F.col("last_accessed") < F.col("_c.last_accessed")).drop("_c")
-    at_cut = marked.where(F.col("last_accessed") == F.col("_c.last_accessed"))
-    ordered = B.carried(at_cut, [], ["cache_key"], sums={"_run": F.col("data_size")})
+    at_cut = stored(marked.where(F.col("last_accessed") == F.col("_c.last_accessed")).drop("_c"))
+    ordered = B.carried(at_cut, [], ["cache_key"], sums={"_run": F.col("data_size")}).withColumn("_c", cut)
     rest = ordered.where(F.col("_c._before") + F.col("_run") - F.col("data_size") < F.col("_c._need"))
     return older.unionByName(rest.select(*cache.columns))
 

@@ -148,7 +148,8 @@ def v_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "step",
         "l_extendedprice", "l_shipdate", "l_returnflag", "l_linenumber",
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    # Orders grow with the lines, but their keys pack so well that Spark takes them for small and would broadcast them all through the driver.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").hint("merge")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).select(
         F.md5(F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("step").cast("string"))).alias("cache_key"),
         F.col("l_extendedprice").alias("data_size"),
