@@ -37,6 +37,8 @@ FREQUENT = 32
 SMALL = 32
 #: Keys shared by more nodes than this are dealt over pieces when they are joined.
 HOT = 4096
+#: Up to this many pairs are sent to the tasks that hold the sets and texts they ask for; beyond it both sides are shuffled.
+FEW = 1 << 16
 P = np.uint64(0x9E3779B97F4A7C15)
 Q = np.uint64(0xC2B2AE3D27D4EB4F)
 SIEVE_BITS = 23
@@ -333,12 +335,17 @@ def may_differ(differ: Column, total: Column, share: tuple[int, int]) -> Column:
     return differ * (p + q) <= (q - p) * total
 
 
-def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def by_number(rows: int):
+    """How a table of so many rows is best joined with a larger one: it is sent to where the other's rows are if it has at most FEW."""
+    return F.broadcast if rows <= FEW else lambda df: df
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, sent=by_number(FEW + 1)) -> DataFrame:
     """``pairs`` (u, v, ...) with ``apart`` and ``apart_frequent``: tokens, and frequent tokens, they differ in at least, and ``total``, their tokens."""
     of = lambda name: nodes.select(F.col("fp").alias(name), F.struct("size", "odd", "odd_frequent").alias(f"_{name}"))
     pairs = pairs.withColumn("_salt", salted("u"))
-    pieces = matched(pairs.select("v", "_salt").distinct(), of("v"), ["v"])
-    met = matched(matched(pairs, of("u"), ["u"]), pieces, ["v", "_salt"])
+    pieces = matched(of("v"), sent(pairs.select("v", "_salt").distinct()), ["v"])
+    met = matched(matched(of("u"), sent(pairs), ["u"]), pieces, ["v", "_salt"])
     return met.select(
         *[c for c in pairs.columns if c != "_salt"], (F.col("_u.size") + F.col("_v.size")).alias("total"),
         differing(F.col("_u.odd"), F.col("_v.odd")).alias("apart"), differing(F.col("_u.odd_frequent"), F.col("_v.odd_frequent")).alias("apart_frequent"),
@@ -348,14 +355,16 @@ def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets_for, share: tuple[int, int]) -> DataFrame:
     """Of the pairs (u, v), the links, by their whole sets.
 
-    ``sets_for``: from a table of nodes (fp) to their sets (fp, tokens).  A set that many pairs ask for is dealt over pieces.
+    ``sets_for``: from a table of nodes (fp), and how it is best joined, to their sets (fp, tokens).  A set that many pairs ask for
+    is dealt over pieces.
     """
     p, q = share
     pairs = staged(pairs.select("u", "v").distinct().withColumn("_salt", salted("u")), "jaccard-hopeful")
-    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    sets = staged(sets_for(ends), "jaccard-sets")
-    pieces = matched(pairs.select("v", "_salt").distinct(), sets.select(F.col("fp").alias("v"), F.col("tokens").alias("b")), ["v"])
-    left = matched(pairs, sets.select(F.col("fp").alias("u"), F.col("tokens").alias("a")), ["u"])
+    sent = by_number(pairs.count())
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    sets = staged(sets_for(ends, sent), "jaccard-sets")
+    pieces = matched(sets.select(F.col("fp").alias("v"), F.col("tokens").alias("b")), sent(pairs.select("v", "_salt").distinct()), ["v"])
+    left = matched(sets.select(F.col("fp").alias("u"), F.col("tokens").alias("a")), sent(pairs), ["u"])
     both = matched(left, pieces, ["v", "_salt"])
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
     return both.where(shared * (p + q) >= F.lit(p) * (F.size("a") + F.size("b"))).select("u", "v")
@@ -363,10 +372,10 @@ def verified(pairs: DataFrame, sets_for, share: tuple[int, int]) -> DataFrame:
 
 def labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(fp, label) of linked nodes: two steps towards the first node in order.  Nodes of one label are in one component."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    steps = links.select(F.inline(F.array(pair("u", "v"), pair("v", "u"), pair("u", "u"), pair("v", "v"))))
     ranks = nodes.select(F.col("fp").alias("v"), order_of("fp", "rare", "size").alias("rank"))
-    self = both.select("u").distinct().select("u", F.col("u").alias("v"))
-    step = matched(both.unionByName(self), ranks, ["v"]).groupBy("u").agg(F.min("rank").alias("m")).select(F.col("u").alias("fp"), F.col("m.fp").alias("label"))
+    step = matched(ranks, by_number(4 * links.count())(steps), ["v"]).groupBy("u").agg(F.min("rank").alias("m")).select(F.col("u").alias("fp"), F.col("m.fp").alias("label"))
     step = staged(step, "jaccard-step")
     return staged(matched(step.withColumnRenamed("label", "_l"), step.select(F.col("fp").alias("_l"), "label"), ["_l"]).select("fp", "label"), "jaccard-labels")
 
@@ -380,7 +389,7 @@ def left_over(live: DataFrame, tops: DataFrame, share: tuple[int, int]) -> DataF
     p, q = share
     close = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
     reach = live.groupBy("key").agg(F.max(F.col("away") - F.col("rare")).alias("nearest"), F.max("size").alias("largest"))
-    rows = dealt(live, matched(tops.select("key", "n", "top"), reach, ["key"]))
+    rows = staged(dealt(live, matched(tops.select("key", "n", "top"), reach, ["key"])), "jaccard-left")
     wide = F.greatest(F.lit(4), F.floor(F.col("largest") * (q - p) / (4 * (p + q)))).cast("bigint")
     lowest = F.col("away") + F.col("rare") - F.floor((F.col("size") + F.col("largest")) * (q - p) / (p + q))
     slice_of = lambda value: F.floor(value / wide).cast("bigint")
@@ -436,7 +445,8 @@ def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int],
         last = not first and (rounds <= 0 or work.w <= linear or work.w > 0.75 * before)
         rounds, before = rounds - 1, work.w
         if last:
-            hopeful = compared(staged(left_over(live, tops, share), "jaccard-rest-pairs"), nodes).where(may_differ(F.col("apart"), F.col("total"), share))
+            rest = staged(left_over(live, tops, share), "jaccard-rest-pairs")
+            hopeful = compared(rest, nodes, by_number(rest.count())).where(may_differ(F.col("apart"), F.col("total"), share))
             more = staged(verified(hopeful, sets_for, share), "jaccard-links")
             found = more if found is None else found.unionByName(more)
             break
@@ -444,7 +454,8 @@ def links(index: DataFrame, nodes: DataFrame, sets_for, share: tuple[int, int],
         table = matched(pivots, tops.select("key", "n"), ["key"]).select("key", "n", F.struct(F.col("p.rank.fp").alias("fp"), "p.size", "p.label").alias("o"))
         met = staged(dealt(live, table).where(F.col("fp") != F.col("o.fp")), "jaccard-met")
         wanted = (F.col("label") != F.col("o.label")) & close(F.col("size"), F.col("o.size"))
-        pairs = staged(compared(met.select(F.col("fp").alias("u"), F.col("o.fp").alias("v"), wanted.alias("wanted")).distinct(), nodes), "jaccard-pairs")
+        pairs = met.select(F.col("fp").alias("u"), F.col("o.fp").alias("v"), wanted.alias("wanted")).distinct()
+        pairs = staged(compared(pairs, nodes, by_number(met.count())), "jaccard-pairs")
         more = staged(verified(pairs.where(F.col("wanted") & may_differ(F.col("apart"), F.col("total"), share)), sets_for, share), "jaccard-links")
         found = more if found is None else found.unionByName(more)
         labels = labelled(found, nodes)
@@ -488,15 +499,14 @@ def near_copies(
     keys = lambda name, frequent: nodes.select(F.explode(name).alias("key"), F.lit(frequent).alias("frequent"), "fp")
     index = keys("rare_keys", False).unionByName(keys("frequent_keys", True))
 
-    def sets_for(wanted: DataFrame) -> DataFrame:
-        ids = matched(nodes.select("fp", "least"), wanted, ["fp"], "left_semi").select(F.col("least").alias("id")).distinct()
-        texts = matched(source, ids, ["id"], "left_semi")
+    def sets_for(wanted: DataFrame, sent=lambda df: df) -> DataFrame:
+        ids = matched(nodes.select("fp", "least"), sent(wanted), ["fp"], "left_semi").select(F.col("least").alias("id"))
+        texts = matched(source, sent(ids), ["id"], "left_semi")
         sets = map_texts(texts, "text", lambda: sets_of(words), "fp bigint, tokens array<bigint>", keep=[], arrow=True)
-        return matched(sets, wanted, ["fp"], "left_semi").dropDuplicates(["fp"])
+        return matched(sets, sent(wanted), ["fp"], "left_semi").dropDuplicates(["fp"])
 
     hints = close_pairs(nodes.select(F.col("fp").alias("id"), F.col("print").alias("fp"))) if simhash_first else None
     found = links(index, nodes.select("fp", "size", "rare", "odd", "odd_frequent"), sets_for, share, hints=hints)
-    out = named(prints, nodes, components(found))
-    sized = matched(out.withColumn("_salt", salted("id")), prints.select("fp", "_salt", "size").distinct(), ["fp", "_salt"]).drop("_salt")
+    out = named(prints, nodes, components(found), ["size"])
     component = F.col("component") if empty_alike else F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component"))
-    return sized.select("id", "fp", F.col("size").alias("n_shingles"), component.alias("component"))
+    return out.select("id", "fp", F.col("size").alias("n_shingles"), component.alias("component"))

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelscope.llm.common import map_texts, matched, per_group, salt, staged
-from reelscope.session import checkpointed
 
 BLOCKS = 4
 BITS = 64 // BLOCKS
@@ -121,18 +120,19 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, root): the smallest node of each connected component, by alternating large and small stars.
 
     Each round hangs neighbours under smaller ones; the number of rounds grows with the logarithm of the
-    longest chain.  A round's edges are checkpointed; only their count and checksum reach the driver.
+    longest chain.  A round's edges are kept as files; only their count and checksum reach the driver.
     """
     stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    edges = checkpointed(edges.select("u", "v"))
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    edges = staged(edges.select("u", "v"), "simhash-edges")
     before = stamp(edges)
     for _ in range(most):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(pair("u", "v"), pair("v", "u"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = checkpointed(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(down, "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m")))).where("u <> v")
+        edges = staged(small.distinct(), "simhash-edges")
         after = stamp(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -151,13 +151,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return named(prints, nodes, components(links(nodes.select("fp"), distance, crowd)))
 
 
-def named(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, fp, component) of the rows of ``prints`` (id, fp, _salt), given the least id of each node and the nodes' roots."""
+def named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """(id, fp, component) and the columns ``kept`` of the rows of ``prints`` (id, fp, _salt), given the least id of each node and the nodes' roots."""
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     labels = staged(rooted.join(least, "root").select("fp", "component"), "simhash-labels")
     pieces = prints.select("fp", "_salt").distinct().join(labels, "fp")
-    return prints.join(pieces, ["fp", "_salt"]).select("id", "fp", "component")
+    return prints.join(pieces, ["fp", "_salt"]).select("id", "fp", "component", *kept or [])
 
 
 def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text", find=near_copies, **options) -> DataFrame:

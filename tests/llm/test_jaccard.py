@@ -232,3 +232,40 @@ def test_close_pairs_against_brute_force(spark):
     for crowd in (64, 1):
         got = simhash.close_pairs(spark.createDataFrame(rows, "id long, fp long"), crowd=crowd).collect()
         assert groups([(r.u, r.v) for r in got]) == want
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_few_pairs_do_not_shuffle_the_texts(spark, monkeypatch, few):
+    """Texts and sets were shuffled in every round, for however few pairs; either way the links are those of all pairs."""
+    plans, real = {}, jaccard.staged
+    monkeypatch.setattr(jaccard, "FEW", few, raising=False)
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(df, name))
+    rng = random.Random(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        compared(spark, list(enumerate(star(rng, 30, 6))), frequent=3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in plans["jaccard-sets"]) == (few == 0)
+
+
+def test_components_against_union_find(spark, monkeypatch):
+    """A hub, a long chain and random edges; each round reads the edges from files and shuffles six times at most."""
+    plans, real = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    rng = random.Random(5)
+    pairs = [(0, i) for i in range(1, 400, 3)] + [(i, i + 1) for i in range(1000, 1200)] + [(rng.randrange(2000, 3000), rng.randrange(2000, 3000)) for _ in range(450)]
+    pairs = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in pairs if a != b]
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert {n: got.get(n, n) for n in root} == {n: find(n) for n in root}
+    assert len(plans) > 2 and max(p.count("Exchange hashpartitioning") for p in plans) <= 6
